@@ -1 +1,15 @@
 """Operators of a training-data pipeline, built on Spark.  Nothing outside this package imports it."""
+
+from . import chat, metric_join, mixing, pieces, quality, sharding, topk, toxicity, warc
+
+_MODULES = (metric_join, warc, pieces, toxicity, sharding, mixing, chat, topk, quality)
+
+
+def queries() -> dict:
+    import corpus_pipeline
+
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}

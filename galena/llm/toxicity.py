@@ -1,7 +1,7 @@
 """A toxicity classifier that does not react to which group a text mentions.
 
-A logistic model over the distinct words of a text and their character 4-grams, hashed
-to a fixed number of weights and kept sparse by FTRL-proximal updates with an L1 term.
+A logistic model over the distinct words of a text and their stems, hashed to a fixed
+number of weights and kept sparse by FTRL-proximal updates with an L1 term.
 Labelled texts that name an identity are also seen with their identity terms swapped for
 others of the same kind, and the squared change of the score is penalised; what only tells
 one group from another thus gets no weight, and neutral mentions stay below the threshold.
@@ -40,9 +40,10 @@ IDENTITIES = (
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of a lower-case word: itself, and the 4-grams of it with its ends marked."""
-    marked, mask = f"^{word}$", (1 << BITS) - 1
-    return [zlib.crc32(marked.encode()) & mask, *(zlib.crc32(b"4" + marked[i : i + 4].encode()) & mask for i in range(len(marked) - 3) if len(marked) > 4)]
+    """Hashed features of a lower-case word: itself, its stems of 4 to 8 letters, and two of them with its length."""
+    mask, n = (1 << BITS) - 1, len(word)
+    names = [word + "$", *(word[:i] for i in range(4, min(9, n))), *(f"{word[:i]}#{n}" for i in (4, 6) if i < n)]
+    return [zlib.crc32(x.encode()) & mask for x in names]
 
 
 def text_features(words: set[str]) -> np.ndarray:
