@@ -1 +1,17 @@
-QUERIES = {}
+"""The queries of the analytics operators: name -> (query, oracle SQL or None)."""
+
+from __future__ import annotations
+
+from .operators import decompose
+from .operators.statements import DUCK_JOINS, STATEMENTS
+from .plans.dialect import statement
+
+
+def _both(text: str):
+    run, sql = statement(text)
+    for spark_join, duck_join in DUCK_JOINS.items():
+        sql = sql.replace(spark_join, duck_join)
+    return run, sql
+
+
+QUERIES = {name: _both(text) for name, text in STATEMENTS.items()} | {"decomposition_fold": (decompose.query, None)}
