@@ -53,7 +53,7 @@ STATEMENTS: dict[str, str] = {
     "worst_feature_pick": f"SELECT stream, tick, score FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY score DESC, tick) AS k FROM {SCORED} s WHERE score IS NOT NULL) r WHERE k = 1",
     "primary_series": f"SELECT tick, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY n DESC, event_type) AS k FROM (SELECT tick, event_type, count(*) AS n FROM {OBS} o GROUP BY tick, event_type) c) r WHERE k = 1",
     # windows
-    "late_in_arrival_order": f"SELECT event_id, event_type, us < before - 3600000000 AS late FROM (SELECT event_id, event_type, us, max(us) OVER (PARTITION BY event_type ORDER BY event_id + (event_id * 5) % 7, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {OBS} o) l",
+    "late_in_arrival_order": f"SELECT event_id, event_type, coalesce(us < before - 3600000000, false) AS late FROM (SELECT event_id, event_type, us, max(us) OVER (PARTITION BY event_type ORDER BY event_id + (event_id * 5) % 7, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {OBS} o) l",
     "run_length": f"SELECT stream, tick, class, run FROM {LENGTHS} r",
     "episode_hysteresis": f"SELECT stream, tick, round(score, 6) AS score, class, run, coalesce(state, 'NONE') AS state FROM {EPISODES} e",
     "episode_intervals": f"SELECT stream, grp, min(tick) AS opened, max(tick) AS last_tick, count(*) AS ticks, round(max(score), 6) AS peak FROM (SELECT *, CAST(row_number() OVER (PARTITION BY stream ORDER BY tick) - row_number() OVER (PARTITION BY stream, state ORDER BY tick) AS BIGINT) AS grp FROM {EPISODES} e) g WHERE state = 'OPEN' GROUP BY stream, grp",
