@@ -43,9 +43,9 @@ class ShardedTable:
         """Add ``rows`` as new shards, one at least for each value of ``arrival``; returns the version."""
         where = f"{self.path}/data/a{self.version + 1:08d}"
         if arrival is None:
-            rows.write.parquet(where)
+            rows.write.option("compression", "zstd").parquet(where)
         else:
-            rows.withColumn("_arrival", arrival).write.partitionBy("_arrival").parquet(where)
+            rows.withColumn("_arrival", arrival).write.option("compression", "zstd").partitionBy("_arrival").parquet(where)
         new = self._listed(where, self.version + 1)
         return self._commit(new if not self.version else self._manifest(self.version).unionByName(new))
 
@@ -69,7 +69,7 @@ class ShardedTable:
         runs = merge.select("run").distinct().count()
         where = f"{self.path}/data/c{self.version + 1:08d}"
         rows = self.spark.read.parquet(*files).withColumn("shard", F.col("_metadata.file_path")).join(F.broadcast(merge) if len(files) <= 10_000 else merge, "shard").drop("shard")
-        rows.repartition(runs, "run").write.partitionBy("run").parquet(where)
+        rows.repartition(runs, "run").write.option("compression", "zstd").partitionBy("run").parquet(where)
         return self._commit(plan.where("run IS NULL").drop("run").unionByName(self._listed(where, self.version + 1)))
 
     def shards(self, version: int | None = None) -> DataFrame:
