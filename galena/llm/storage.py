@@ -8,8 +8,10 @@ because driver and executors share one file system.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +36,25 @@ def cut(df: DataFrame) -> DataFrame:
     size: joins on it are broadcast only below the session's checked threshold.
     """
     path = fresh_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.galena_path = path
     return back
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside give their shuffle files back as they end, not when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def release(df: DataFrame) -> None:
     """Delete the table behind ``cut()``'s result, which nothing still to be computed may read."""
     spark = df.sparkSession
