@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from .operators import decompose
-from .operators.statements import DUCK_JOINS, STATEMENTS
+from .operators import decompose, detection, evaluation, statements
+from .operators.statements import DUCK_JOINS
 from .plans.dialect import statement
+from .sources import otlp
 
 
 def _both(text: str):
@@ -14,4 +15,5 @@ def _both(text: str):
     return run, sql
 
 
-QUERIES = {name: _both(text) for name, text in STATEMENTS.items()} | {"decomposition_fold": (decompose.query, None)}
+STATEMENTS = statements.STATEMENTS | detection.STATEMENTS | evaluation.STATEMENTS
+QUERIES = {name: _both(text) for name, text in STATEMENTS.items()} | otlp.QUERIES | {"decomposition_fold": (decompose.query, None)}

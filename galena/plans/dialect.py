@@ -17,6 +17,10 @@ SPARK = {
     "p95": "percentile({0}, 0.95)",
     "last": "last_value({0}) IGNORE NULLS",
     "regex": "regexp_extract({0}, '{1}', 1)",
+    "q": "percentile({0}, {1})",
+    "k": "CAST(get_json_object(props, '$.k') AS BIGINT)",
+    "mask": "regexp_replace({0}, '[0-9]+', '#')",
+    "lines": "explode(split({0}, '\\n'))",
     "listed": "array_join(array_sort(collect_set({0})), ',')",
 }
 DUCK = {
@@ -25,6 +29,10 @@ DUCK = {
     "p95": "quantile_cont({0}, 0.95)",
     "last": "last_value({0} IGNORE NULLS)",
     "regex": "regexp_extract({0}, '{1}', 1)",
+    "q": "quantile_cont({0}, {1})",
+    "k": "CAST(json_extract_string(props, '$.k') AS BIGINT)",
+    "mask": "regexp_replace({0}, '[0-9]+', '#', 'g')",
+    "lines": "unnest(string_split({0}, chr(10)))",
     "listed": "string_agg(DISTINCT {0}, ',' ORDER BY {0})",
 }
 

@@ -16,7 +16,7 @@ CHECKED = sorted(k for k, (_, sql) in catalog.QUERIES.items() if sql)
 
 def rows(df: pd.DataFrame) -> list[str]:
     df = df[sorted(df.columns)].astype(object)
-    same = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    same = lambda v: None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     return sorted(str([same(v) for v in row]) for row in df.values.tolist())
 
 
