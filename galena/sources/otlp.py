@@ -60,7 +60,7 @@ def aggregate_metrics(raw: DataFrame, payload: str = "payload") -> DataFrame:
         F.struct(F.concat("_x.name", F.lit(".count")).alias("signal"), F.col("_p.count").cast("double").alias("value"), F.lit("count").alias("unit")),
         F.struct(F.concat("_x.name", F.lit(".sum")).alias("signal"), F.col("_p.sum").alias("value"), F.col("_x.unit").alias("unit")),
     )
-    out = p.select(_merged("_p").alias("attributes"), _us(F.col("_p.timeUnixNano")).alias("us"), F.explode(both).alias("o")).select("attributes", "us", "o.*")
+    out = p.withColumn("_o", F.explode(both)).select(_merged("_p").alias("attributes"), _us(F.col("_p.timeUnixNano")).alias("us"), "_o.*")
     return out.withColumn("service", F.col("attributes")["service.name"]).where("service IS NOT NULL AND value IS NOT NULL")
 
 
