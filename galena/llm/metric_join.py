@@ -24,6 +24,10 @@ most ``eps = 1 - similarity``.
   bounds the symmetric difference from below; pairs that this bound rejects are not
   fetched.  The rest are decided on their whole sets.
 
+* **Counting.** The rounds above find the links that connect. How many links each class has is
+  counted afterwards, on whole sets: a component is dealt to blocks of bounded size, and two
+  blocks meet if a region holds documents of both, since linked classes share a region.
+
 Equal sets are one class from the start, so groups of exact copies cost one row.
 """
 
@@ -41,6 +45,7 @@ from .storage import cut, freed_shuffles, release
 
 SKETCH_BITS = 20
 PIVOT_SETS = 64
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 500_000  # of the blocks in which links are counted, about
 CELL_BITS = 20  # of the filter by which documents to be compared are picked before their sets are shuffled
 
 
@@ -157,7 +162,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: i
 
     ``docs`` needs ``doc_id`` (integer) and ``text``; other columns are ignored.  Returns one
     row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable), and
-    n_links, the number of other classes of equal texts found linked to its class while joining.
+    n_links, the number of other classes of equal shingle sets that link with its class.
 
     Defined cases: a null or word-free text has n_shingles 0 and is linked with nothing (its
     component_id is its own doc_id); fewer than ``k`` words make one shingle; rows repeated as a
@@ -181,8 +186,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: i
     rest = cut(shared.join(crowded, "region").select("region", "rank", "cid", "n", F.col("cid").alias("comp")))
     release(shared)
 
-    links, degree = _join_regions(docs, classes, rest, k, numerator, denominator, direct_per_class)
-    root = classes.select("cid", "h1", "h2", "rep").join(connected(links), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    labels = connected(_join_regions(docs, classes, rest, k, numerator, denominator, direct_per_class))
+    degree = _count_links(docs, classes, rest.select("region", "rank", "cid"), labels, k, numerator, denominator)
+    root = classes.select("cid", "h1", "h2", "rep").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = root.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = root.join(least, "comp").join(degree, "cid", "left").select("h1", "h2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -192,8 +198,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: i
     return some.unionByName(none)
 
 
-def _join_regions(docs, classes, rest, k, p, q, direct_per_class) -> tuple[DataFrame, DataFrame]:
-    """All links needed to connect what is connected, and how many each class has among them."""
+def _join_regions(docs, classes, rest, k, p, q, direct_per_class) -> DataFrame:
+    """All links needed to connect what is connected."""
     spark = docs.sparkSession
     sketch = classes.select("cid", "n", "pivots")
     bound = direct_per_class * max(1, classes.count())
@@ -240,8 +246,107 @@ def _join_regions(docs, classes, rest, k, p, q, direct_per_class) -> tuple[DataF
             break
         labels = connected(links).withColumnRenamed("comp", "found")
         rest = cut(paired.select("region", "rank", "cid", "n").join(labels, "cid", "left").withColumn("comp", F.coalesce("found", "cid")).drop("found"))
-    ends = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid")))
-    return links, ends.groupBy("cid").agg(F.count("*").alias("n_links"))
+    return links
+
+
+def _count_links(docs: DataFrame, classes: DataFrame, placed: DataFrame, labels: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(cid, n_links): how many other classes each class of ``labels`` (cid, comp) links with.
+
+    ``placed`` has the regions (region, rank, cid) of the classes; linked classes share one.
+    """
+
+    def parts(*key: str) -> DataFrame:
+        n = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+        return homes.groupBy(*key).agg(n.cast("long").alias(f"parts_{key[-1]}"))
+
+    held = placed.join(labels, "cid")
+    homes = held.groupBy("cid", "comp").agg(F.min_by("region", "rank").alias("home")).join(classes.select("cid", "n"), "cid")
+    homes = cut(homes)
+    # a large home is salted; the small ones of a component are packed
+    salted = F.xxhash64("comp", "home", F.pmod(F.xxhash64("cid"), "parts_home"))
+    packed = F.xxhash64("comp", F.pmod(F.xxhash64("home"), "parts_comp"))
+    blocks = homes.join(parts("comp", "home"), ["comp", "home"]).join(parts("comp"), "comp")
+    blocks = cut(blocks.select("cid", F.when(F.col("parts_home") > 1, salted).otherwise(packed).alias("block")))
+    release(homes)
+    in_region = cut(placed.join(blocks, "cid").select("region", "block").distinct())
+    x, y = (in_region.select("region", F.col("block").alias(f"block_{s}")) for s in "xy")
+    meet = x.join(y, "region").where("block_x <= block_y").select("block_x", "block_y").distinct()
+    sides = meet.withColumn("block", F.explode(F.array_distinct(F.array("block_x", "block_y"))))
+    reps = classes.join(blocks, "cid", "left_semi").select("cid", "h1", "h2", F.col("rep").alias("doc_id"))
+    sets = _sets_of(docs, reps, k).join(blocks, "cid")
+    counted = sides.join(sets, "block").groupBy("block_x", "block_y").applyInArrow(_linked(p, q), "cid long, n_links long")
+    counted = cut(counted.groupBy("cid").agg(F.sum("n_links").alias("n_links")))
+    release(in_region)
+    return counted
+
+
+def _linked(p: int, q: int):
+    """Links that each class has in a pair of blocks."""
+
+    def of(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        cid = rows["cid"].to_numpy()
+        left = rows["block"].to_numpy() == rows["block_x"].to_numpy()
+        sets = rows["shingles"].combine_chunks()
+        n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, cols = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        at = np.repeat(np.arange(len(n)), n)
+        one = bool(left.all())  # a block with itself
+        other = left if one else ~left
+        both = _overlaps(at, cols, left, other)
+        size = n[left][:, None] + n[other][None, :]
+        link = both * q >= (size - both) * p
+        if one:
+            np.fill_diagonal(link, False)
+        found = np.zeros(len(n), np.int64)
+        found[left] += link.sum(axis=1)
+        if not one:
+            found[other] += link.sum(axis=0)
+        return pa.table({"cid": pa.array(cid), "n_links": pa.array(found)}).filter(pa.array(found > 0))
+
+    return of
+
+
+def _overlaps(at: np.ndarray, cols: np.ndarray, left: np.ndarray, right: np.ndarray, dense: int = 500, step: int = 1 << 22) -> np.ndarray:
+    """How many shingles the sets of the rows ``left`` share with those of the rows ``right``.
+
+    Shingles of many rows are multiplied as a matrix, those of few are listed pair by pair.
+    """
+    width = int(cols.max()) + 1 if len(cols) else 0
+    sides = []
+    for side in (left, right):
+        place = np.cumsum(side) - 1
+        mine = side[at]
+        col = cols[mine]
+        order = np.argsort(col, kind="stable")
+        sides.append((place[at[mine]][order], col[order], int(side.sum()), np.bincount(col, minlength=width)))
+    (ax, cx, mx, dx), (ay, cy, my, dy) = sides
+    out = np.zeros((mx, my), np.int64)
+    often = dx * dy * dense > mx * my
+    heavy = np.flatnonzero(often)
+    for lo in range(0, len(heavy), 2048):
+        spot = np.full(width, -1)
+        spot[heavy[lo : lo + 2048]] = np.arange(len(heavy[lo : lo + 2048]))
+        parts = []
+        for a, c, m in ((ax, cx, mx), (ay, cy, my)):
+            x = np.zeros((m, 2048), np.float32)
+            here = spot[c] >= 0
+            x[a[here], spot[c[here]]] = 1
+            parts.append(x)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    few = ~often[cx] & (dy[cx] > 0)
+    ax, cx = ax[few], cx[few]
+    start, times = (np.cumsum(dy) - dy)[cx], dy[cx]
+    ends = np.cumsum(times)
+    lo = 0
+    while lo < len(ax):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + step)))
+        t = times[lo:hi]
+        nth = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        pairs = np.repeat(ax[lo:hi], t) * my + ay[np.repeat(start[lo:hi], t) + nth]
+        out += np.bincount(pairs, minlength=mx * my).reshape(mx, my)
+        lo = hi
+    return out
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:

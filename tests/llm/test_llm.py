@@ -62,6 +62,26 @@ def test_metric_join(spark, rows):
     assert metric_join.jaccard_join(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_metric_join_counts_all_links(spark, monkeypatch):
+    rng = random.Random(5)
+    base = ["w%d" % i for i in range(80)]
+    data = [(1, None), (2, "one two"), (3, "One  TWO")]
+    for i in range(20):  # two groups, in which all link
+        text = base[:] if i < 15 else ["v" + w for w in base]
+        text[rng.randrange(80)] = "x%d" % rng.randrange(1000)
+        data.append((1000 + i, " ".join(text)))
+    sets = [shingle_set(t) for _, t in data]
+    kinds = {s for s in sets if s}
+    links = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in kinds) for a in kinds}
+    want = sorted((r[0], links.get(s, 0)) for r, s in zip(data, sets))
+    assert len(set(links.values())) > 2 and max(links.values()) == 14
+    for per, classes, shingles in ((0, 1024, 500_000), (200, 1024, 500_000), (200, 7, 300)):
+        monkeypatch.setattr(metric_join, "BLOCK_CLASSES", classes)
+        monkeypatch.setattr(metric_join, "BLOCK_SHINGLES", shingles)
+        got = metric_join.jaccard_join(spark.createDataFrame(data, "doc_id long, text string"), direct_per_class=per).collect()
+        assert sorted((r.doc_id, r.n_links) for r in got) == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "é" * 90
     pages = [(1, None, None), (2, "u", "short"), (3, "u\nv", "short"), (4, "u", long), (5, "u", long), (None, None, long), (6, "u", "\r\n\r\n<" + long)]
