@@ -12,6 +12,7 @@ from galena.llm import metric_join, mixing, pieces, quality, toxicity
 from galena.llm.storage import cut
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+PLACE = ["mix_slot", "mix_seq"]
 ORACLE_SQL = None
 
 
@@ -49,13 +50,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture, by which they are dealt to files."""
-    return mixing.mix(docs).orderBy("mix_seq").select(DOCUMENT)
+    """All documents with their place in the mixture, which the last stage returns."""
+    return mixing.mix(docs).select(*DOCUMENT, *PLACE)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document as digests, and of what they decode to."""
-    return pieces.encoded_digests(docs, pieces.model_path("piece_bpe_32k.model"))
+    """Ids of each document as digests, and of what they decode to, beside its place in the mixture."""
+    return pieces.encoded_digests(docs, pieces.model_path("piece_bpe_32k.model"), PLACE)
 
 
 STAGES = [

@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -180,20 +180,25 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
     return ids.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(of, "doc_id long, text string")
 
 
-def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
+def encoded_digests(docs: DataFrame, path: str, keep: Iterable[str] = ()) -> DataFrame:
     """Number and digest of the ids of each row, and digest of what the library decodes from them.
 
     The digests equal those of ``encode`` and ``decode``, without moving the ids out of the task.
+    The columns ``keep`` (whole numbers) of each row go with it.
     """
 
+    keep = list(keep)
+
     def give(model, ids, rows):
         sha = lambda x: hashlib.sha256(x).hexdigest()
         texts = [",".join(r) for r in rows]
         n = [t.count(",") + 1 if t else 0 for t in texts]
         decoded = (model.decode([int(x) for x in t.split(",")]) if t else "" for t in texts)
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array([sha(t.encode()) for t in texts], pa.string()), pa.array([sha(t.encode()) for t in decoded], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([*ids.flatten(), pa.array(n, pa.int64()), pa.array([sha(t.encode()) for t in texts], pa.string()), pa.array([sha(t.encode()) for t in decoded], pa.string())], ["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_joined_back(path, give), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    row = F.struct(*(F.col(c).cast("long").alias(c) for c in ("doc_id", *keep))).alias("row")
+    columns = "".join(f"{c} long, " for c in ("doc_id", *keep)) + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(row, F.col("text").cast("string")).mapInArrow(_joined_back(path, give), columns)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
