@@ -27,6 +27,8 @@ EPISODES = f"""(
 CONTEXTS = "(SELECT * FROM (VALUES (1, 78912, 78920, 2.5e0, 1.0e0), (2, 78918, 78940, 1.5e0, 0.5e0), (3, 78930, 78931, 0.5e0, 1.0e0)) AS x(context_id, valid_from, valid_to, multiplier, trust))"
 EDGE_SET = "(SELECT * FROM (VALUES ('view', 'click'), ('click', 'purchase'), ('purchase', 'error')) AS x(service, dependency))"
 CHANGES = f"(SELECT event_id AS change_id, event_type AS service, us FROM {OBS} c WHERE event_type = 'signup' AND event_id % 50 = 0)"
+#: Every change, in its own hour and the next, once for each salt of the events.
+CHANGE_HOURS = f"(SELECT event_type AS service, us, CAST(floor(us / 3600000000) AS BIGINT) + later AS hour, salt FROM {OBS} c CROSS JOIN (SELECT * FROM (VALUES (0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2), (1, 3)) AS x(later, salt)) s WHERE event_type = 'signup')"
 VERSIONS = "(SELECT user_id AS id, event_id AS revision, CASE WHEN event_type = 'purchase' THEN 'CLOSED' ELSE 'OPEN' END AS state, value FROM {events})"
 DAYS = "(SELECT event_type, CAST(floor(tick / 4.0e0) AS BIGINT) AS day, count(*) AS n, sum(value) AS total, max(value) AS peak FROM " + OBS + " d GROUP BY event_type, CAST(floor(tick / 4.0e0) AS BIGINT))"
 
@@ -84,6 +86,7 @@ STATEMENTS: dict[str, str] = {
     # joins
     "context_interval_join": f"SELECT o.event_id, count(c.context_id) AS contexts, round(coalesce(sum(CASE WHEN c.multiplier > 1 AND c.trust > 0 THEN o.value * (c.multiplier - 1) * c.trust END), 0), 6) AS lift FROM {OBS} o LEFT JOIN {CONTEXTS} c ON o.tick >= c.valid_from AND o.tick < c.valid_to GROUP BY o.event_id",
     "change_pressure": f"SELECT o.event_id, count(*) AS changes, round(max((1 - (o.us - c.us) / 3.6e9) * CASE WHEN o.event_type = c.service THEN 1.0e0 ELSE 0.4e0 END), 6) AS pressure FROM {OBS} o JOIN {CHANGES} c ON CAST(floor(o.us / 3600000000) AS BIGINT) - CAST(floor(c.us / 3600000000) AS BIGINT) IN (0, 1) AND c.us <= o.us AND c.us > o.us - 3600000000 GROUP BY o.event_id",
+    "change_pressure_all": f"SELECT o.event_id, count(*) AS changes, round(max((1 - (o.us - c.us) / 3.6e9) * CASE WHEN o.event_type = c.service THEN 1.0e0 ELSE 0.4e0 END), 6) AS pressure FROM {OBS} o JOIN {CHANGE_HOURS} c ON c.hour = CAST(floor(o.us / 3600000000) AS BIGINT) AND c.salt = (o.event_id % 4 + 4) % 4 AND c.us <= o.us AND c.us > o.us - 3600000000 GROUP BY o.event_id",
     "asof_capacity": f"SELECT event_id, user_id, value, {{last:CASE WHEN event_type = 'purchase' THEN value END}} OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS capacity FROM {OBS} o",
     "interval_overlap_join": f"SELECT a.event_type AS kind, a.day AS day_a, b.day AS day_b FROM {DAYS} a JOIN {DAYS} b ON a.event_type = b.event_type AND a.day < b.day + 2 AND b.day < a.day + 2 AND a.day <> b.day",
     "unrelated_episode_antijoin": f"SELECT DISTINCT s.stream, s.tick FROM {SCORED} s LEFT ANTI JOIN {CONTEXTS} c ON s.tick >= c.valid_from AND s.tick < c.valid_to WHERE s.score >= 0.5e0",
