@@ -6,8 +6,9 @@ so memory depends on the longest text and not on the batch.
 
 Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``; all of these are
 ASCII, so cutting UTF-8 bytes cuts the text at the same places.  A piece of text
-is identified by a 64-bit polynomial hash of its bytes over a random byte table,
-mixed with its length.
+is identified by a 64-bit hash of its bytes, positions and length; pieces are compared
+within one text or between the two texts of a pair, where two different ones
+agree with a chance of about (pieces of both texts)**2 / 2**64.
 """
 
 from __future__ import annotations
@@ -38,18 +39,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(_MULT))
 _POSITION = mix64(np.arange(1000, 1064, dtype=U64) * U64(_MULT)) | U64(1)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        for i, base in enumerate((_MULT, _INV)):
-            steps = np.full(n + 1, base, U64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=U64)
-    return _powers[0], _powers[1]
+def _random(place: np.ndarray) -> np.ndarray:
+    """A pseudo-random number for each ``256 * position + byte``."""
+    return mix64(place.astype(U64) * U64(_MULT) + U64(_INV))
+
+
+_TABLED = 64  # positions whose numbers are looked up; those of later ones are computed
+_TABLE = _random(np.arange(256 * _TABLED))
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -91,11 +90,25 @@ def runs(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.nda
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece ``data[start:end]``."""
-    power, inverse = _power(len(data))
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * power[: len(data)], dtype=U64, out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(_INV))
+    """A 64-bit hash of each non-empty piece ``data[start:end]``: the sum of a random number for each (position, byte).
+
+    Unlike a polynomial modulo 2**64 the sum has no strings that collide by their structure;
+    two different pieces agree with a chance of 2**-64.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    length = ends - starts
+    begin = np.cumsum(length) - length
+    position = np.arange(length.sum()) - np.repeat(begin, length)
+    place = (position << 8) | data[position + np.repeat(starts, length)]
+    late = np.flatnonzero(position >= _TABLED)
+    if len(late):
+        rest = place[late]
+        place[late] = 0
+    numbers = _TABLE[place]
+    if len(late):
+        numbers[late] = _random(rest)
+    return mix64(np.add.reduceat(numbers, begin) + length.astype(U64) * U64(_INV))
 
 
 def windows(words: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,50 +3,48 @@
 ``d(A, B) = 1 - |A & B| / |A | B|`` is a metric; two documents link when it is at
 most ``eps = 1 - similarity``.
 
-* **Pivots.** Every one-shingle set is a pivot.  A document is nearest to the
-  pivots of its own shingles, all at the same distance, so ties go by one global
-  order: shingles rare in the corpus first (by a count sketch of fixed size over
-  all documents), then by hash.  The first pivot's Voronoi region is the
-  document's home.
-* **Windows.** ``d(A, B) <= eps`` leaves at most ``floor(eps |A|)`` shingles of A
-  outside B, so by the triangle inequality B lies in the region of one of A's
-  first ``floor(eps |A|) + 1`` pivots, and A in one of B's.  A document is copied
-  to just these regions.
-* **Recursion.** A region is joined by a document of it as the next pivot: the one
-  closest to the region's own pivot (lowest rank there).  All others are compared
-  with it, linked ones fall into its component, and the region goes on without the
-  pivot and only while it holds documents of two or more components.  Once the pairs
-  across components that are left are few for each document, regions are joined
-  directly.  Every pair that shares a region is thus compared, or is known to be
-  connected already.
-* **Pruning.** A linked pair is looked for in the first region that it shares, so the
-  ranks there bound what the two can have in common. ``|A & Q|`` for 64 disjoint pivot sets Q that cover the universe
-  bounds the symmetric difference from below; pairs that this bound rejects are not
-  fetched.  The rest are decided on their whole sets.
-
-* **Counting.** The rounds above find the links that connect. How many links each class has is
-  counted afterwards, on whole sets: a component is dealt to blocks of bounded size, and two
-  blocks meet if a region holds documents of both, since linked classes share a region.
-
-Equal sets are one class from the start, so groups of exact copies cost one row.
+* **First cut: a prefix filter.** In text almost all distances are 1, so the space is first cut
+  into cells that no link crosses.  Shingles have one global order, rare in the corpus first (by a
+  count sketch of fixed size over all documents; the order costs or saves time, never
+  links).  ``d(A, B) <= eps`` leaves at most ``floor(eps |A|)`` shingles of A outside B, so linked
+  sets share one of the first ``floor(eps |A|) + 1`` shingles of each.  Inside such a region,
+  pairs are ruled out by their sizes and by their distances to 64 disjoint pivot sets that cover
+  the universe: by the triangle inequality ``sum |A & Q| - |B & Q|`` bounds the symmetric difference
+  from below.  What is left connects documents to cells; a region too large to be looked
+  at in one task is connected as a whole and left to the next step.
+* **Voronoi regions.** A cell that is too large for one task is cut by documents of it as
+  pivots.  A document's home is the region of its nearest pivot.
+* **Windows.** If x is at home with p, y with q and d(x, y) <= eps, then
+  ``d(y, p) <= d(x, p) + eps <= d(x, q) + eps <= d(y, q) + 2 eps``.  So y is copied to every region
+  whose pivot is at most ``2 eps`` further off than its own, and each document meets all its links at home.
+* **Recursion.** Regions that are still too large are cut again, with pivots of their own.  Where
+  cutting does not halve the pairs (a ball of near copies, all within ``2 eps``), the region is dealt to
+  salted blocks, and every two blocks meet in a task of their own.
+* **Joining.** In the tasks at the end whole sets are compared, links are counted at the document's
+  home, and only a star of each group that they connect leaves the task.
+
+Equal sets are one class from the start, so groups of exact copies cost one row.  Shingles are
+64-bit hashes (see ``bytewords``): a pair is misjudged only if two of its own shingles collide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import bytewords as B
 from .components import connected
-from .storage import cut, freed_shuffles, release
+from .storage import cut, release
 
 SKETCH_BITS = 20
 PIVOT_SETS = 64
-BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 500_000  # of the blocks in which links are counted, about
-CELL_BITS = 20  # of the filter by which documents to be compared are picked before their sets are shuffled
+REGION_ROWS = 1024  # of the first cut, compared in one task; larger ones are connected as a whole
+LEAF_CLASSES, LEAF_SHINGLES = 1024, 500_000  # of a Voronoi region that one task joins
+PACK_ROWS = 512  # small regions go to tasks in packs of about so many rows
+FANOUT = 16  # pivots of a region
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -69,20 +67,6 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     return cells
 
 
-def _signatures(k: int):
-    """doc_id, set size and a 128-bit identity of the shingle set of each row."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, data, offsets in B.slices(batch.column(1)):
-                at, found = B.shingles(data, offsets, k)
-                n, h1, h2 = _identity(at, found, hi - lo)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n), pa.array(h1), pa.array(h2)], ["doc_id", "n", "h1", "h2"])
-
-    return of
-
-
 def _identity(at: np.ndarray, found: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.bincount(at, minlength=rows).astype(np.int64)
     h1, h2 = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
@@ -93,216 +77,252 @@ def _identity(at: np.ndarray, found: np.ndarray, rows: int) -> tuple[np.ndarray,
     return n, h1.view(np.int64), h2.view(np.int64)
 
 
-def _windows(k: int, cells, numerator: int, denominator: int):
-    """Per row with shingles: its identity, its regions in order, and its distances to the pivot sets."""
+def _sets(k: int, cells, numerator: int, denominator: int, columns: Sequence[str]):
+    """Per row: set size, identity, shingles in the global order, how many are its prefix, and its distances to the pivot sets."""
     shift = np.uint64(64 - SKETCH_BITS)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = cells.value
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, data, offsets in B.slices(batch.column(1)):
+            rest = batch.columns[1:]
+            for lo, hi, data, offsets in B.slices(batch.column(0)):
                 rows = hi - lo
                 at, found = B.shingles(data, offsets, k)
                 n, h1, h2 = _identity(at, found, rows)
-                pivots = np.bincount(at * PIVOT_SETS + (found & np.uint64(PIVOT_SETS - 1)).astype(np.int64), minlength=rows * PIVOT_SETS).astype(np.int32)
+                near = np.bincount(at * PIVOT_SETS + (found & np.uint64(PIVOT_SETS - 1)).astype(np.int64), minlength=rows * PIVOT_SETS).astype(np.int32)
                 order = np.lexsort((found, often[(found >> shift).astype(np.int64)], at))
-                begin = B.per_row(at, rows)
-                rank = np.arange(len(at)) - begin[at]
-                keep = rank <= (n - -(-n * numerator // denominator))[at]
-                regions = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(at[keep], minlength=rows))], pa.int64()), pa.array(found[order][keep].view(np.int64)))
-                table = pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, rows), pa.array(n), pa.array(h1), pa.array(h2), regions.cast(pa.list_(pa.int64())), pa.array([x.tobytes() for x in pivots.reshape(rows, PIVOT_SETS)], pa.binary())],
-                    ["doc_id", "n", "h1", "h2", "regions", "pivots"],
-                )
-                yield table.filter(pa.array(n > 0))
+                sets = pa.LargeListArray.from_arrays(pa.array(B.per_row(at, rows), pa.int64()), pa.array(found[order].view(np.int64))).cast(pa.list_(pa.int64()))
+                prefix = np.where(n > 0, n - -(-n * numerator // denominator) + 1, 0)
+                pivots = pa.array([x.tobytes() for x in near.reshape(rows, PIVOT_SETS)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, rows) for c in rest), pa.array(n), pa.array(h1), pa.array(h2), pa.array(prefix), sets, pivots], list(columns))
 
     return of
 
 
-def _cell(ids: np.ndarray) -> np.ndarray:
-    return (B.mix64(ids.view(np.uint64)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _ranges(times: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each i of lo..hi-1 as often as times[i] says, and a running number for each i."""
+    t = times[lo:hi]
+    return np.repeat(np.arange(lo, hi), t), np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
 
 
-def _whole_sets(k: int, wanted):
-    """Identity and sorted shingles of the rows whose doc_id falls in a wanted cell."""
+def _steps(times: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
+    ends, lo = np.cumsum(times), 0
+    while lo < len(times):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + step)))
+        yield lo, hi
+        lo = hi
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(wanted.value[_cell(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))]))
-            for lo, hi, data, offsets in B.slices(batch.column(1)):
-                rows = hi - lo
-                at, found = B.shingles(data, offsets, k)
-                _, h1, h2 = _identity(at, found, rows)
-                sets = pa.LargeListArray.from_arrays(pa.array(B.per_row(at, rows), pa.int64()), pa.array(found.view(np.int64))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(h1), pa.array(h2), sets], ["doc_id", "h1", "h2", "shingles"])
 
-    return of
+def _roots(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """The smallest number that each of 0..size-1 is connected with by the edges (a, b)."""
+    root = np.arange(size)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        for x in (a, b, root[a], root[b]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
-def _possible(numerator: int, denominator: int):
-    """Pairs that the distances to the pivot sets do not rule out."""
+def _near(p: int, q: int):
+    """A star for each group of documents of these regions that sizes, ranks and distances to the pivot sets may link."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, pa_, pb = (batch.column(i) for i in range(6))
-            if not len(batch):
-                continue
-            va, vb = (np.frombuffer(b"".join(x.to_pylist()), np.int32).reshape(len(batch), PIVOT_SETS) for x in (pa_, pb))
-            apart = np.abs(va - vb).sum(axis=1, dtype=np.int64)
-            both = na.to_numpy() + nb.to_numpy()
-            # similarity >= p/q leaves at most (q - p) / (q + p) of both sizes apart
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(apart * (denominator + numerator) <= both * (denominator - numerator)))
+    def of(rows: pa.Table) -> pa.Table:
+        region = rows["region"].to_numpy()
+        order = np.argsort(region, kind="stable")
+        region, cid, n, rank = region[order], rows["cid"].to_numpy()[order], rows["n"].to_numpy()[order], rows["rank"].to_numpy()[order]
+        vector = np.frombuffer(b"".join(rows["pivots"].to_pylist()), np.int32).reshape(-1, PIVOT_SETS)[order]
+        last = np.searchsorted(region, region, "right")
+        times = last - np.arange(len(region)) - 1
+        edges = []
+        for lo, hi in _steps(times, 1 << 20):
+            i, nth = _ranges(times, lo, hi)
+            j = i + 1 + nth
+            both = n[i] + n[j]
+            # from this region on, the first that a linked pair shares, enough shingles must be left
+            may = (n[i] * q >= n[j] * p) & (n[j] * q >= n[i] * p) & (np.minimum(n[i] - rank[i], n[j] - rank[j]) * (p + q) >= both * p)
+            i, j, both = i[may], j[may], both[may]
+            for at in range(0, len(i), 1 << 15):
+                x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+                apart = np.abs(vector[x] - vector[y]).sum(axis=1, dtype=np.int64)
+                # similarity >= p/q leaves at most (q - p) / (q + p) of both sizes apart
+                fine = apart * (p + q) <= both[at : at + (1 << 15)] * (q - p)
+                edges.append((x[fine], y[fine]))
+        names, node = np.unique(cid, return_inverse=True)
+        a, b = (node[np.concatenate([e[s] for e in edges] or [np.zeros(0, np.int64)])] for s in (0, 1))
+        root = _roots(a, b, len(names))
+        moved = root != np.arange(len(names))
+        return pa.table({"a": pa.array(names[moved]), "b": pa.array(names[root[moved]])})
 
     return of
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int = 5, direct_per_class: int = 200) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int = 5, keep: Sequence[str] = ()) -> DataFrame:
     """Components of the documents linked by a shingle similarity of at least numerator/denominator.
 
-    ``docs`` needs ``doc_id`` (integer) and ``text``; other columns are ignored.  Returns one
-    row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable), and
-    n_links, the number of other classes of equal shingle sets that link with its class.
+    ``docs`` needs ``doc_id`` (integer) and ``text``; of the other columns those named in ``keep``
+    are returned.  Returns one row per input row: doc_id, the columns ``keep``, n_shingles, component_id
+    (the smallest doc_id reachable), n_links (the number of other classes of equal shingle sets that link
+    with its class) and component (a number of its component, also where ids are null).
 
     Defined cases: a null or word-free text has n_shingles 0 and is linked with nothing (its
-    component_id is its own doc_id); fewer than ``k`` words make one shingle; rows repeated as a
+    component_id is its own doc_id, its component null); fewer than ``k`` words make one shingle; rows repeated as a
     whole are returned as often as they come; a null doc_id stays null and a component all of
-    whose ids are null has a null component_id; an empty table gives no rows.
+    whose ids are null has a null component_id; an empty table gives no rows.  Columns of ``keep`` must not be
+    named like a column of the result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = ["n_shingles", "component_id", "n_links", "component"]
+    if set(keep) & {"doc_id", "text", *own}:
+        raise ValueError("a column to keep has the name of a result column")
+    held = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *held)
     cells = spark.sparkContext.broadcast(_sketch(docs, k))
-    found = docs.mapInArrow(_windows(k, cells, numerator, denominator), "doc_id long, n long, h1 long, h2 long, regions array<long>, pivots binary")
-    classes = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regions").alias("regions"), F.first("pivots").alias("pivots"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["n long", "h1 long", "h2 long", "prefix long", "shingles array<long>", "pivots binary"]
+    whole = cut(docs.mapInArrow(_sets(k, cells, numerator, denominator, [x.split(" ", 1)[0] for x in kinds]), ", ".join(kinds)))
+    rows = cut(whole.drop("prefix", "shingles", "pivots"))
+    classes = whole.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "prefix", "shingles", "pivots")))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
-
-    placed = classes.select("cid", "n", F.posexplode("regions").alias("rank", "region"))
+    release(whole)
+
+    members = _cells(classes, numerator, denominator)
+    counted = _count(members, numerator, denominator)
+    labels = connected(counted.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    degree = counted.groupBy("cid").agg(F.sum("n_links").alias("n_links"))
+    root = classes.select("cid", "h1", "h2", "rep").join(labels, "cid", "left").withColumn("component", F.coalesce("comp", "cid"))
+    least = root.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = root.join(least, "component").join(degree, "cid", "left").select("h1", "h2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component")
+    named = cut(named)
+    for x in (classes, members, counted):
+        release(x)
+
+    some = rows.where("n > 0").join(named, ["h1", "h2"], "left").withColumnRenamed("n", "n_shingles")
+    none = rows.where("n = 0").withColumnRenamed("n", "n_shingles").withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), "component": F.lit(None).cast("long")})
+    out = ["doc_id", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), *own]
+    return some.select(out).unionByName(none.select(out))
+
+
+def _cells(classes: DataFrame, p: int, q: int) -> DataFrame:
+    """(region, cid, n, shingles, native) of the classes that may link with another; the regions are cells that no link crosses."""
+    placed = classes.select("cid", "n", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix").cast("int"))).alias("rank", "region"))
     # most regions hold one document: only counts are shuffled to find the others
     several = placed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
     shared = cut(placed.join(several, "region"))
-    # regions with the same documents are joined once: in the first of them by the global order, where all ranks are least
-    crowded = shared.groupBy("region").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("bit_xor(xxhash64(cid, 1))").alias("y"), F.sum("rank").alias("ranks"))
-    crowded = crowded.groupBy("size", "x", "y").agg(F.min_by("region", "ranks").alias("region")).select("region")
-    rest = cut(shared.join(crowded, "region").select("region", "rank", "cid", "n", F.col("cid").alias("comp")))
+    # regions with the same documents are looked at once: in the first of them by the global order, where all ranks are least
+    alike = shared.groupBy("region").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("bit_xor(xxhash64(cid, 1))").alias("y"), F.sum("rank").alias("ranks"), F.min("cid").alias("lead"))
+    alike = alike.groupBy("size", "x", "y").agg(F.min_by("region", "ranks").alias("region"), F.min("lead").alias("lead"))
+    rest = cut(shared.join(alike.select("region", "size", "lead"), "region").select("region", "size", "lead", "rank", "cid", "n"))
     release(shared)
+    large = rest.where(F.col("size") > REGION_ROWS).select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
+    small = rest.where(F.col("size") <= REGION_ROWS).select("region", F.col("rank").cast("long").alias("rank"), "cid", "n")
+    packs = max(1, small.count() // (4 * PACK_ROWS))
+    small = small.join(classes.select("cid", "pivots"), "cid").withColumn("pack", F.pmod(F.xxhash64("region"), F.lit(packs)))
+    links = cut(large.unionByName(small.groupBy("pack").applyInArrow(_near(p, q), "a long, b long")))
+    release(rest)
+    cell = connected(links)
+    release(links)
+    return cut(classes.select("cid", "n", "shingles").join(cell, "cid").select(F.col("comp").alias("region"), "cid", "n", "shingles", F.lit(True).alias("native")))
 
-    labels = connected(_join_regions(docs, classes, rest, k, numerator, denominator, direct_per_class))
-    degree = _count_links(docs, classes, rest.select("region", "rank", "cid"), labels, k, numerator, denominator)
-    root = classes.select("cid", "h1", "h2", "rep").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    least = root.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = root.join(least, "comp").join(degree, "cid", "left").select("h1", "h2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
-    rows = docs.mapInArrow(_signatures(k), "doc_id long, n long, h1 long, h2 long")
-    some = rows.where("n > 0").join(named, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.unionByName(none)
+def _sizes(members: DataFrame) -> DataFrame:
+    return members.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.sum(F.col("native").cast("long")).alias("natives"))
 
 
-def _join_regions(docs, classes, rest, k, p, q, direct_per_class) -> DataFrame:
-    """All links needed to connect what is connected."""
-    spark = docs.sparkSession
-    sketch = classes.select("cid", "n", "pivots")
-    bound = direct_per_class * max(1, classes.count())
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link: first by the bounds, then by the whole sets of what is left."""
-        a, b = (sketch.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("pivots").alias(f"p{x}")) for x in "ab")
-        near = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_possible(p, q), "a long, b long")
-        near = cut(near)
-        ids = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
-        reps = classes.join(ids, "cid", "left_semi").select("cid", "h1", "h2", F.col("rep").alias("doc_id"))
-        sets = _sets_of(docs, reps, k)
-        sa, sb = (sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        both = near.join(sa, "a").join(sb, "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return both.where(shared * q >= (F.size("sa") + F.size("sb") - shared) * p).select("a", "b")
-
-    # sizes allow the similarity, and so do the shingles from this region on, which is the first that a linked pair shares
-    may_link = f"n_x * {q} >= n_y * {p} AND n_y * {q} >= n_x * {p} AND least(n_x - rank_x, n_y - rank_y) * {p + q} >= (n_x + n_y) * {p}"
-    links, pivoted = spark.createDataFrame([], "a long, b long"), False
+def _count(members: DataFrame, p: int, q: int) -> DataFrame:
+    """(cid, n_links, root) of the classes with links, from recursive Voronoi regions; classes may come several times."""
+    leaves, dense, left, first = [], [], members, True
     while True:
-        groups = rest.groupBy("region", "comp").agg(F.count("*").alias("m"))
-        regions = groups.groupBy("region").agg(F.sum("m").alias("size"), F.expr("sum(m * m)").alias("same"), F.count("*").alias("comps")).where("comps > 1").select("region", "size", "same")
-        with freed_shuffles(spark):
-            left = regions.agg(F.coalesce(F.expr("sum((size * size - same) / 2)"), F.lit(0.0))).first()[0]
-        if not left:
-            break
-        active = rest.join(regions.select("region"), "region")
-        last = pivoted and left <= bound  # one round of pivots first: it joins the close groups by stars
-        pivoted = True
-        if last:
-            x, y = (active.select("region", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "comp", "n", "rank"))) for s in "xy")
-            pairs = x.join(y, "region").where(f"comp_x < comp_y AND {may_link}")
-        else:
-            pivot = active.groupBy("region").agg(F.min(F.struct("rank", "cid", "comp", "n")).alias("p")).select("region", *(F.col(f"p.{c}").alias(f"{c}_y") for c in ("cid", "comp", "n", "rank")))
-            paired = active.join(pivot, "region").where("cid <> cid_y")
-            pairs = paired.withColumnsRenamed({c: f"{c}_x" for c in ("cid", "comp", "n", "rank")}).where(f"comp_x <> comp_y AND {may_link}")
-        pairs = pairs.select(F.least("cid_x", "cid_y").alias("a"), F.greatest("cid_x", "cid_y").alias("b"))
-        more = cut(links.unionByName(verify(pairs.distinct())).distinct())
-        if hasattr(links, "galena_path"):
-            release(links)
-        links = more
-        if last:
+        big = cut(_sizes(left).where((F.col("size") > LEAF_CLASSES) | (F.col("weight") > LEAF_SHINGLES)))
+        if big.isEmpty():
+            leaves.append(left)
             break
-        labels = connected(links).withColumnRenamed("comp", "found")
-        rest = cut(paired.select("region", "rank", "cid", "n").join(labels, "cid", "left").withColumn("comp", F.coalesce("found", "cid")).drop("found"))
-    return links
-
-
-def _count_links(docs: DataFrame, classes: DataFrame, placed: DataFrame, labels: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """(cid, n_links): how many other classes each class of ``labels`` (cid, comp) links with.
-
-    ``placed`` has the regions (region, rank, cid) of the classes; linked classes share one.
-    """
-
-    def parts(*key: str) -> DataFrame:
-        n = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-        return homes.groupBy(*key).agg(n.cast("long").alias(f"parts_{key[-1]}"))
-
-    held = placed.join(labels, "cid")
-    homes = held.groupBy("cid", "comp").agg(F.min_by("region", "rank").alias("home")).join(classes.select("cid", "n"), "cid")
-    homes = cut(homes)
-    # a large home is salted; the small ones of a component are packed
-    salted = F.xxhash64("comp", "home", F.pmod(F.xxhash64("cid"), "parts_home"))
-    packed = F.xxhash64("comp", F.pmod(F.xxhash64("home"), "parts_comp"))
-    blocks = homes.join(parts("comp", "home"), ["comp", "home"]).join(parts("comp"), "comp")
-    blocks = cut(blocks.select("cid", F.when(F.col("parts_home") > 1, salted).otherwise(packed).alias("block")))
-    release(homes)
-    in_region = cut(placed.join(blocks, "cid").select("region", "block").distinct())
-    x, y = (in_region.select("region", F.col("block").alias(f"block_{s}")) for s in "xy")
-    meet = x.join(y, "region").where("block_x <= block_y").select("block_x", "block_y").distinct()
-    sides = meet.withColumn("block", F.explode(F.array_distinct(F.array("block_x", "block_y"))))
-    reps = classes.join(blocks, "cid", "left_semi").select("cid", "h1", "h2", F.col("rep").alias("doc_id"))
-    sets = _sets_of(docs, reps, k).join(blocks, "cid")
-    counted = sides.join(sets, "block").groupBy("block_x", "block_y").applyInArrow(_linked(p, q), "cid long, n_links long")
-    counted = cut(counted.groupBy("cid").agg(F.sum("n_links").alias("n_links")))
-    release(in_region)
-    return counted
+        leaves.append(left.join(big.select("region"), "region", "left_anti"))
+        part = left.join(big, "region")
+        homes = cut(_homes(part, p, q))
+        after = homes.groupBy("region", "sub").agg(F.sum(F.col("native").cast("double")).alias("a"), F.count("*").alias("b")).groupBy("region").agg(F.sum(F.col("a") * F.col("b")).alias("after"))
+        better = after.join(big, "region").where("2 * after <= natives * size").select("region")
+        dense.append(part.join(better, "region", "left_anti"))
+        next_ = homes.join(better, "region", "left_semi").select(F.xxhash64("region", "sub").alias("new"), "region", "cid", "native")
+        left = cut(next_.join(left.drop("native"), ["region", "cid"]).select(F.col("new").alias("region"), "cid", "n", "shingles", "native"))
+
+    found = []
+    for some in leaves:
+        packs = max(1, some.count() // PACK_ROWS)
+        alone = some.select(F.pmod(F.xxhash64("region"), F.lit(packs)).alias("x"), F.lit(-1).cast("long").alias("y"), F.lit(True).alias("left"), F.lit(True).alias("right"), "region", "cid", "shingles", "native")
+        found.append(alone.groupBy("x", "y").applyInArrow(_linked(p, q), _LINKED))
+    for some in dense:
+        # every two blocks of a region meet; a block also meets itself
+        blocks = F.greatest(F.ceil(F.col("size") / LEAF_CLASSES), F.ceil(F.col("weight") / LEAF_SHINGLES)).cast("int")
+        dealt = some.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        low, high = F.least("block", "other"), F.greatest("block", "other")
+        pairs = dealt.select("region", low.cast("long").alias("x"), high.cast("long").alias("y"), (F.col("block") == low).alias("left"), (F.col("block") == high).alias("right"), "cid", "shingles", "native")
+        found.append(pairs.groupBy("region", "x", "y").applyInArrow(_linked(p, q), _LINKED))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return cut(out)
+
+
+def _homes(part: DataFrame, p: int, q: int) -> DataFrame:
+    """(region, cid, native, sub): each document at home with its nearest pivot, and copied to those at most 2 eps further off."""
+    order = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("cid", "region")))
+    pivots = part.where("native").withColumn("at", order).where(F.col("at") <= FANOUT)
+    chunks = F.greatest(F.ceil(F.col("size") / LEAF_CLASSES), F.ceil(F.col("weight") / LEAF_SHINGLES)).cast("int")
+    chunked = part.withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks).cast("int")).select("region", "chunk", "cid", "shingles", "native")
+    pivots = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select(*(F.col(c).alias(f"by_{c}") for c in ("region", "chunk", "cid", "shingles")))
+
+    def of(docs: pa.Table, by: pa.Table) -> pa.Table:
+        none = pa.table({c: pa.array([], t) for c, t in (("region", pa.int64()), ("cid", pa.int64()), ("native", pa.bool_()), ("sub", pa.int64()))})
+        if not len(docs) or not len(by):
+            return none
+        by = by.sort_by("by_cid")
+        sets = pa.chunked_array([*docs["shingles"].chunks, *by["by_shingles"].chunks]).combine_chunks()
+        left = np.arange(len(sets)) < len(docs)
+        size, both = _common(sets, left, ~left)
+        far = 1 - both / (size[left][:, None] + size[~left][None, :] - both)
+        nearest = far.argmin(axis=1)
+        slack = 2 * (q - p) / q + 1e-9
+        copied = far <= far.min(axis=1)[:, None] + slack
+        doc, to = np.nonzero(copied)
+        native = docs["native"].to_numpy()[doc] & (to == nearest[doc])
+        return pa.table({"region": pa.array(docs["region"].to_numpy()[doc]), "cid": pa.array(docs["cid"].to_numpy()[doc]), "native": pa.array(native), "sub": pa.array(by["by_cid"].to_numpy()[to])})
+
+    return chunked.groupBy("region", "chunk").cogroup(pivots.groupBy("by_region", "by_chunk")).applyInArrow(of, "region long, cid long, native boolean, sub long")
+
+
+def _common(sets: pa.Array, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of all sets, and how many shingles those of ``left`` share with those of ``right``."""
+    n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    _, cols = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    return n, _overlaps(np.repeat(np.arange(len(n)), n), cols, left, right)
+
+
+_LINKED = "cid long, n_links long, root long"
 
 
 def _linked(p: int, q: int):
-    """Links that each class has in a pair of blocks."""
+    """Links that the native classes of a task have there, and a star for each group that they connect."""
 
     def of(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        cid = rows["cid"].to_numpy()
-        left = rows["block"].to_numpy() == rows["block_x"].to_numpy()
-        sets = rows["shingles"].combine_chunks()
-        n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        _, cols = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-        at = np.repeat(np.arange(len(n)), n)
-        one = bool(left.all())  # a block with itself
-        other = left if one else ~left
-        both = _overlaps(at, cols, left, other)
-        size = n[left][:, None] + n[other][None, :]
-        link = both * q >= (size - both) * p
-        if one:
-            np.fill_diagonal(link, False)
-        found = np.zeros(len(n), np.int64)
-        found[left] += link.sum(axis=1)
-        if not one:
-            found[other] += link.sum(axis=0)
-        return pa.table({"cid": pa.array(cid), "n_links": pa.array(found)}).filter(pa.array(found > 0))
+        cid, native = rows["cid"].to_numpy(), rows["native"].to_numpy()
+        left, right, region = (rows[c].to_numpy() for c in ("left", "right", "region"))
+        size, both = _common(rows["shingles"].combine_chunks(), left, right)
+        link = both * q >= (size[left][:, None] + size[right][None, :] - both) * p
+        link &= (cid[left][:, None] != cid[right][None, :]) & (region[left][:, None] == region[right][None, :])
+        n_links = np.zeros(len(cid), np.int64)
+        n_links[left] += link.sum(axis=1)
+        if not (left & right).any():  # two blocks: each pair is seen once, and counts for both
+            n_links[right] += link.sum(axis=0)
+        n_links[~native] = 0
+        names, node = np.unique(cid, return_inverse=True)
+        x, y = np.nonzero(link & (native[left][:, None] | native[right][None, :]))
+        root = _roots(node[left][x], node[right][y], len(names))[node]
+        some = (n_links > 0) | (root != node)
+        return pa.table({"cid": pa.array(cid[some]), "n_links": pa.array(n_links[some]), "root": pa.array(names[root[some]])})
 
     return of
 
@@ -349,25 +369,9 @@ def _overlaps(at: np.ndarray, cols: np.ndarray, left: np.ndarray, right: np.ndar
     return out
 
 
-def _sets_of(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(cid, shingles) of the classes ``reps`` (cid, h1, h2, doc_id), from the documents' texts."""
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(_cell(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([pa.array(at)], ["cell"])
-
-    wanted = np.zeros(1 << CELL_BITS, bool)  # at most 2**CELL_BITS cells reach the driver, whatever the corpus
-    wanted[reps.select("doc_id").mapInArrow(cells, "cell long").distinct().toArrow()["cell"].to_numpy()] = True
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
-    sets = docs.mapInArrow(_whole_sets(k, held), "doc_id long, h1 long, h2 long, shingles array<long>")
-    same = (sets.h1 == reps.h1) & (sets.h2 == reps.h2) & sets.doc_id.eqNullSafe(reps.doc_id)
-    return cut(sets.join(reps, same).select("cid", "shingles").dropDuplicates(["cid"]))
-
-
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The join over all of ``documents``: five-word shingles, similarity 0.8."""
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("component")
 
 
 QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
@@ -390,8 +394,12 @@ pairs AS MATERIALIZED (
   SELECT doc_id, doc_id AS c FROM sets
   UNION
   SELECT p.b, r.c FROM reach r JOIN pairs p ON p.a = r.doc_id
+), class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS c FROM sets),
+degree AS (
+  SELECT p.a AS doc_id, count(DISTINCT y.c) AS n_links
+  FROM pairs p JOIN class x ON x.doc_id = p.a JOIN class y ON y.doc_id = p.b WHERE x.c <> y.c GROUP BY p.a
 )
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id
-FROM sets s JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id) m USING (doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, CAST(coalesce(d.n_links, 0) AS BIGINT) AS n_links
+FROM sets s JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id) m USING (doc_id) LEFT JOIN degree d USING (doc_id)
 """
 }

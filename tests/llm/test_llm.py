@@ -38,31 +38,45 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def test_metric_join(spark, rows):
-    sets = [shingle_set(t) for _, t, *_ in rows]
-    comp = list(range(len(rows)))
+def joined_by_brute_force(texts):
+    """(set, number of the component, links) of each text."""
+    sets = [shingle_set(t) for t in texts]
+    comp = list(range(len(sets)))
 
     def root(i):
         while comp[i] != i:
             i = comp[i]
         return i
 
+    kinds = {x for x in sets if x}
+    links = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in kinds) for a in kinds}
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
             if a and b and 100 * len(a & b) >= 80 * len(a | b):
                 comp[root(i)] = root(j)
-    ids = {}
-    for i, r in enumerate(rows):
+    return [(x, root(i), links.get(x, 0)) for i, x in enumerate(sets)]
+
+
+def check_join(spark, data, **small):
+    want, ids = [], {}
+    found = joined_by_brute_force([r[1] for r in data])
+    for r, (_, c, _) in zip(data, found):
         if r[0] is not None:
-            ids[root(i)] = min(r[0], ids.get(root(i), r[0]))
-    want = sorted(str((r[0], len(s), ids.get(root(i)))) for i, (r, s) in enumerate(zip(rows, sets)))
-    for per in (200, 0):  # joined directly, and by pivots to the end
-        got = metric_join.jaccard_join(spark.createDataFrame(rows, DOCS), direct_per_class=per).collect()
-        assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == want
+            ids[c] = min(r[0], ids.get(c, r[0]))
+    want = sorted(str((r[0], len(x), ids.get(c) if x else r[0], n)) for r, (x, c, n) in zip(data, found))
+    got = metric_join.jaccard_join(spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.n_links)) for r in got) == want
+    return found
+
+
+def test_metric_join(spark, rows):
+    check_join(spark, rows)
     assert metric_join.jaccard_join(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_metric_join_counts_all_links(spark, monkeypatch):
+@pytest.mark.parametrize("small", [{"REGION_ROWS": 2}, {"REGION_ROWS": 2, "LEAF_CLASSES": 4, "PACK_ROWS": 3, "FANOUT": 3}, {"LEAF_SHINGLES": 300}])
+def test_metric_join_cuts_large_cells(spark, monkeypatch, small):
+    """Dense groups, chains of near copies and loose groups in one cell, with every limit so low that it is met."""
     rng = random.Random(5)
     base = ["w%d" % i for i in range(80)]
     data = [(1, None), (2, "one two"), (3, "One  TWO")]
@@ -70,16 +84,29 @@ def test_metric_join_counts_all_links(spark, monkeypatch):
         text = base[:] if i < 15 else ["v" + w for w in base]
         text[rng.randrange(80)] = "x%d" % rng.randrange(1000)
         data.append((1000 + i, " ".join(text)))
-    sets = [shingle_set(t) for _, t in data]
-    kinds = {s for s in sets if s}
-    links = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in kinds) for a in kinds}
-    want = sorted((r[0], links.get(s, 0)) for r, s in zip(data, sets))
-    assert len(set(links.values())) > 2 and max(links.values()) == 14
-    for per, classes, shingles in ((0, 1024, 500_000), (200, 1024, 500_000), (200, 7, 300)):
-        monkeypatch.setattr(metric_join, "BLOCK_CLASSES", classes)
-        monkeypatch.setattr(metric_join, "BLOCK_SHINGLES", shingles)
-        got = metric_join.jaccard_join(spark.createDataFrame(data, "doc_id long, text string"), direct_per_class=per).collect()
-        assert sorted((r.doc_id, r.n_links) for r in got) == want
+    text = base[:]
+    for i in range(25):  # a chain whose ends have nothing in common
+        data.append((2000 + i, " ".join(text)))
+        text[(3 * i) % 80] = "y%d" % i
+    for name, value in small.items():
+        monkeypatch.setattr(metric_join, name, value)
+    found = check_join(spark, data)
+    assert len({n for *_, n in found}) > 4
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_without_structural_collisions(spark, n):
+    """Polynomial hashes modulo 2**64 take these two words for one."""
+    a, b = thue_morse(n), thue_morse(n, 1)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{a}\n{a}"), (5, f"p q {a} p q {b}")], "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in metric_join.jaccard_join(docs).collect()}
+    assert got == {i: (i, 0) for i in range(1, 6)}
+    lines = {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in quality.text_counts(docs, "doc_id").collect()}
+    assert lines == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (1, 0), 5: (0, 0)}
 
 
 def test_warc_round_trip(spark, tmp_path):
