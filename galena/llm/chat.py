@@ -30,11 +30,13 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     ``mask`` holds the (start, length) in code points, from 1, of each assistant text as
     formatted.  A null text or role is empty; turns with equal numbers go by role, then text; a
     null turn comes first; rows with a null conv_id form one conversation; rows repeated as a
-    whole are turns of their own.
+    whole are turns of their own; other columns are not read; an empty table gives no rows.  A conversation
+    is one string, so its turns meet in one row.
     """
-    role = F.replace(escape(F.coalesce(F.col("role"), F.lit(""))), F.lit("\n"), F.lit("\\n"))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), escape(F.coalesce(F.col("text"), F.lit(""))).alias("text")).alias("t"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))).alias("t"))
+    # sorted as said, escaped afterwards
+    escaped = lambda t: F.struct(F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\n")).alias("role"), escape(t["text"]).alias("text"))
+    convs = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), escaped).alias("t"))
     # what stands before each text: a new block's header, or the mark between texts of one role
     lead = F.transform(
         "t",

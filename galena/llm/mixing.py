@@ -46,50 +46,61 @@ def shares_by_size(counts: dict[str, int], power: float = 0.5, frame: int = FRAM
     whole = sum(raw.values())
     out = {s: max(1, int(frame * r / whole)) for s, r in raw.items()}
     order = sorted(raw, key=lambda s: (-(frame * raw[s] / whole - out[s]), s))
-    i = 0
-    while (gap := frame - sum(out.values())) != 0:
-        s = order[i % len(order)] if gap > 0 else max(out, key=lambda s: (out[s], s))
-        out[s] += 1 if gap > 0 else -1
-        i += 1
+    gap = frame - sum(out.values())
+    for i in range(max(0, gap)):
+        out[order[i % len(order)]] += 1
+    largest = [(-w, s) for s, w in out.items()]
+    heapq.heapify(largest)
+    for _ in range(max(0, -gap)):
+        w, s = heapq.heappop(largest)
+        out[s] -= 1
+        heapq.heappush(largest, (w + 1, s))
     return out
 
 
-def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def source_key(source: str | None) -> str:
+    """How a source is named inside: the null source is none of the others."""
+    return "null" if source is None else "=" + source
+
+
+def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``docs`` with mix_source, mix_block, mix_slot and mix_seq, the place of each row in the mixture.
 
-    ``docs`` needs doc_id, source and text; all its columns are kept, save older ones of these
-    names.  ``shares`` are whole weights by source (the null source is "(none)"); without them
+    ``docs`` needs doc_id, source and text; all its columns are kept whatever their names, save older ones of these
+    four.  ``shares`` are whole weights by source (None is the null source, a source of its own); without them
     the square roots of the sizes are taken.  Every row is kept once: when a source has no blocks left its slots stay
     empty and mix_seq skips them.  A source without a share comes after all others.  Rows equal in
     doc_id and text are placed in any order among themselves; an empty table gives no rows.
+
+    The schedule of a frame, which the driver makes, has at least one slot for each source: there may be many
+    documents but not millions of sources.
     """
     spark = docs.sparkSession
-    docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_seq").withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("(none)")))
+    docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_seq")
+    source = F.col("source").cast("string")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))))
-    docs = docs.withColumn("_key", key)
-    bucket = F.substring("_key", 1, BUCKETS)
-    sizes = docs.groupBy("mix_source", bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    docs = docs.select(F.struct("*").alias("row"), F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("name"), key.alias("key"))
+    docs = docs.withColumn("bucket", F.substring("key", 1, BUCKETS))
+    sizes = docs.groupBy("name", "bucket").agg(F.count("*").alias("n"))
     # a row for each source and bucket: what stands before the bucket in its source
-    before = F.sum("_n").over(Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    before = F.sum("n").over(Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
     if shares is None:
-        counts = {r[0]: r[1] for r in sizes.groupBy("mix_source").agg(F.sum("_n")).collect()}  # a row for each source
-        shares = shares_by_size(counts)
-    total = max(1, sum(shares.values()))
-    placed = docs.withColumn("_bucket", bucket).withColumn("_in", F.row_number().over(Window.partitionBy("mix_source", "_bucket").orderBy("_key", "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))) - 1).join(starts, ["mix_source", "_bucket"])
-    rank = F.col("_before") + F.col("_in")
-    placed = placed.withColumn("_at", F.pmod(rank, F.lit(block_docs))).withColumn("mix_block", F.floor(rank / block_docs).cast("long"))
-    known = {s: w for s, w in shares.items() if w > 0}
-    if not known:
-        known = {"(none)": 1}
-    slots = spark.createDataFrame([(s, j, slot, known[s]) for s, j, _, _, slot in frame_slots(known)], "mix_source string, _j long, _slot long, _w long")
-    share = F.broadcast(slots.select("mix_source", "_w").distinct())
-    placed = placed.join(share, "mix_source", "left").withColumn("_j", F.pmod("mix_block", F.coalesce("_w", F.lit(1))))
-    placed = placed.join(F.broadcast(slots.drop("_w")), ["mix_source", "_j"], "left")
-    last = F.lit(1 << 52)
-    slot = F.when(F.col("_slot").isNull(), last + F.col("mix_block")).otherwise(F.floor(F.col("mix_block") / F.col("_w")) * sum(known.values()) + F.col("_slot"))
-    placed = placed.withColumn("mix_slot", slot.cast("long"))
-    return placed.withColumn("mix_seq", F.col("mix_slot") * block_docs + F.col("_at")).drop("_key", "_bucket", "_in", "_before", "_at", "_j", "_slot", "_w")
+        weights = shares_by_size({r[0]: r[1] for r in sizes.groupBy("name").agg(F.sum("n")).collect()})  # a row for each source
+    else:
+        weights = {source_key(s): w for s, w in shares.items()}
+    known = {s: w for s, w in weights.items() if w > 0} or {"null": 1}
+    inside = Window.partitionBy("name", "bucket").orderBy("key", "row.doc_id", F.when(F.col("row.doc_id").isNull(), F.col("row.text")))
+    placed = docs.withColumn("place", F.row_number().over(inside) - 1).join(starts, ["name", "bucket"])
+    rank = F.col("before") + F.col("place")
+    placed = placed.select("row", "name", F.pmod(rank, F.lit(block_docs)).alias("at"), F.floor(rank / block_docs).cast("long").alias("block"))
+    slots = spark.createDataFrame([(s, j, slot, known[s]) for s, j, _, _, slot in frame_slots(known)], "name string, nth long, slot long, weight long")
+    # small tables of known size: Spark sees it and broadcasts them while they are
+    placed = placed.join(slots.select("name", "weight").distinct(), "name", "left").withColumn("nth", F.pmod("block", F.coalesce("weight", F.lit(1))))
+    placed = placed.join(slots.drop("weight"), ["name", "nth"], "left")
+    slot = F.when(F.col("slot").isNull(), F.lit(1 << 52) + F.col("block")).otherwise(F.floor(F.col("block") / F.col("weight")) * sum(known.values()) + F.col("slot")).cast("long")
+    seq = (slot * block_docs + F.col("at")).alias("mix_seq")
+    return placed.select("row.*", F.when(F.col("name") != "null", F.substring("name", 2, 1 << 30)).alias("mix_source"), F.col("block").alias("mix_block"), slot.alias("mix_slot"), seq)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

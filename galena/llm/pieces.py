@@ -92,7 +92,7 @@ def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
     every task, which adds them up for its documents; the rest are joined by a shuffle.
 
     A null text is empty and has no tokens; rows are counted one by one, also where doc_id is
-    null or repeated; an empty table gives no rows.
+    null or repeated; an empty table gives no rows; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -115,7 +115,7 @@ def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
                             col.append(v)
                     else:
                         total += n * c
-                for col, v in zip(cols, (row, doc_id, len(text.encode()), total, None, None)):
+                for col, v in zip(cols, (row, doc_id, len(text.encode()), total, str(row), None)):
                     col.append(v)
                 if len(cols[0]) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FREQ)], schema=_FREQ)
@@ -124,7 +124,7 @@ def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
 
     found = docs.mapInArrow(frequencies, "row long, doc_id long, n_bytes long, n_tokens long, pre_token string, c long")
     joined = found.join(pieces.select("pre_token", "n"), "pre_token", "left")
-    # the row of the document itself has no pre-token; the sums of both kinds meet in it
+    # the key of the document's own row is its number, which is no pre-token as these begin with a space; both kinds meet in the sum
     sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.coalesce("n_tokens", F.col("n") * F.col("c"))).alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -87,7 +87,12 @@ def _repeated(key: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def text_counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """The counts of each row's whole text beside its columns ``keep``; a null text has none of anything."""
+    """The counts of each row's whole text beside its columns ``keep``; a null text has none of anything.
+
+    Rows are counted one by one, repeated ones too; an empty table gives no rows; a column to keep may not be named like a count.
+    """
+    if set(keep) & {*COUNTS, "base_failed", "kept", "rule"}:
+        raise ValueError("a column to keep has the name of a result column")
     rows = docs.select(F.col("text").cast("string").alias("text"), *keep)
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + [f"{c} long" for c in COUNTS])
     return rows.mapInArrow(_counts, kinds)
@@ -118,12 +123,16 @@ def feature(name: str) -> Column:
     return F.col(above) / F.greatest(F.col(below), F.lit(1))
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, support: int = 5, most_rules: int = 12, most_terms: int = 3, seed: int = 7) -> list[Rule]:
-    """A decision list for ``bad``.  Ties go to the earlier feature, then the smaller threshold."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, support: int = 5, most_rules: int = 12, most_terms: int = 3, tries: int = 4, least_checked: int = 3, seed: int = 7) -> list[Rule]:
+    """A decision list for ``bad``.  Ties go to the earlier feature, then the smaller threshold.
+
+    A rule must be precise on all rows it covers and on at least ``least_checked`` of the third that it was not grown on.
+    """
     rng = np.random.default_rng(seed)
     left = np.ones(len(bad), bool)
     rules: list[Rule] = []
-    while len(rules) < most_rules and bad[left].sum() >= support:
+    failed = 0
+    while len(rules) < most_rules and failed < tries and bad[left].sum() >= support:
         grow = left & (rng.random(len(bad)) < 2 / 3)
         prune = left & ~grow
         terms: list[tuple[str, bool, float]] = []
@@ -134,19 +143,18 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, su
                 break
             terms.append(best)
             covered &= Rule((best,), 0).holds(x)
-        if not terms:
-            break
 
         def worth(ts: tuple) -> float:
             hit = Rule(ts, 0).holds(x) & prune
             p, n = (bad & hit).sum(), (~bad & hit).sum()
             return (p - n) / max(1, p + n)
 
-        kept = max((tuple(terms[:i]) for i in range(1, len(terms) + 1)), key=lambda ts: (worth(ts), -len(ts)))
+        kept = max((tuple(terms[:i]) for i in range(1, len(terms) + 1)), key=lambda ts: (worth(ts), -len(ts)), default=())
         hit = Rule(kept, 0).holds(x) & left
         got, checked = bad[hit].mean() if hit.any() else 0.0, hit & prune
-        if hit.sum() < support or got < precision or (checked.any() and bad[checked].mean() < precision):
-            break
+        if not kept or hit.sum() < support or got < precision or checked.sum() < least_checked or bad[checked].mean() < precision:
+            failed += 1  # another split may show a rule that holds on both parts
+            continue
         rules.append(Rule(kept, float(got)))
         left &= ~hit
     return rules
@@ -166,7 +174,7 @@ def _best_term(x, bad, covered):
         for above in (True, False):
             p = p0 - below[0] if above else below[0]
             size = len(v) - below[1] if above else below[1]
-            with np.errstate(divide="ignore"):
+            with np.errstate(divide="ignore", invalid="ignore"):
                 g = np.where(p > 0, p * (np.log2(p / size) - before), 0)
             if len(g) and g.max() > gain:
                 i = int(g.argmax())
@@ -175,7 +183,10 @@ def _best_term(x, bad, covered):
 
 
 def learned_rules(docs: DataFrame, labels: DataFrame, **settings) -> list[Rule]:
-    """Rules from the labelled rows of ``docs``; labels are (doc_id, quality), null qualities are left out."""
+    """Rules from the labelled rows of ``docs``; labels are (doc_id, quality), null qualities and ids are left out.
+
+    Repeated label rows count as often as they come, contradicting ones on both sides; without labelled rows there are no rules.
+    """
     y = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), (F.col("quality") == 0).alias("bad")).orderBy("h", "doc_id", "bad").limit(LABELLED_ROWS)
     t = text_counts(docs.join(y, "doc_id"), "bad").select("bad", *(feature(f).alias(f) for f in FEATURES)).toArrow()
     x = {f: t[f].to_numpy() for f in FEATURES}

@@ -1,58 +1,28 @@
 """Exact top-k inner products from an impact-ordered index, score at a time.
 
 Each component of a quantised vector is a posting (dimension -> vector, value) and its
-magnitude is its impact.  A block of vectors keeps its postings in segments of falling
-impact.  Segments are processed from the highest on and add to the accumulators of all
-queries of a block.  What the lower segments can still add to a pair is bounded by the
-norms of what is left of the vector and of the query (Cauchy-Schwarz); the scan stops only
-when that proves that few vectors can be among a query's best k, and exactly these are
-rescored from whole vectors.  Blocks of vectors and of queries have fixed sizes, and every
-pair of blocks is one group of a shuffle.
+magnitude is its impact.  ``build_index`` writes the postings of each block of vectors once, in
+segments of falling impact.  A search adds segments to the accumulators of its queries from the
+highest on.  What lower segments can still add is bounded by the norms of what is left of the
+vector and of the query (Cauchy-Schwarz); the scan stops only when that proves that few
+vectors can be among a query's best k, and exactly these are rescored from whole vectors.
+
+Each query is first searched in one block; its k-th score there is a floor for all others.
+Blocks have fixed sizes, and every pair of a vector block and a query block is one group of a shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
-STEPS = 8  # an impact segment spans so many values of the quantised magnitude... the finest is the last
-RESCORE_SHARE = 0.05  # the scan stops when at most this share of the block can still be among the best
-
-
-def segments(v: np.ndarray) -> list[np.ndarray]:
-    """The postings of a block (vectors x dimensions) by falling impact, each as a matrix with the others at 0."""
-    size = np.abs(v)
-    top = int(size.max(initial=0))
-    edges = sorted({top + 1, *(max(1, top * i // STEPS) for i in range(1, STEPS)), 0}, reverse=True)
-    return [np.where((size >= lo) & (size < hi), v, 0).astype(np.float64) for hi, lo in zip(edges, edges[1:])]
-
-
-def best(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of the k best vectors with another id of each query: rows of the two blocks."""
-    n, kk = len(v), min(k, len(v))
-    own = q_id[:, None] == v_id[None, :]
-    acc, left = np.zeros((len(q), n)), v.astype(np.float64)
-    norm = np.linalg.norm(q.astype(np.float64), axis=1)
-    possible = np.ones((len(q), n), bool)
-    for part in segments(v):
-        acc += q @ part.T
-        left = left - part
-        slack = norm[:, None] * np.linalg.norm(left, axis=1)[None, :] * (1 + 1e-9) + 1e-6
-        low = np.where(own, -np.inf, acc - slack)
-        kth = np.partition(low, n - kk, axis=1)[:, n - kk]
-        possible = (acc + slack >= kth[:, None]) & ~own
-        if possible.sum() <= max(RESCORE_SHARE * possible.size, 4 * k * len(q)):
-            break
-    out = []
-    whole = v.astype(np.int64)
-    for i in range(len(q)):
-        at = np.flatnonzero(possible[i])
-        exact = whole[at] @ q[i].astype(np.int64)
-        order = np.lexsort((v_id[at], -exact))[:k]
-        out += [(i, int(at[j]), int(exact[j])) for j in order]
-    return out
+from .storage import cut
+
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 16384
+GROUP = 256  # queries that share accumulators
+EDGES = (1 / 2, 1 / 4, 1 / 8, 3 / 32, 1 / 16, 1 / 32)  # where segments end, as shares of a block's highest impact
+RESCORE_SHARE = 0.03  # the scan stops when at most this share of a block can still be among the best
 
 
 def quantised(vectors: DataFrame, factor: int = 64) -> DataFrame:
@@ -62,37 +32,127 @@ def quantised(vectors: DataFrame, factor: int = 64) -> DataFrame:
     return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * factor).cast("long")).alias("q"))
 
 
+_INDEX = "d int, vb long, segment int, vec_ids array<long>, starts array<int>, places array<int>, impacts array<long>"
+
+
+def build_index(vectors: DataFrame) -> DataFrame:
+    """The postings of (d, vb, vec_id, q): a row for each block and segment, by dimension and falling impact; the first has the ids."""
+
+    def of(rows: pa.Table) -> pa.Table:
+        d, vb = rows["d"][0].as_py(), rows["vb"][0].as_py()
+        v = rows["q"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+        size = np.abs(v).T
+        top = int(size.max(initial=0))
+        edges = sorted({top + 1, *(max(1, round(top * x)) for x in EDGES), 1}, reverse=True)
+        out: dict[str, list] = {c.split()[0]: [] for c in _INDEX.split(", ")}
+        for i, (hi, lo) in enumerate(zip(edges, [*edges[1:], 0])):  # zeros, below 1, are no postings
+            dims, places = np.nonzero((size >= max(lo, 1)) & (size < hi))
+            order = np.lexsort((places, -size[dims, places], dims))
+            dims, places = dims[order], places[order]
+            ids = rows["vec_id"].to_numpy() if not i else np.zeros(0, np.int64)
+            for c, x in zip(out, (d, vb, i, ids, np.searchsorted(dims, np.arange(d + 1)), places, v[places, dims])):
+                out[c].append(x)
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.table({c: pa.array(x, k) for (c, x), k in zip(out.items(), kinds)})
+
+    return vectors.select("d", "vb", "vec_id", "q").groupBy("d", "vb").applyInArrow(of, _INDEX)
+
+
+def search(index: pa.Table, qs: np.ndarray, q_id: np.ndarray, floor: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(query's place, vec_id, score) of the k best with another id of each query in one block, and the multiplications made.
+
+    Candidates below a query's ``floor`` may be left out.
+    """
+    index = index.sort_by("segment")
+    v_id = index["vec_ids"][0].values.to_numpy()
+    n, d = len(v_id), qs.shape[1]
+    parts = [tuple(index[c][i].values.to_numpy() for c in ("starts", "places", "impacts")) for i in range(len(index))]
+    whole = np.zeros((n, d), np.int64)
+    for starts, places, impacts in parts:
+        whole[places, np.repeat(np.arange(d), np.diff(starts))] = impacts
+    left = (whole.astype(np.float64) ** 2).sum(axis=1)
+    rest = []
+    for _, places, impacts in parts:
+        left = left - np.bincount(places, impacts.astype(np.float64) ** 2, n)
+        rest.append(np.sqrt(np.maximum(left, 0)))
+    rest[-1][:] = 0
+    norms = np.linalg.norm(qs.astype(np.float64), axis=1)
+    longest = np.sqrt((whole.astype(np.float64) ** 2).sum(axis=1).max(initial=0))
+    # all partial sums are whole numbers below the product of the norms times sqrt(d): exact in either type
+    kind = np.float32 if longest * norms.max(initial=0) * d < 1 << 24 else np.float64
+    kk, made, out = min(k, n), 0, []
+    live = np.flatnonzero(norms * longest >= floor)  # else no vector of the block can reach the floor
+    for lo in range(0, len(live), GROUP):
+        at = live[lo : lo + GROUP]
+        by_dim = np.ascontiguousarray(qs[at].T.astype(kind))
+        acc = np.zeros((n, len(at)), kind)
+        own = v_id[:, None] == q_id[at][None, :]
+        for (starts, places, impacts), slack in zip(parts, rest):
+            impacts = impacts.astype(kind)
+            for j in range(d):
+                here = places[starts[j] : starts[j + 1]]
+                if len(here):
+                    acc[here] += impacts[starts[j] : starts[j + 1], None] * by_dim[j]
+            made += len(places) * len(at)
+            if slack.mean() > 0.12 * longest:
+                continue
+            open_ = (slack[:, None] * norms[at][None, :] * (1 + 1e-6) + 1e-3).astype(np.float64) if slack.any() else np.zeros((1, len(at)))
+            low = np.where(own, -np.inf, acc - open_)
+            kth = np.maximum(np.partition(low, n - kk, axis=0)[n - kk], floor[at])
+            possible = (acc + open_ >= kth[None, :]) & ~own
+            if possible.sum() <= max(RESCORE_SHARE * possible.size, 4 * k * len(at)):
+                break
+        for i, x in enumerate(at):
+            some = np.flatnonzero(possible[:, i])
+            made += len(some) * d
+            exact = whole[some] @ qs[x]
+            out += [(int(x), int(v_id[some[j]]), int(exact[j])) for j in np.lexsort((v_id[some], -exact))[:k]]
+    return out, made
+
+
+def _searched(k: int):
+    def of(index: pa.Table, queries: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if len(index) and len(queries):
+            d = index["d"][0].as_py()
+            q_id, floor = queries["query_id"].to_numpy(), queries["floor"].to_numpy()
+            found, _ = search(index, queries["q"].combine_chunks().flatten().to_numpy().reshape(-1, d), q_id, floor, k)
+            best: dict[int, list[int]] = {}
+            for i, _, score in found:
+                best.setdefault(i, []).append(score)
+            rows = [(int(q_id[i]), v, score, min(best[i]) if len(best[i]) == k else None) for i, v, score in found]
+        return pa.table({c: pa.array([r[j] for r in rows], pa.int64()) for j, c in enumerate(("query_id", "vec_id", "score", "kth"))})
+
+    return of
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k vectors with the highest inner product with each query.
 
-    Both tables are (vec_id, q).  A query's own id is no candidate; ties go to the smaller vec_id;
-    only vectors of the query's length are candidates; rows repeated as a whole count once; different
-    vectors with one id are candidates of their own, and as queries share that id's k places.
+    Both tables are (vec_id, q).  A row with the query's own id is no candidate; ties go to the smaller vec_id;
+    only vectors of the query's length are candidates.  A repeated row is a candidate as often as it comes;
+    queries with one id share that id's k places.  Empty tables give no rows; other columns are not read.
     """
-    vectors, queries = (x.dropDuplicates(["vec_id", "q"]).withColumn("d", F.size("q")) for x in (vectors, queries))
-    blocks = {r["d"]: (-(-r["n"] // VECTOR_BLOCK)) for r in vectors.groupBy("d").agg(F.count("*").alias("n")).collect()}
-    parts = {r["d"]: (-(-r["n"] // QUERY_BLOCK)) for r in queries.groupBy("d").agg(F.count("*").alias("n")).collect()}
-    both = {d: (blocks[d], parts[d]) for d in blocks if d in parts} or {0: (1, 1)}
-    number = lambda i: F.element_at(F.create_map(*(F.lit(x) for d, n in both.items() for x in (d, n[i]))), F.col("d"))
-    spread = lambda other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+    vectors, queries = (x.select("vec_id", "q").withColumn("d", F.size("q")).where("d > 0") for x in (vectors, queries))
+    counted = [x.groupBy("d").agg(F.ceil(F.count("*") / most).cast("long").alias(name)) for x, most, name in ((vectors, VECTOR_BLOCK, "nv"), (queries, QUERY_BLOCK, "nq"))]
+    sizes = cut(counted[0].join(counted[1], "d"))  # a row for each length
     hashed = F.xxhash64("vec_id", "q")
-    held = [x.where(F.col("d").isin(list(both))).withColumns({"nv": number(0), "nq": number(1)}) for x in (vectors, queries)]
-    v = held[0].withColumn("vb", F.pmod(hashed, "nv")).withColumn("qb", spread("nq"))
-    q = held[1].withColumn("qb", F.pmod(hashed, "nq")).withColumn("vb", spread("nv"))
-    cols = ["d", F.col("vb").cast("long").alias("vb"), F.col("qb").cast("long").alias("qb"), "vec_id", "q"]
-
-    def of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            qs, vs = np.stack(right["q"]).astype(np.float64), np.stack(left["q"]).astype(np.int64)
-            qi, vi = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-            for at in range(0, len(qs), QUERY_BLOCK):
-                found += [(qi[at + i], vi[j], s) for i, j, s in best(qs[at : at + QUERY_BLOCK], qi[at : at + QUERY_BLOCK], vs, vi, k)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    local = v.select(*cols).groupBy("d", "vb", "qb").cogroup(q.select(*cols).groupBy("d", "vb", "qb")).applyInPandas(of, "query_id long, vec_id long, score long")
+    placed = vectors.join(sizes, "d").withColumn("vb", F.pmod(hashed, "nv"))
+    index = cut(build_index(placed))
+    spread = index.join(sizes.select("d", "nq"), "d").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1))).drop("nq")
+    asked = queries.join(sizes, "d").select(F.col("d").alias("qd"), F.col("vec_id").alias("query_id"), "q", F.pmod(hashed, "nq").alias("q_block"), F.pmod(hashed, "nv").alias("first"), "nv")
+
+    def searched(some: DataFrame) -> DataFrame:
+        pairs = spread.groupBy("d", "vb", "qb").cogroup(some.select("qd", "at", "q_block", "query_id", "q", F.col("floor").cast("double").alias("floor")).groupBy("qd", "at", "q_block"))
+        return pairs.applyInArrow(_searched(k), "query_id long, vec_id long, score long, kth long")
+
+    first = cut(searched(asked.withColumn("at", F.col("first")).withColumn("floor", F.lit(float("-inf")))))
+    floors = first.groupBy("query_id").agg(F.max("kth").alias("floor"))
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("nv") - 1), lambda b: b != F.col("first")))
+    rest = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))).withColumn("at", others)
+    found = first.drop("kth").unionByName(searched(rest).drop("kth"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

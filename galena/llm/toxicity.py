@@ -1,7 +1,7 @@
 """A toxicity classifier that does not react to which group a text mentions.
 
-A logistic model over the distinct words of a text and their stems, hashed to a fixed
-number of weights and kept sparse by FTRL-proximal updates with an L1 term.
+A logistic model over the distinct words of a text, their stems, and the stems that two of its
+words share, hashed to a fixed number of weights and kept sparse by FTRL-proximal updates with an L1 term.
 Labelled texts that name an identity are also seen with their identity terms swapped for
 others of the same kind, and the squared change of the score is penalised; what only tells
 one group from another thus gets no weight, and neutral mentions stay below the threshold.
@@ -36,6 +36,27 @@ IDENTITIES = (
     ("immigrants", "refugees", "foreigners", "migrants"),
     ("blind", "deaf", "disabled", "autistic"),
     ("old", "young", "elderly", "teenage"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten", "katholiken"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle", "transsexuelle"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("frau", "mann", "mädchen", "junge"),
+    ("frauen", "männer", "jungen"),
+    ("flüchtlinge", "einwanderer", "ausländer", "migranten"),
+    ("blinde", "gehörlose", "behinderte", "autisten"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "bisexuels", "transgenres"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("femme", "homme", "fille", "garçon"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("réfugiés", "immigrés", "étrangers"),
+    ("aveugles", "sourds", "handicapés", "autistes"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales", "transexuales"),
+    ("negros", "asiáticos", "árabes", "africanos", "europeos"),
+    ("mujer", "hombre", "chica", "chico"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("refugiados", "inmigrantes", "extranjeros", "migrantes"),
+    ("ciegos", "sordos", "discapacitados"),
 )
 
 
@@ -46,17 +67,24 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) & mask for x in names]
 
 
+def twice(features: np.ndarray) -> np.ndarray:
+    """The features that say that two distinct words of a text share a feature."""
+    return ((features.astype(np.int64) + 1) * 2654435765) & ((1 << BITS) - 1)
+
+
 def text_features(words: set[str]) -> np.ndarray:
-    return np.unique(np.array([f for w in words for f in word_features(w)], np.int64))
+    """The features of the distinct words of a text, and those that two of them share."""
+    found, times = np.unique(np.array([f for w in words for f in set(word_features(w))], np.int64), return_counts=True)
+    return np.unique(np.r_[found, twice(found[times > 1])]).astype(np.int32)
 
 
 def swapped(words: set[str], identities) -> set[str] | None:
-    """The words with each identity term replaced by the next of its kind; None where there is none."""
-    to = {t: kind[(i + 1) % len(kind)] for kind in identities for i, t in enumerate(kind)}
+    """The words with each identity term replaced by another of its kind, chosen by the number of words; None where there is none."""
+    to = {t: kind[(i + 1 + len(words) % (len(kind) - 1)) % len(kind)] for kind in identities for i, t in enumerate(kind)}
     return {to.get(w, w) for w in words} if not to.keys().isdisjoint(words) else None
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], strength: float = 1.0, l1: float = 2.0, l2: float = 1.0, rate: float = 0.3, passes: int = 8, seed: int = 5) -> tuple[float, np.ndarray]:
+def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], strength: float = 1.0, l1: float = 8.0, l2: float = 1.0, rate: float = 0.3, passes: int = 8, seed: int = 5) -> tuple[float, np.ndarray]:
     """(bias, weights) from rows of features, counterfactual features or None, and a 0/1 label."""
     z, n, bias, bias_n = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 1.0
 
@@ -87,7 +115,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], strength: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, identities=IDENTITIES, **settings) -> tuple[float, np.ndarray]:
-    """A model from the labelled rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); null labels are left out."""
+    """A model from the labelled rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); null labels and ids are left out.
+
+    Label rows repeated as a whole count once; a document labelled both ways is seen both ways.  Without labelled
+    rows every score is a half.
+    """
     from pyspark.sql import Window
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,36 +130,56 @@ def train(docs: DataFrame, labels: DataFrame, identities=IDENTITIES, **settings)
                 other = swapped(words, identities)
                 for col, v in zip(out, (toxic, text_features(words), None if other is None else text_features(other))):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.int64()))], ["toxic", "x", "swap"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.int32()))], ["toxic", "x", "swap"])
 
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"))
     some = [known.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(ROWS_PER_CLASS).select("doc_id", "toxic") for y in (0, 1)]
-    rows = docs.select("doc_id", "text").join(some[0].unionByName(some[1]).distinct(), "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, x array<long>, swap array<long>").toArrow()
-    ready = [(np.array(x, np.int64), None if s is None else np.array(s, np.int64), y) for y, x, s in zip(*(rows[c].to_pylist() for c in ("toxic", "x", "swap")))]
+    known = some[0].unionByName(some[1]).distinct()
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, x array<int>, swap array<int>").toArrow()
+    x, swap = (_views(rows[c]) for c in ("x", "swap"))  # no number becomes a Python object
+    ready = list(zip(x, swap, rows["toxic"].to_pylist()))
     ready.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
     return fit(ready, **settings)
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray | None]:
+    """The lists of a column as slices of its own buffer; None for null."""
+    out: list[np.ndarray | None] = []
+    for chunk in column.chunks:
+        ends, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        out += [None if null else values[a:b] for null, a, b in zip(chunk.is_null().to_pylist(), ends, ends[1:])]
+    return out
+
+
 def score(docs: DataFrame, model: tuple[float, np.ndarray], *keep: str) -> DataFrame:
-    """``score`` (0 to 1) of each row's whole text beside its columns ``keep``; a null text has no words."""
+    """``score`` (0 to 1) of each row's whole text beside its columns ``keep``; a null text has no words.
+
+    Rows are scored one by one, repeated ones too; a column to keep may not be called ``score``; an empty table gives no rows.
+    """
+    if "score" in keep:
+        raise ValueError("a column to keep is called score")
     held = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, weights = held.value
+        shared = weights[twice(np.arange(len(weights)))]
+        matters = (weights != 0) | (shared != 0)
         seen: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             logits = np.empty(len(batch))
             for i, text in enumerate(batch.column(0)):
-                active: set[int] = set()
+                times: dict[int, int] = {}
                 for w in set(WORD.findall((text.as_py() or "").lower())):
                     found = seen.get(w)
                     if found is None:
                         if len(seen) >= CACHE:
                             seen.clear()
-                        found = seen[w] = tuple(f for f in word_features(w) if weights[f])
-                    if found:
-                        active.update(found)
-                logits[i] = bias + float(weights[sorted(active)].sum()) if active else bias
+                        found = seen[w] = tuple(f for f in set(word_features(w)) if matters[f])
+                    for f in found:
+                        times[f] = times.get(f, 0) + 1
+                active = np.array(sorted(times), np.int64)
+                both = twice(np.array(sorted(f for f, n in times.items() if n > 1), np.int64))
+                logits[i] = bias + float(weights[np.union1d(active, both)].sum()) if times else bias
             scores = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], "score"])
 

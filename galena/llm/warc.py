@@ -1,10 +1,12 @@
 """WARC archives with a shared Zstandard dictionary, written and read by Spark.
 
-Each task writes one archive: a leading skippable frame holds the dictionary that
-was built from that archive's first records, and every record is a Zstandard frame
-of its own, compressed with it.  Spark's text writer puts the bytes out as they are
-(through its commit protocol, to whatever store the path names), with an empty
-skippable frame as the separator, so that the files are plain Zstandard streams.
+A leading skippable frame of each archive holds the dictionary that was built from that
+archive's first records, and every record is a Zstandard frame of its own, compressed
+with it.  Spark's text writer puts the bytes out as they are (through its commit protocol,
+to whatever store the path names), with an empty skippable frame as the separator, so that
+the files are plain Zstandard streams.  A row of the writer holds frames of about
+``ROW_BYTES``; after the dictionary and ``ARCHIVE_ROWS`` such rows the next archive begins, so
+archives are bounded in size and can be read as one value each.
 
 Records with equal payloads of some size are written once: the one with the
 smallest id is the response, the others are revisit records that name it and keep
@@ -14,6 +16,7 @@ no payload.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -26,6 +29,8 @@ DICTIONARY_MAGIC = 0x184D2A5D  # fixed value of the .warc.zst format
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0).decode("ascii")  # an empty skippable frame
 SAMPLE_BYTES = 2 << 20  # of records from which an archive's dictionary is built
 DICTIONARY_BYTES = 32 << 10
+ROW_BYTES, ARCHIVE_ROWS = 4 << 20, 16  # an archive has at most so many rows of about so many bytes (and the rest of its last record)
+SALTS = 16  # among which the copies of one payload are dealt
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100) -> DataFrame:
@@ -36,8 +41,11 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     first = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
-    first = first.where(F.length("payload") >= least_bytes).groupBy(F.sha2("payload", 256).alias("digest")).agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 AND first_id IS NOT NULL")
-    joined = rows.join(first.select("digest", "first_id"), "digest", "left")
+    first = first.where(F.length("payload") >= least_bytes).groupBy(F.sha2("payload", 256).alias("key")).agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 AND first_id IS NOT NULL")
+    # copies of one payload are dealt to several tasks; small payloads, which refer to nothing, go anywhere
+    first = first.select("key", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("key", F.when(F.length("payload") >= least_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(first, ["key", "salt"], "left")
     refers = F.when((F.length("payload") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     return joined.select("id", "url", "payload", "digest", refers.alias("refers_to"))
 
@@ -57,49 +65,61 @@ def _record(page: int | None, url: str | None, payload: bytes, digest: str, refe
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
+def _write(batches: Iterator[pa.RecordBatch], sample_bytes: int, row_bytes: int, rows: int) -> Iterator[pa.RecordBatch]:
     def records() -> Iterator[bytes]:
         for batch in batches:
             for i in range(len(batch)):
                 yield _record(*(batch.column(j)[i].as_py() for j in range(5)))
 
-    source, sample, size = records(), [], 0
-    for record in source:
-        sample.append(record)
-        size += len(record)
-        if size >= SAMPLE_BYTES:
-            break
-    if not sample:
-        return
+    source = records()
+    while True:
+        sample, size = [], 0
+        for record in source:
+            sample.append(record)
+            size += len(record)
+            if size >= sample_bytes:
+                break
+        if not sample:
+            return
+        yield from _archive(itertools.chain(sample, source), _dictionary(sample), row_bytes, rows)
+
+
+def _dictionary(sample: list[bytes]):
+    import zstandard
+
     try:
-        made = zstandard.train_dictionary(DICTIONARY_BYTES, sample)
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sample)
     except zstandard.ZstdError:  # too few or too small records to train from: their own bytes serve as content
-        made = zstandard.ZstdCompressionDict(b"".join(sample)[:DICTIONARY_BYTES].ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    raw = made.as_bytes()
-    press = zstandard.ZstdCompressor(level=3, dict_data=made, write_checksum=True)
-    out: list[bytes] = [struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw]
-    held = 0
-
-    def give() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    for some in (sample, source):
-        for record in some:
-            out.append(press.compress(record))
-            held += len(out[-1])
-            if held >= 4 << 20:
-                yield give()
-                out.clear()
-                held = 0
-    yield give()
+        return zstandard.ZstdCompressionDict(b"".join(sample)[:DICTIONARY_BYTES].ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def _archive(source: Iterator[bytes], dictionary, row_bytes: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one archive: its dictionary, then frames of records of ``source``."""
+    import zstandard
+
+    def row(*frames: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(frames)], pa.binary())], ["value"])
+
+    raw = dictionary.as_bytes()
+    press = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
+    yield row(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
+    for _ in range(rows):
+        frames, held = [], 0
+        for record in source:
+            frames.append(press.compress(record))
+            held += len(frames[-1])
+            if held >= row_bytes:
+                break
+        if not frames:
+            return
+        yield row(*frames)
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Write ``plan_records`` rows as .warc.zst streams below ``path``, one for each task."""
-    frames = records.select("id", "url", "payload", "digest", "refers_to").mapInArrow(_write, "value binary")
-    frames.select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    """Write ``plan_records`` rows as .warc.zst streams of bounded size below ``path``; an empty table gives no archive."""
+    limits = SAMPLE_BYTES, ROW_BYTES, ARCHIVE_ROWS
+    frames = records.select("id", "url", "payload", "digest", "refers_to").mapInArrow(lambda batches: _write(batches, *limits), "value binary")
+    frames.select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_ROWS + 1).text(path)
 
 
 def _frames(data: bytes) -> Iterator[bytes]:
@@ -159,18 +179,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(records: DataFrame) -> DataFrame:
-    """Full payload size and digest of each record; a revisit's are those of the response it names."""
+    """Full payload size and digest of each record; a revisit's are those of the response that it names and whose digest it bears."""
     slim = records.select("id", "record_type", "refers_to", "digest", F.length("payload").cast("long").alias("payload_bytes"))
     whole = slim.where("record_type = 'response'")
-    target = whole.select(F.col("id").alias("refers_to"), F.col("digest").alias("full_digest"), F.col("payload_bytes").alias("full_bytes")).distinct()
-    again = slim.where("record_type = 'revisit'").join(target, "refers_to", "left")
-    return whole.select("id", "payload_bytes", "digest", "record_type", "refers_to").unionByName(again.select("id", F.col("full_bytes").alias("payload_bytes"), F.col("full_digest").alias("digest"), "record_type", "refers_to"))
+    target = whole.select(F.col("id").alias("refers_to"), "digest", F.col("payload_bytes").alias("full_bytes")).distinct()
+    again = slim.where("record_type = 'revisit'").drop("payload_bytes").join(target, ["refers_to", "digest"], "left")
+    return whole.select("id", "payload_bytes", "digest", "record_type", "refers_to").unionByName(again.select("id", F.col("full_bytes").alias("payload_bytes"), "digest", "record_type", "refers_to"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``pages`` written as archives and read back.
 
-    Nulls: html null is an empty payload, url null has no target header, page_id null stays null.
+    Nulls: html null is an empty payload, url null has no target header, page_id null stays null.  Rows repeated with
+    the smallest page_id are all responses; a page_id may have several payloads; other columns are not read.
     """
     path = fresh_path(spark, "warc")
     write_archives(plan_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)

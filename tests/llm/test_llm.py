@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from galena.llm import chat, metric_join, mixing, pieces, quality, sharding, topk, toxicity, warc
 
@@ -57,8 +59,8 @@ def joined_by_brute_force(texts):
     return [(x, root(i), links.get(x, 0)) for i, x in enumerate(sets)]
 
 
-def check_join(spark, data, **small):
-    want, ids = [], {}
+def check_join(spark, data):
+    ids = {}
     found = joined_by_brute_force([r[1] for r in data])
     for r, (_, c, _) in zip(data, found):
         if r[0] is not None:
@@ -120,6 +122,30 @@ def test_warc_round_trip(spark, tmp_path):
         data = (html or "").encode()
         assert (got[i].payload_bytes, got[i].digest) == (len(data), hashlib.sha256(data).hexdigest())
     warc.write_archives(warc.plan_records(df.limit(0)), str(tmp_path / "b"))
+    assert warc.read_archives(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_warc_repeated_ids(spark, tmp_path):
+    a, b = "a" * 200, "b" * 300
+    pages = [(1, a), (1, b), (2, a), (3, b), (3, b), (1, a)]
+    df = spark.createDataFrame([(i, "u", h, "x", 1) for i, h in pages], "page_id long, url string, html string, digest string, salt int")
+    warc.write_archives(warc.plan_records(df), str(tmp_path / "a"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = sorted(str((i, len(h), sha(h), "response" if i == 1 else "revisit", None if i == 1 else 1)) for i, h in pages)
+    assert rows_of(warc.digests(warc.read_archives(spark, str(tmp_path / "a"))), "id", "payload_bytes", "digest", "record_type", "refers_to") == want
+
+
+def test_warc_archives_are_bounded(spark, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    data = [(i, "u", "".join(rng.choice("abcdefghij") for _ in range(3000))) for i in range(400)] + [(1000, "u", "z" * 2_000_000)]
+    for name, value in (("ROW_BYTES", 20_000), ("ARCHIVE_ROWS", 3), ("SAMPLE_BYTES", 10_000)):
+        monkeypatch.setattr(warc, name, value)
+    df = spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.plan_records(df).coalesce(1), str(tmp_path / "a"))
+    files = [f for f in (tmp_path / "a").iterdir() if f.name.startswith("part")]
+    assert len(files) > 5 and max(f.stat().st_size for f in files) < 32_768 + 3 * 24_000
+    got = warc.read_archives(spark, str(tmp_path / "a"))
+    assert rows_of(got, "id", "payload") == sorted(str((i, h.encode())) for i, _, h in data)
 
 
 def test_tokens(spark, rows):
@@ -129,8 +155,9 @@ def test_tokens(spark, rows):
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     df = spark.createDataFrame(rows, DOCS)
     ids = {t: model.encode(t or "") for _, t, *_ in rows}
-    want = sorted(str((i, len((t or "").encode()), len(ids[t]))) for i, t, *_ in rows)
-    assert sorted(str((r.doc_id, r.n_bytes, r.n_tokens)) for r in pieces.token_counts(df, path, 4096).collect()) == want
+    want = sorted(str((i, len((t or "").encode()), len(ids[t]), len(ids[t]) > 100)) for i, t, *_ in rows)
+    named = df.withColumns({"row": F.lit(1), "n": F.lit(2), "pre_token": F.lit("x")})
+    assert rows_of(pieces.token_counts(named, path, 100), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = sorted(str((i, len(ids[t]), sha(",".join(map(str, ids[t]))), sha(model.decode(ids[t])))) for i, t, *_ in rows)
     assert sorted(str(tuple(r)) for r in pieces.encoded_digests(df, path).collect()) == want
@@ -161,6 +188,83 @@ def test_quality_counts_and_rules(spark, rows):
     assert quality.learned_rules(spark.createDataFrame(rows, DOCS), spark.createDataFrame([], "doc_id long, quality int")) == []
 
 
+def test_quality_verdicts_by_brute_force(spark, rows):
+    rules = [quality.Rule((("symbol_share", True, 0.5),), 1.0), quality.Rule((("upper_share", False, 0.1), ("chars_per_word", True, 1.5)), 1.0)]
+    got = {(r.doc_id, r.n_words, r.base_failed, r.kept, r.rule) for r in quality.judge(spark.createDataFrame(rows, DOCS).withColumn("text_", F.lit(1)), rules, "doc_id", "text_").collect()}
+    want = set()
+    for i, t, *_ in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        tri = Counter(zip(w, w[1:], w[2:]))
+        repeat = len({k + j for k, x in enumerate(zip(w, w[1:], w[2:])) if tri[x] > 1 for j in range(3)})
+        failed = len(w) < 50 or 100 * repeat > 50 * len(w)
+        chars, letters = sum(map(len, w)), len(re.findall("[A-Za-z]", t))
+        first = len(re.findall(r"[#*$%&|<>]", t)) / max(1, chars) > 0.5
+        second = len(re.findall("[A-Z]", t)) / max(1, letters) <= 0.1 and chars / max(1, len(w)) > 1.5
+        want.add((i, len(w), failed, not failed and not first and not second, 1 if first else 2 if second else None))
+    assert got == want
+    assert quality.judge(spark.createDataFrame([], DOCS), rules, "doc_id").count() == 0
+    with pytest.raises(ValueError):
+        quality.text_counts(spark.createDataFrame(rows, DOCS).withColumn("n_words", F.lit(1)), "n_words")
+
+
+def test_quality_rules_hold_out_of_sample(spark):
+    """Learned on labelled rows whose id isn't divisible by 3, right on the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.learned_rules(docs, labels.where("doc_id % 3 <> 0"))
+    judged = quality.judge(docs, rules, "doc_id").join(labels.where("doc_id % 3 = 0 AND quality IS NOT NULL"), "doc_id").collect()
+    rejected = [r.quality for r in judged if r.rule]
+    bad = sum(r.quality == 0 for r in judged)
+    assert bad > 100 and sum(rejected) <= 0.02 * len(rejected) and rejected.count(0) >= 0.9 * bad
+
+
+def test_toxicity_query_by_a_plain_model(spark, tmp_path):
+    """Scores, held-out rows, the 0.7 rule and recall, against the same model run over Python sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit(1.0).alias("score_")).unionByName(spark.createDataFrame([(-1, None, 1.0), (-2, "", 1.0), (None, "x", 1.0)], "doc_id long, text string, score_ double"))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    labels = labels.unionByName(labels.limit(5)).unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], labels.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = toxicity.op4_toxicity(spark, str(tmp_path)).collect()
+    texts, marks = {r.doc_id: r.text or "" for r in docs.collect()}, {(r.doc_id, r.toxic) for r in labels.collect() if r.toxic is not None and r.doc_id is not None}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    words = lambda t: set(re.findall(r"\w+", t.lower()))
+    seen = []
+    for i, y in marks:
+        if not held(i) and i in texts:
+            other = toxicity.swapped(words(texts[i]), toxicity.IDENTITIES)
+            seen.append((toxicity.text_features(words(texts[i])), None if other is None else toxicity.text_features(other), y))
+    seen.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
+    bias, weights = toxicity.fit(seen)
+    assert len(got) == len(texts)
+    for r in got:
+        found = toxicity.text_features(words(texts[r.doc_id]))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(bias + weights[found].sum()))), abs=1e-4)
+        assert r.held_out == held(r.doc_id) and r.predicted == int(r.score >= 0.7)
+
+
+def test_toxicity_leaves_neutral_mentions_alone():
+    """A group that toxic texts name more often: held-out clean texts that mention it stay clean with the penalty, and not all without."""
+    rng = random.Random(4)
+
+    def text(toxic):
+        words = {"w%d" % rng.randrange(400) for _ in range(25)} | ({rng.choice(("idiot", "scum"))} if toxic else set())
+        return words | ({rng.choice(("muslim", "frauen", "juifs", "mujeres"))} if rng.random() < (0.9 if toxic else 0.02) else set())
+
+    data = []
+    for i in range(900):
+        words = text(i % 3 == 0)
+        other = toxicity.swapped(words, toxicity.IDENTITIES)
+        data.append((toxicity.text_features(words), None if other is None else toxicity.text_features(other), int(i % 3 == 0)))
+    wrong = {}
+    for strength in (0.0, 1.0):
+        bias, weights = toxicity.fit(data, strength=strength)
+        says = lambda words: 1 / (1 + math.exp(-(bias + weights[toxicity.text_features(words)].sum())))  # noqa: B023, E731
+        wrong[strength] = sum(says({"w%d" % rng.randrange(400) for _ in range(25)} | {"muslim", "frauen"}) >= 0.7 for _ in range(200))
+        assert sum(says({"w%d" % rng.randrange(400) for _ in range(25)} | {"idiot"}) >= 0.7 for _ in range(200)) > 190
+    assert wrong[1.0] == 0 < wrong[0.0]
+
+
 def test_toxicity_identity_swap(spark, rows):
     rng = random.Random(2)
     texts = [["w%d" % rng.randrange(300) for _ in range(20)] for _ in range(600)]
@@ -194,6 +298,29 @@ def test_mixing(spark, rows):
     got = mixing.mix(spark.createDataFrame(rows, DOCS), block_docs=2).collect()
     assert len(got) == len(rows) and len({r.mix_seq for r in got}) == len(rows)
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
+    assert sum(mixing.shares_by_size({"s%04d" % i: 1 for i in range(1500)}).values()) == 1500
+
+
+def test_mixing_places_by_brute_force(spark):
+    """Names of the operator's own, a source called like the null one, and places counted again in Python."""
+    kind = "doc_id long, text string, source string, name string, key int, bucket int, row int, block int, slot string, mix_slot int"
+    data = [(i, "t%d" % i, (None, "null", "(none)", "a")[i % 4], "n", 1, 2, 3, 4, "s", 9) for i in range(90)] + [(None, "x", "a", "n", 1, 2, 3, 4, "s", 9), (5, "t5", "null", "n", 1, 2, 3, 4, "s", 9)]
+    shares = {None: 1, "null": 2, "a": 5}
+    got = mixing.mix(spark.createDataFrame(data, kind), shares, block_docs=3).collect()
+    assert sorted(str(tuple(r)[:9]) for r in got) == sorted(str(r[:9]) for r in data)
+    frame = {(s, j): slot for s, j, _, _, slot in mixing.frame_slots({mixing.source_key(s): w for s, w in shares.items()})}
+    for source in (None, "null", "(none)", "a"):
+        mine = sorted((hashlib.md5((("text:" + r[1]) if r[0] is None else str(r[0])).encode()).hexdigest(), n) for n, r in enumerate(data) if r[2] == source)
+        places = []
+        for rank in range(len(mine)):
+            block, w = rank // 3, shares.get(source)
+            slot = (1 << 52) + block if w is None else block // w * 8 + frame[(mixing.source_key(source), block % w)]
+            places.append((block, slot, slot * 3 + rank % 3))
+        assert sorted((r.mix_block, r.mix_slot, r.mix_seq) for r in got if r.mix_source == source and r.source == source) == places
+
+
+def rows_of(df, *cols):
+    return sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
 
 
 def test_sharding(spark, rows, tmp_path):
@@ -204,8 +331,47 @@ def test_sharding(spark, rows, tmp_path):
     before = table.version
     after = table.compact()
     assert after == before + 1 and table.shards().count() < table.shards(before).count()
-    key = lambda d: sorted(str((r.doc_id, r.text)) for r in d.collect())
-    assert key(table.read()) == key(table.read(before)) == sorted(str((r[0], r[1])) for r in rows * 3)
+    want = sorted(str((r[0], r[1])) for r in rows * 3)
+    assert rows_of(table.read(), "doc_id", "text") == rows_of(table.read(before), "doc_id", "text") == want
+    again = sharding.ShardedTable(spark, str(tmp_path / "t"))
+    assert again.version == after and rows_of(again.read(), "doc_id", "text") == want
+
+
+def test_sharding_two_writers(spark, rows, tmp_path):
+    df = spark.createDataFrame(rows, DOCS)
+    one = sharding.ShardedTable(spark, str(tmp_path / "t"))
+    one.append(df)
+    two = sharding.ShardedTable(spark, str(tmp_path / "t"))
+    one.append(df)
+    with pytest.raises(sharding.CommitConflict):
+        two.append(df)
+    assert two.version == 1 and two.read().count() == len(rows)  # what it has open stays as it is
+    two = sharding.ShardedTable(spark, str(tmp_path / "t"))
+    assert two.append(df) == 3 and two.read().count() == 3 * len(rows)
+
+
+def test_sharding_lost_job(spark, rows, tmp_path):
+    table = sharding.ShardedTable(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame(rows, DOCS)
+    table.append(df)
+    with pytest.raises(Exception):
+        table.append(df.withColumn("text", F.raise_error(F.lit("lost")).cast("string")))
+    assert table.version == 1 and sharding.ShardedTable(spark, str(tmp_path / "t")).version == 1
+    assert table.append(df) == 2 and table.read().count() == 2 * len(rows)
+
+
+def test_sharding_names_and_empty_tables(spark, tmp_path):
+    kind = "doc_id long, shard string, run int, _run int, _arrival string, `_metadata` string, text string"
+    data = [(i, "s", i % 3, 5, "a", "m", "t%d" % i) for i in range(20)]
+    df = spark.createDataFrame(data, kind)
+    table = sharding.ShardedTable(spark, str(tmp_path / "t"))
+    table.append(df, F.col("run"))
+    assert table.compact() == 2
+    assert table.read().columns == df.columns and sorted(tuple(r) for r in table.read().collect()) == data
+    none = sharding.ShardedTable(spark, str(tmp_path / "none"))
+    for arrival in (None, F.col("run")):
+        none.append(df.limit(0), arrival)
+    assert none.compact() == 2 and none.read().count() == 0 and none.read().columns == df.columns
 
 
 def test_chat(spark):
@@ -220,16 +386,49 @@ def test_chat(spark):
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha(loss))
 
 
-def test_topk(spark):
+def test_chat_sorts_ties_by_what_was_said(spark):
+    turns = [(1, 0, "user", x) for x in ("\\\\", "]", "<|", "<}", "\\")]
+    got = chat.digest(chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("t", F.lit(1)))).collect()
+    assert got[0].turns_sha256 == hashlib.sha256("".join(f"user\n{t}\n" for t in sorted(x[3] for x in turns)).encode()).hexdigest()
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def best_by_brute_force(v, step, k):
+    fine = [(i, np.floor(64 * np.array(x)).astype(int)) for i, x in v if i is not None and x and all(c is not None and math.isfinite(c) for c in x)]
+    want = []
+    for i in sorted({i for i, _ in fine if i % step == 0}):
+        scores = sorted((-int(x @ y), j) for n, x in fine if n == i for j, y in fine if j != i and len(x) == len(y))[:k]
+        want += [(i, r, j, -score) for r, (score, j) in enumerate(scores, 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("block,queries", [(8192, 16384), (40, 3)])
+def test_topk(spark, monkeypatch, block, queries):
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", queries)
     rng = np.random.default_rng(0)
-    v = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(200)] + [(200, None), (201, [float("nan")] * 8), (202, [1.0, None] * 4), (None, [0.0] * 8), (203, [1.0])]
-    v += [v[0], (300, v[0][1]), (301, v[0][1])]
-    q = topk.quantised(spark.createDataFrame(v, "vec_id long, embedding array<double>"))
+    v = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(200)] + [(200, None), (201, [float("nan")] * 8), (202, [1.0, None] * 4), (None, [0.0] * 8), (203, [1.0]), (240, [0.5])]
+    v += [v[0], v[7], (300, v[0][1]), (301, v[0][1]), (400, [0.0] * 8), (40, v[3][1])]
+    q = topk.quantised(spark.createDataFrame([(*x, 1) for x in v], "vec_id long, embedding array<double>, rank int"))
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(q, q.where("vec_id % 20 = 0"), 5).collect())
-    fine = {i: np.floor(64 * np.array(x)).astype(int) for i, x in v if i is not None and x and len(x) == 8 and all(c is not None and math.isfinite(c) for c in x)}
-    want = []
-    for i in fine:
-        if i % 20 == 0:
-            best = sorted((-int(fine[i] @ fine[j]), j) for j in fine if j != i)[:5]
-            want += [(i, k, j, -s) for k, (s, j) in enumerate(best, 1)]
-    assert got == sorted(want)
+    assert got == best_by_brute_force(v, 20, 5)
+    assert topk.top_k(q.limit(0), q).count() == 0 == topk.top_k(q, q.limit(0)).count()
+
+
+def test_topk_multiplies_less_than_brute_force(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(8192, 64))
+    v = np.floor(64 * v / np.linalg.norm(v, axis=1)[:, None]).astype(np.int64)
+    df = spark.createDataFrame([(64, 0, i, x.tolist()) for i, x in enumerate(v)], "d int, vb long, vec_id long, q array<long>")
+    index = topk.build_index(df).toArrow()
+    sizes = [np.abs(np.array(x)) for x in index["impacts"].to_pylist() if x]
+    assert all(a.min() >= b.max() for a, b in zip(sizes, sizes[1:]))
+    found, made = topk.search(index, v[:256], np.arange(256), np.full(256, -np.inf), 20)
+    assert len(found) == 256 * 20 and made < 0.9 * 256 * v.size
+    for i in (0, 255):
+        best = sorted((-int(v[i] @ v[j]), j) for j in range(8192) if j != i)[:20]
+        assert [(x, j) for n, j, x in found if n == i] == [(-s, j) for s, j in best]
+    floor = np.array([min(x for n, _, x in found if n == i) for i in range(256)], float)
+    again, fewer = topk.search(index, v[:256], np.arange(256), floor, 20)
+    assert again == found and fewer < made
+    print("multiplications, of brute force:", made / (256 * v.size), fewer / (256 * v.size))
