@@ -13,6 +13,7 @@ from galena.llm.storage import cut
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 PLACE = ["mix_slot", "mix_seq"]
+WORD = r"[^\x20\x09-\x0D]"
 ORACLE_SQL = None
 
 
@@ -38,15 +39,20 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component; rows repeated as a whole stay once.
+    """One document of each component: the one with the smallest doc_id (null last), then the smallest text key.
 
-    Documents with no words or no doc_id have no component to stand for them and stay.
+    Different texts of one doc_id are documents of their own; rows equal in doc_id and text stay once.
+    Documents without words have no component to stand for them and all stay.
     """
-    found = metric_join.jaccard_join(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").select(DOCUMENT)
-    first = known.groupBy("doc_id").agg(F.min(F.struct(*DOCUMENT[1:])).alias("d")).select("doc_id", "d.*")
-    return first.unionByName(docs.where("doc_id IS NULL").select(DOCUMENT))
+    keyed = docs.withColumn("text_key", F.md5("text"))
+    found = metric_join.jaccard_join(keyed.select("doc_id", "text", "text_key"), keep=["text_key"]).where("component IS NOT NULL")
+    stay = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("d")).select("d.doc_id", "d.text_key")
+    # both keys and the text itself: one exchange for the join and for keeping one row of each
+    same = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), "text_key"]
+    wordy = keyed.where(F.col("text").rlike(WORD)).select(*DOCUMENT, *same).join(stay.select(*same), ["id_key", "text_key"], "left_semi")
+    first = wordy.groupBy("id_key", "text_key").agg(F.min(F.struct(*DOCUMENT)).alias("d")).select("d.*")
+    wordless = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    return first.unionByName(wordless.select(DOCUMENT))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
