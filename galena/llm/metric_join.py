@@ -77,8 +77,8 @@ def _identity(at: np.ndarray, found: np.ndarray, rows: int) -> tuple[np.ndarray,
     return n, h1.view(np.int64), h2.view(np.int64)
 
 
-def _sets(k: int, cells, numerator: int, denominator: int, columns: Sequence[str]):
-    """Per row: set size, identity, shingles in the global order, how many are its prefix, and its distances to the pivot sets."""
+def _windows(k: int, cells, numerator: int, denominator: int, columns: Sequence[str]):
+    """Per row: set size, identity, prefix in the global order, and distances to the pivot sets."""
     shift = np.uint64(64 - SKETCH_BITS)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +91,30 @@ def _sets(k: int, cells, numerator: int, denominator: int, columns: Sequence[str
                 n, h1, h2 = _identity(at, found, rows)
                 near = np.bincount(at * PIVOT_SETS + (found & np.uint64(PIVOT_SETS - 1)).astype(np.int64), minlength=rows * PIVOT_SETS).astype(np.int32)
                 order = np.lexsort((found, often[(found >> shift).astype(np.int64)], at))
-                sets = pa.LargeListArray.from_arrays(pa.array(B.per_row(at, rows), pa.int64()), pa.array(found[order].view(np.int64))).cast(pa.list_(pa.int64()))
-                prefix = np.where(n > 0, n - -(-n * numerator // denominator) + 1, 0)
+                rank = np.arange(len(at)) - B.per_row(at, rows)[at]
+                first = rank <= (n - -(-n * numerator // denominator))[at]
+                prefix = _lists(at[first], found[order][first], rows)
                 pivots = pa.array([x.tobytes() for x in near.reshape(rows, PIVOT_SETS)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, rows) for c in rest), pa.array(n), pa.array(h1), pa.array(h2), pa.array(prefix), sets, pivots], list(columns))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, rows) for c in rest), pa.array(n), pa.array(h1), pa.array(h2), prefix, pivots], list(columns))
+
+    return of
+
+
+def _lists(at: np.ndarray, found: np.ndarray, rows: int) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(B.per_row(at, rows), pa.int64()), pa.array(found.view(np.int64))).cast(pa.list_(pa.int64()))
+
+
+def _whole(k: int):
+    """cid, set size and shingles of the rows that have the identity of their class."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cid, g1, g2 = (batch.column(i) for i in (1, 2, 3))
+            for lo, hi, data, offsets in B.slices(batch.column(0)):
+                at, found = B.shingles(data, offsets, k)
+                n, h1, h2 = _identity(at, found, hi - lo)
+                same = (h1 == g1.slice(lo, hi - lo).to_numpy()) & (h2 == g2.slice(lo, hi - lo).to_numpy())
+                yield pa.RecordBatch.from_arrays([cid.slice(lo, hi - lo), pa.array(n), _lists(at, found, hi - lo)], ["cid", "n", "shingles"]).filter(pa.array(same))
 
     return of
 
@@ -181,14 +201,20 @@ def jaccard_join(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: i
     held = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *held)
     cells = spark.sparkContext.broadcast(_sketch(docs, k))
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["n long", "h1 long", "h2 long", "prefix long", "shingles array<long>", "pivots binary"]
-    whole = cut(docs.mapInArrow(_sets(k, cells, numerator, denominator, [x.split(" ", 1)[0] for x in kinds]), ", ".join(kinds)))
-    rows = cut(whole.drop("prefix", "shingles", "pivots"))
-    classes = whole.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "prefix", "shingles", "pivots")))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["n long", "h1 long", "h2 long", "prefix array<long>", "pivots binary"]
+    whole = cut(docs.mapInArrow(_windows(k, cells, numerator, denominator, [x.split(" ", 1)[0] for x in kinds]), ", ".join(kinds)))
+    rows = cut(whole.drop("prefix", "pivots"))
+    classes = whole.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "prefix", "pivots")))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     release(whole)
 
-    members = _cells(classes, numerator, denominator)
+    cell = _cells(classes, numerator, denominator)
+    # a member's set comes from the text of the class's first document; where Spark finds it worth while it
+    # filters the texts by the members' ids before they are shuffled
+    reps = classes.join(cell, "cid").select("cid", "h1", "h2", F.col("rep").alias("rep_id"))
+    texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    sets = texts.select("text", "cid", "h1", "h2").mapInArrow(_whole(k), "cid long, n long, shingles array<long>").dropDuplicates(["cid"])
+    members = cut(sets.join(cell, "cid").select(F.col("comp").alias("region"), "cid", "n", "shingles", F.lit(True).alias("native")))
     counted = _count(members, numerator, denominator)
     labels = connected(counted.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     degree = counted.groupBy("cid").agg(F.sum("n_links").alias("n_links"))
@@ -206,8 +232,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: i
 
 
 def _cells(classes: DataFrame, p: int, q: int) -> DataFrame:
-    """(region, cid, n, shingles, native) of the classes that may link with another; the regions are cells that no link crosses."""
-    placed = classes.select("cid", "n", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix").cast("int"))).alias("rank", "region"))
+    """(cid, comp) of the classes that may link with another: cells that no link crosses."""
+    placed = classes.select("cid", "n", F.posexplode("prefix").alias("rank", "region"))
     # most regions hold one document: only counts are shuffled to find the others
     several = placed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
     shared = cut(placed.join(several, "region"))
@@ -224,7 +250,7 @@ def _cells(classes: DataFrame, p: int, q: int) -> DataFrame:
     release(rest)
     cell = connected(links)
     release(links)
-    return cut(classes.select("cid", "n", "shingles").join(cell, "cid").select(F.col("comp").alias("region"), "cid", "n", "shingles", F.lit(True).alias("native")))
+    return cell
 
 
 def _sizes(members: DataFrame) -> DataFrame:
