@@ -24,13 +24,14 @@ DEFORMED = f"""(
   FROM {RATIOS} r JOIN {RATIO_RULES} u ON u.metric = r.metric
   LEFT JOIN (SELECT metric, min(tick) AS first_tick, min_by(ratio, tick) AS base FROM {RATIOS} f WHERE ratio IS NOT NULL GROUP BY metric) b ON b.metric = r.metric)"""
 #: Calls of an edge with the first three of it as the baseline, which aren't counted again.
-CALLS = f"(SELECT user_id % 3 AS caller, event_type, tick, us, value, value > 150 AS failed, row_number() OVER (PARTITION BY user_id % 3, event_type ORDER BY us, event_id) AS k FROM {OBS} o)"
-EDGE_BASE = f"(SELECT caller, event_type, {{p95:value}} AS base, count(*) FILTER (WHERE failed) / 3.0e0 AS base_err FROM {CALLS} b WHERE k <= 3 GROUP BY caller, event_type)"
+FIRST_CALLS = f"(SELECT * FROM (SELECT event_id, user_id % 3 AS caller, event_type, value, row_number() OVER (PARTITION BY user_id % 3, event_type ORDER BY us, event_id) AS k FROM {OBS} o) f WHERE k <= 3)"
+CALLS = f"(SELECT user_id % 3 AS caller, event_type, tick, us, value, value > 150 AS failed FROM {OBS} o LEFT ANTI JOIN {FIRST_CALLS} f ON f.event_id = o.event_id)"
+EDGE_BASE = f"(SELECT caller, event_type, {{p95:value}} AS base, count(*) FILTER (WHERE value > 150) / 3.0e0 AS base_err FROM {FIRST_CALLS} b GROUP BY caller, event_type)"
 RISES = f"""(
   SELECT c.caller, c.event_type, c.tick, count(*) AS calls, greatest(0.0e0, {{p95:c.value}} - max(b.base)) / greatest(5.0e0, max(b.base)) AS latency_rise,
          greatest(0.0e0, count(*) FILTER (WHERE c.failed) * 1.0e0 / count(*) - max(b.base_err)) / greatest(0.01e0, max(b.base_err)) AS error_rise,
          min(c.us) FILTER (WHERE c.failed OR c.value > 1.5e0 * b.base) AS onset_us
-  FROM {CALLS} c JOIN {EDGE_BASE} b ON b.caller = c.caller AND b.event_type = c.event_type WHERE c.k > 3 GROUP BY c.caller, c.event_type, c.tick)"""
+  FROM {CALLS} c JOIN {EDGE_BASE} b ON b.caller = c.caller AND b.event_type = c.event_type GROUP BY c.caller, c.event_type, c.tick)"""
 #: Openings of episodes: a tick that is OPEN after one that isn't.
 OPENINGS = f"(SELECT stream, tick, score FROM (SELECT *, lag(state) OVER (PARTITION BY stream ORDER BY tick) AS before FROM {EPISODES} e) o WHERE state = 'OPEN' AND coalesce(before, 'NONE') <> 'OPEN')"
 #: axis, claimed service, weight
@@ -65,7 +66,7 @@ STATEMENTS: dict[str, str] = {
     "episode_timeline": f"SELECT id, revision, state, valid_from, lead(valid_from) OVER (PARTITION BY id ORDER BY revision) AS valid_to FROM (SELECT user_id AS id, event_id AS revision, us AS valid_from, CASE WHEN event_type = 'purchase' THEN 'CLOSED' ELSE 'OPEN' END AS state FROM {OBS} o) v",
     "latest_episode": f"SELECT stream, max(tick) AS tick, max_by(state, tick) AS state, max_by(class, tick) AS class FROM {EPISODES} e GROUP BY stream",
     "tick_spine": f"SELECT DISTINCT tick, tick % 2 = 0 AS half_day, tick % 4 = 0 AS day, tick % 28 = 0 AS week FROM {OBS} o",
-    "query_restart_plan": f"SELECT event_type, event_id, CASE WHEN before IS NULL OR us - before > 7200000000 THEN 'REANCHOR' ELSE 'CONTINUE' END AS plan FROM (SELECT event_type, event_id, us, lag(us) OVER (PARTITION BY event_type, tick ORDER BY us, event_id) AS before FROM {OBS} o) p",
+    "query_restart_plan": f"SELECT event_type, event_id, CASE WHEN coalesce(within, t.before) IS NULL OR us - coalesce(within, t.before) > 7200000000 THEN 'REANCHOR' ELSE 'CONTINUE' END AS plan FROM (SELECT event_type, event_id, us, tick, lag(us) OVER (PARTITION BY event_type, tick ORDER BY us, event_id) AS within FROM {OBS} o) p JOIN (SELECT event_type, tick, lag(newest) OVER (PARTITION BY event_type ORDER BY tick) AS before FROM (SELECT event_type, tick, max(us) AS newest FROM {OBS} m GROUP BY event_type, tick) g) t USING (event_type, tick)",
     # incidents
     "incident_segments": f"SELECT segment, island, min(tick) AS opened, max(tick) AS last_opened, count(*) AS episodes FROM (SELECT segment, stream, tick, count(CASE WHEN before IS NULL OR tick - before > 2 THEN 1 END) OVER (PARTITION BY segment ORDER BY tick, stream ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (SELECT substr(stream, 1, 4) AS segment, stream, tick, lag(tick) OVER (PARTITION BY substr(stream, 1, 4) ORDER BY tick, stream) AS before FROM {OPENINGS} o) g) i GROUP BY segment, island",
     "incident_lifecycle": f"SELECT tick, open_streams, CASE WHEN open_streams > 0 THEN 'OPEN' WHEN coalesce(recent, 0) > 0 THEN 'MONITORING' ELSE 'RESOLVED' END AS state FROM (SELECT tick, open_streams, sum(open_streams) OVER (ORDER BY tick ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS recent FROM (SELECT tick, count(*) FILTER (WHERE state = 'OPEN') AS open_streams FROM {EPISODES} e GROUP BY tick) t) r",
@@ -75,7 +76,6 @@ STATEMENTS: dict[str, str] = {
     "verdict_rules": f"SELECT tick, coalesce(min_by(class, rule_no) FILTER (WHERE lit_score >= 0.5e0 AND calm_score < 0.3e0), CASE WHEN count(lit_score) = 0 THEN 'INSUFFICIENT' ELSE 'NO_EVIDENCE' END) AS verdict FROM {FITS} f GROUP BY tick",
     "verdict_distribution": f"SELECT tick, class, round(CASE WHEN total = 0 THEN 0.25e0 ELSE weight / total END, 6) AS share FROM (SELECT *, sum(weight) OVER (PARTITION BY tick) AS total FROM (SELECT tick, class, coalesce(lit_score * (1 - calm_score), 0.0e0) AS weight FROM {FITS} f) w) s",
     "origin_ranking": f"SELECT tick, service, round(rating, 6) AS rating, coalesce(rating - runner_up >= 0.05e0 - 1e-9, true) AS decided FROM (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY rating DESC, service) AS k, lead(rating) OVER (PARTITION BY tick ORDER BY rating DESC, service) AS runner_up FROM (SELECT s.tick, s.service, 0.65e0 * s.share + 0.35e0 * coalesce(d.n, 0) / 3.0e0 AS rating FROM (SELECT tick, substr(stream, 6) AS service, count(*) FILTER (WHERE score >= 0.5e0) / 3.0e0 AS share FROM {SCORED} x GROUP BY tick, substr(stream, 6)) s LEFT JOIN (SELECT dependency, count(*) AS n FROM {EDGE_SET} e GROUP BY dependency) d ON d.dependency = s.service WHERE s.share > 0) r) k WHERE k = 1",
-    "graph_dependents": f"WITH RECURSIVE reach(service, dependency, depth) AS (SELECT service, dependency, 1 FROM {EDGE_SET} e UNION ALL SELECT r.service, e.dependency, r.depth + 1 FROM reach r JOIN {EDGE_SET} e ON e.service = r.dependency WHERE r.depth < 8) SELECT r.service, r.dependency, min(r.depth) AS hops, max(c.n) AS calls FROM reach r JOIN (SELECT event_type, count(*) AS n FROM {{events}} GROUP BY event_type) c ON c.event_type = r.dependency GROUP BY r.service, r.dependency",
     "verification_checks": f"SELECT o.stream, o.tick, count(x.context_id) > 0 AS explained, coalesce(min(x.valid_from) <= o.tick, false) AS causal FROM {OPENINGS} o LEFT JOIN {CONTEXTS} x ON o.tick >= x.valid_from AND o.tick < x.valid_to GROUP BY o.stream, o.tick",
     "policy_decision": f"SELECT stream, tick, CASE WHEN peak IS NULL THEN 'WAIT' WHEN covered THEN 'HOLD' WHEN peak >= 0.8e0 THEN 'ACT' WHEN peak >= 0.5e0 THEN 'ASK' ELSE 'WATCH' END AS decision FROM (SELECT s.stream, s.tick, max(s.score) OVER (PARTITION BY s.stream ORDER BY s.tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS peak, c.tick IS NOT NULL AS covered FROM {SCORED} s LEFT JOIN (SELECT DISTINCT k.tick FROM {RATES} k JOIN {CONTEXTS} x ON k.tick >= x.valid_from AND k.tick < x.valid_to) c ON c.tick = s.tick) p",
     "feed_freshness": f"SELECT u.id AS user_id, CASE WHEN u.last_us IS NULL THEN 'NEVER' WHEN n.newest - u.last_us <= 86400000000 THEN 'WATCHING' ELSE 'STALE' END AS freshness FROM (SELECT c.c_custkey AS id, max(o.us) AS last_us FROM {{customer}} c LEFT JOIN {OBS} o ON o.user_id = c.c_custkey GROUP BY c.c_custkey) u CROSS JOIN (SELECT max(us) AS newest FROM {OBS} m) n",

@@ -34,11 +34,6 @@ LABELS = f"(SELECT event_type, day, max_by(tick, value) AS valid_from, max_by(ti
 FOUND = f"(SELECT substr(stream, 6) AS service, stream, tick FROM {OPENINGS} o)"
 GRADED = f"(SELECT l.event_type, l.day, l.valid_from, min(f.tick) AS found FROM {LABELS} l LEFT JOIN {FOUND} f ON f.service = l.event_type AND f.tick >= l.valid_from AND f.tick < l.valid_to GROUP BY l.event_type, l.day, l.valid_from)"
 KINDS = f"(SELECT event_type, count(*) AS labelled, count(found) AS matched, CASE WHEN count(*) > 0 THEN count(found) * 1.0e0 / count(*) END AS recall FROM {GRADED} g GROUP BY event_type)"
-#: The audit chain of a customer's orders; orders divisible by 97 stand for entries altered after they were written.
-CHAIN = """(
-  SELECT o_custkey, seq, h, CASE WHEN o_orderkey % 97 = 0 THEN upper(h) ELSE h END AS entry_hash, coalesce(lag(h) OVER (PARTITION BY o_custkey ORDER BY seq), '') AS previous_hash
-  FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq,
-               {sha:concat_ws('|', CAST(o_orderkey AS VARCHAR(20)), o_orderstatus, o_orderpriority)} AS h FROM {orders}) a)"""
 
 STATEMENTS: dict[str, str] = {
     # features and envelopes
@@ -76,12 +71,11 @@ STATEMENTS: dict[str, str] = {
     "telemetry_completeness": f"SELECT event_type, count(*) AS actual, round(count(*) * 1.0e0 / nullif((max(tick) - min(tick) + 1) * max(n), 0), 6) AS completeness FROM (SELECT event_type, tick, count(*) OVER (PARTITION BY event_type, tick) AS n FROM {OBS} o) w GROUP BY event_type",
     "kpi_headline": f"SELECT CASE WHEN count(*) = 5 THEN 'OK' ELSE 'INCOMPLETE' END AS status, round(min(recall), 6) AS least_recall, CAST(sum(matched) AS BIGINT) AS matched FROM {KINDS} k",
     "golden_diff": f"SELECT 'missing' AS side, event_type, tick FROM (SELECT event_type, tick FROM {COUNTS} a WHERE n >= 2 EXCEPT SELECT event_type, tick FROM {COUNTS} b WHERE n <= 12) m UNION ALL SELECT 'added' AS side, event_type, tick FROM (SELECT event_type, tick FROM {COUNTS} c WHERE n <= 12 EXCEPT SELECT event_type, tick FROM {COUNTS} d WHERE n >= 2) s",
-    "audit_chain_verify": f"SELECT o_custkey, count(*) AS entries, min(CASE WHEN h <> entry_hash OR link <> previous_hash THEN seq END) AS first_break FROM (SELECT *, coalesce(lag(entry_hash) OVER (PARTITION BY o_custkey ORDER BY seq), '') AS link FROM {CHAIN} c) v GROUP BY o_custkey",
     # reads and feeds
     "json_filter_group_min": f"SELECT {{k}} AS k, min(us) AS first_us, count(*) AS n FROM {OBS} o WHERE event_type = 'view' GROUP BY {{k}}",
     "context_from_fixtures": "SELECT o_orderkey AS fixture, o_orderdate AS kickoff, CASE WHEN o_orderpriority LIKE '1%' THEN 2.5e0 ELSE 1.5e0 END AS multiplier FROM {orders} WHERE o_orderstatus <> 'P'",
     "change_feed_normalize": "SELECT event_id AS change_id, CASE event_type WHEN 'signup' THEN 'rollout' WHEN 'purchase' THEN 'flag' WHEN 'error' THEN 'ledger' END AS feed, CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN 'ok' ELSE 'refused' END AS status FROM {events}",
     "offsets_to_intervals": f"SELECT o.event_id, a.start_us + o.off AS from_us, least(a.start_us + o.off + 3600000000, a.start_us + 2592000000000) AS to_us FROM (SELECT event_id, event_type, event_id % 1000 * 1000000 AS off FROM {{events}}) o JOIN (SELECT event_type, min(us) AS start_us FROM {OBS} m GROUP BY event_type) a ON a.event_type = o.event_type",
-    "dataset_fingerprint": "SELECT lang, count(*) AS n, min(h) AS least_hash, max(h) AS greatest_hash FROM (SELECT lang, {sha:concat_ws('|', CAST(doc_id AS VARCHAR(20)), source, text)} AS h FROM {documents}) f GROUP BY lang",
+    "dataset_fingerprint": "SELECT lang, count(*) AS n, {xor:h} AS mixed, CAST(sum(h % 1000003) AS BIGINT) AS total FROM (SELECT lang, {digits:x} AS h FROM (SELECT lang, {sha:concat_ws('|', CAST(doc_id AS VARCHAR(20)), source, text)} AS x FROM {documents}) d) f GROUP BY lang",
     "forbidden_attribute_guard": "SELECT event_id, {k} AS k, CASE WHEN {k} IN (13, 66) THEN 'forbidden' ELSE 'ok' END AS status FROM {events}",
 }

@@ -14,9 +14,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SPARK = {
     "us": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)",
     "sha": "sha2({0}, 256)",
-    "p95": "percentile({0}, 0.95)",
+    "p95": "percentile_disc(0.95) WITHIN GROUP (ORDER BY {0})",
     "last": "last_value({0}) IGNORE NULLS",
     "regex": "regexp_extract({0}, '{1}', 1)",
+    "newest": "max_by({0}, struct(us, event_id))",
+    "digits": "CAST(conv(substr({0}, 1, 12), 16, 10) AS BIGINT)",
+    "xor": "bit_xor({0})",
     "q": "percentile({0}, {1})",
     "k": "CAST(get_json_object(props, '$.k') AS BIGINT)",
     "mask": "regexp_replace({0}, '[0-9]+', '#')",
@@ -26,9 +29,12 @@ SPARK = {
 DUCK = {
     "us": "epoch_us(ts)",
     "sha": "sha256({0})",
-    "p95": "quantile_cont({0}, 0.95)",
+    "p95": "quantile_disc({0}, 0.95)",
     "last": "last_value({0} IGNORE NULLS)",
     "regex": "regexp_extract({0}, '{1}', 1)",
+    "newest": "max_by({0}, row(us, event_id))",
+    "digits": "CAST(concat('0x', substr({0}, 1, 12)) AS BIGINT)",
+    "xor": "bit_xor({0})",
     "q": "quantile_cont({0}, {1})",
     "k": "CAST(json_extract_string(props, '$.k') AS BIGINT)",
     "mask": "regexp_replace({0}, '[0-9]+', '#', 'g')",
