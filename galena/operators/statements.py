@@ -92,7 +92,7 @@ STATEMENTS: dict[str, str] = {
     "unrelated_episode_antijoin": f"SELECT DISTINCT s.stream, s.tick FROM {SCORED} s LEFT ANTI JOIN {CONTEXTS} c ON s.tick >= c.valid_from AND s.tick < c.valid_to WHERE s.score >= 0.5e0",
     "committed_edge_semijoin": f"SELECT e.caller, e.event_type, e.tick FROM {EDGES} e LEFT SEMI JOIN {EDGE_SET} t ON t.dependency = e.event_type",
     "rule_lookup_join": f"SELECT t.service, t.dependency, count(*) AS calls, round(avg(o.value), 6) AS mean FROM {{events}} o JOIN {EDGE_SET} t ON t.dependency = o.event_type GROUP BY t.service, t.dependency",
-    "episodes_as_of": f"SELECT d.id, max(v.revision) AS revision, max_by(v.state, v.revision) AS state FROM (SELECT DISTINCT id FROM {VERSIONS} v) d JOIN {VERSIONS} v ON v.id = d.id AND v.revision <= 5000 GROUP BY d.id",
+    "episodes_as_of": f"SELECT d.id, t.decided, v.revision, v.state, CASE WHEN v.revision IS NULL THEN 'missing' ELSE 'ok' END AS status FROM (SELECT DISTINCT user_id AS id FROM {{events}}) d CROSS JOIN (SELECT DISTINCT (CAST(floor(tick / 4.0e0) AS BIGINT) + 1) * 86400000000 AS decided FROM {OBS} o) t LEFT JOIN (SELECT user_id AS id, event_id AS revision, CASE WHEN event_type = 'purchase' THEN 'CLOSED' ELSE 'OPEN' END AS state, us, lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS until FROM {OBS} w) v ON v.id = d.id AND v.us <= t.decided AND (v.until IS NULL OR t.decided < v.until)",
     "episodes_at_decision": f"SELECT d.id, t.decided, v.revision, v.state, CASE WHEN v.revision IS NULL THEN 'missing' ELSE 'ok' END AS status FROM (SELECT DISTINCT user_id AS id FROM {{events}}) d CROSS JOIN (SELECT DISTINCT (CAST(floor(tick / 4.0e0) AS BIGINT) + 1) * 86400000000 AS decided FROM {OBS} o) t LEFT JOIN (SELECT user_id AS id, event_id AS revision, CASE WHEN event_type = 'purchase' THEN 'CLOSED' ELSE 'OPEN' END AS state, us, lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS until FROM {OBS} w) v ON v.id = d.id AND v.us <= t.decided AND (v.until IS NULL OR t.decided < v.until)",
     "region_rollup": "SELECT r.r_name, n.n_name, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name, n.n_name",
     # sets
