@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from . import judgement, monitors, ratios, selection
+from . import judgement, monitors, policy, ratios, selection
 from .queries import EVENTS, HOUR, _events
 
 DAY = 24 * HOUR
@@ -93,15 +93,75 @@ def verdict_shares(spark, sf_dir):
     return _fused(spark, sf_dir).select("id", F.explode("shares").alias("s")).select("id", "s.verdict", F.round("s.share", 6).alias("share"))
 
 
+def _episodes(events, above=60):
+    e = events.where(F.col("value") > above).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    callee = F.element_at(F.array(*map(F.lit, ("view", "click", "purchase", "error", "ghost", ""))), F.col("k") % 6 + 1)
+    return e.select(F.col("user_id").alias("incident"), F.col("event_type").alias("service"), F.when(F.col("k") % 4 < 3, "EDGE_DEGRADED").otherwise("LATENCY").alias("kind"), F.concat(F.lit("dependency."), callee).alias("signal"), F.col("us").alias("opened"))
+
+
 def origin_collapse(spark, sf_dir):
     """Incidents are users, episodes their events above 60; of the six callees that a signal may name, one is unknown and one empty."""
-    e = _events(spark, sf_dir).where("value > 60").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    callee = F.element_at(F.array(*map(F.lit, ("view", "click", "purchase", "error", "ghost", ""))), F.col("k") % 6 + 1)
-    episodes = e.select(F.col("user_id").alias("incident"), F.col("event_type").alias("service"), F.when(F.col("k") % 4 < 3, "EDGE_DEGRADED").otherwise("LATENCY").alias("kind"), F.concat(F.lit("dependency."), callee).alias("signal"), F.col("us").alias("opened"))
-    got = judgement.origins(episodes, spark.createDataFrame(DEPENDENCIES, "service string, dependency string"))
+    got = judgement.origins(_episodes(_events(spark, sf_dir)), spark.createDataFrame(DEPENDENCIES, "service string, dependency string"))
     return got.select("incident", "rank", "service", *(F.round(c, 6).alias(c) for c in ("score", "onset", "reach", "accusation")), "origin")
 
 
+SERVICES = ["view", "click", "purchase", "error", "signup"]
+LIVE = ("OPEN", "MITIGATING", "MONITORING")
+#: The ladder of actions, what it needs to act, and the floors of attention.
+ACTION_RULES = [
+    policy.ActionRule("resolved-incident-needs-nothing", "SUPPRESS", states=("RESOLVED",)),
+    policy.ActionRule("contain-a-verified-attack", "AUTO_CONTAIN_THEN_ESCALATE", verdicts=("ATTACK", "COMBINATION"), confirmed=True, confidence=0.7),
+    policy.ActionRule("hand-over-an-unverified-attack", "ESCALATE_TO_HUMAN", verdicts=("ATTACK", "COMBINATION")),
+    policy.ActionRule("remediate-a-verified-fault", "ACT", verdicts=("OPERATIONAL_FAULT", "CODE_CONFIG_FAULT"), confirmed=True, confidence=0.75),
+    policy.ActionRule("hand-over-a-fault-we-cannot-confirm", "ESCALATE_TO_HUMAN", verdicts=("OPERATIONAL_FAULT", "CODE_CONFIG_FAULT")),
+    policy.ActionRule("tell-someone-what-we-cannot-name", "ALERT", statuses=("INSUFFICIENT",)),
+    policy.ActionRule("nothing-is-happening", "SUPPRESS", statuses=("NO_EVIDENCE",)),
+    policy.ActionRule("context-explains-the-surge", "SUPPRESS", verdicts=("EXPECTED_EVENT",)),
+    policy.ActionRule("anything-unrecognised-goes-to-a-person", "ESCALATE_TO_HUMAN"),
+]
+FLOORS = [
+    policy.Floor("measured-user-impact-is-never-silent", "ALERT", LIVE, impact=0.2),
+    policy.Floor("a-live-incident-that-matters-is-never-silent", "ALERT", LIVE, severity="MEDIUM"),
+    policy.Floor("critical-severity-reaches-a-person", "ESCALATE_TO_HUMAN", LIVE, severity="CRITICAL"),
+]
+ATTENTION = {"SUPPRESS": 0, "ALERT": 1, "ACT": 2, "ESCALATE_TO_HUMAN": 2, "AUTO_CONTAIN_THEN_ESCALATE": 2}
+
+
+def incident_verification(spark, sf_dir):
+    """Incidents like those of ``origin_collapse``, of events above 150, against the services that a user has twelve events of, and a similarity by their mean value."""
+    events = _events(spark, sf_dir)
+    topology = spark.createDataFrame(DEPENDENCIES, "service string, dependency string")
+    episodes = _episodes(events, 150)
+    origins = judgement.origins(episodes, topology)
+    incidents = origins.groupBy("incident").agg(F.max(F.when(F.col("origin"), F.col("service"))).alias("origin"))
+    coverage = events.groupBy(F.col("user_id").alias("incident"), F.col("event_type").alias("service")).agg(F.count("*").alias("n")).where("n >= 12")
+    matches = events.groupBy(F.col("user_id").alias("incident")).agg((1 - F.abs(F.avg("value") - 50) / 100).alias("similarity"))
+    services = spark.createDataFrame([(s,) for s in SERVICES], "service string")
+    return policy.verified(incidents, episodes, topology, services, coverage, matches, 20, 12 * HOUR)
+
+
+def policy_ladder(spark, sf_dir):
+    """A tick of six hours of a user is one of an incident; its verdict comes from the event with the highest k."""
+    e = _events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    kind = F.max_by("event_type", F.struct("k", "event_id"))
+    verdict = F.when(kind == "error", "ATTACK").when(kind == "click", "OPERATIONAL_FAULT").when(kind == "view", "EXPECTED_EVENT")
+    top = F.max("value")
+    ticks = e.groupBy(F.col("user_id").alias("incident"), F.col("tick").alias("at")).agg(
+        F.when(top > 150, "CRITICAL").when(top > 80, "HIGH").when(top > 40, "MEDIUM").otherwise("LOW").alias("severity"),
+        F.max(F.when(F.col("event_type") == "purchase", F.col("value") / 100)).alias("impact"),
+        F.max(F.when(F.col("value") > 10, F.col("event_type"))).alias("origin"), F.count_distinct("event_type").alias("services"),
+        verdict.alias("verdict"), F.when(verdict.isNotNull(), F.round(0.4 + F.least(F.lit(1.0), top / 100) * 0.6, 3)).alias("confidence"),
+        (F.max("k") % 4 > 0).alias("confirmed"), F.max("k").alias("k"),
+    )
+    state = F.when(F.col("at") % 7 == 0, "RESOLVED").when(F.col("at") % 7 == 6, "MONITORING").otherwise("OPEN")
+    status = F.when(F.col("verdict").isNotNull(), "DECIDED").when(F.col("k") % 2 == 0, "INSUFFICIENT").otherwise("NO_EVIDENCE")
+    got = policy.decided(
+        ticks.withColumns({"state": state, "status": status}), ACTION_RULES, FLOORS, policy.Guards(0.75, 3, "ESCALATE_TO_HUMAN"), ("LOW", "MEDIUM", "HIGH", "CRITICAL"),
+        ATTENTION, ("ACT", "AUTO_CONTAIN_THEN_ESCALATE"), ("SUPPRESS", "ALERT"),
+    )
+    return got.withColumns({c: F.array_join(c, ",") for c in ("guards", "floors", "approvals")})
+
+
 def drift_ks_windows(spark, sf_dir):
     e = _events(spark, sf_dir)
     series = e.select(F.col("event_type").alias("stream"), F.col("us").alias("at"), F.col("event_id").alias("id"), "value")
@@ -188,4 +248,28 @@ d AS (SELECT *, abs(sum(fresh::INT) OVER w / 30 - sum((NOT fresh)::INT) OVER w /
 SELECT stream, place, event_id AS id, round(max(d), 6) AS distance, max(d) > sqrt(-ln(0.005) / 30) AS alarm FROM d GROUP BY stream, place, event_id""",
     "offset_drift_check": "SELECT l_orderkey AS id, min(l_shipdate::DATE - o_orderdate::DATE) - 30 AS start_drift, max(l_shipdate::DATE - o_orderdate::DATE) - 90 AS end_drift, greatest(abs(min(l_shipdate::DATE - o_orderdate::DATE) - 30), abs(max(l_shipdate::DATE - o_orderdate::DATE) - 90)) > 40 AS exceeded FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey",
 }
+ORIGIN_SQL = ORACLES["origin_collapse"].replace("value > 60", "value > 150")
+ORACLES["incident_verification"] = f"""WITH oc AS ({ORIGIN_SQL}), ev AS (SELECT user_id AS i, event_type AS s, us AS t, CASE WHEN k % 4 < 3 THEN (['view', 'click', 'purchase', 'error', 'ghost', NULL])[k % 6 + 1] END AS callee FROM {E_K} WHERE value > 150),
+topo(a, b) AS (VALUES {", ".join(map(str, DEPENDENCIES))}),
+inc AS (SELECT incident, max(service) FILTER (WHERE origin) AS origin FROM oc GROUP BY incident),
+t AS (SELECT incident, origin, (SELECT min(t) FROM ev WHERE i = incident AND (s = origin OR callee = origin)) AS own, (SELECT min(t) FROM ev WHERE i = incident AND s <> origin AND callee IS DISTINCT FROM origin) AS other,
+  NOT EXISTS (SELECT 1 FROM oc WHERE oc.incident = inc.incident AND (SELECT count(*) FROM events e WHERE e.user_id = oc.incident AND e.event_type = oc.service) < 12) AS covered,
+  NOT EXISTS (SELECT 1 FROM ev WHERE i = incident AND callee IS NOT NULL AND NOT EXISTS (SELECT 1 FROM topo WHERE a = ev.s AND b = ev.callee)) AS dependencies,
+  (SELECT abs(avg(value) - 50) / 100 <= 0.1 FROM events WHERE user_id = incident) AS memory FROM inc),
+c AS (SELECT incident, coalesce(own <= coalesce(other, own) + {12 * HOUR}, false) AS temporal, covered, dependencies, memory FROM t)
+SELECT incident, if(temporal, 'PASSED', 'FAILED') AS temporal, if(covered, 'PASSED', 'FAILED') AS covered, if(dependencies, 'PASSED', 'FAILED') AS dependencies, if(memory, 'PASSED', 'FAILED') AS memory, temporal AND covered AND dependencies AND memory AS confirmed FROM c"""
+ORACLES["policy_ladder"] = f"""WITH t AS (
+  SELECT user_id AS incident, tick AS at, max(value) AS top, CASE WHEN max(value) > 150 THEN 4 WHEN max(value) > 80 THEN 3 WHEN max(value) > 40 THEN 2 ELSE 1 END AS sev, max(value) FILTER (WHERE event_type = 'purchase') / 100 AS impact,
+    max(event_type) FILTER (WHERE value > 10) AS origin, count(DISTINCT event_type) AS services, arg_max(event_type, k * 100000000 + event_id) AS kind, max(k) AS k, tick % 7 AS phase FROM {E_K} GROUP BY user_id, tick),
+u AS (SELECT *, kind IN ('error', 'click', 'view') AS named, round(0.4 + least(1.0, top / 100) * 0.6, 3) AS confidence, k % 4 > 0 AS confirmed, (SELECT count(*) FROM t b WHERE b.incident = t.incident AND b.at < t.at AND b.phase = 0) AS epoch FROM t),
+p AS (SELECT DISTINCT ON (x.incident, x.at) x.*, y.at AS evidence_at, CASE WHEN y.named THEN y.kind END AS peak, y.confidence AS peak_confidence, y.k AS peak_k FROM u x JOIN u y ON y.incident = x.incident AND y.epoch = x.epoch AND (y.at = x.at OR y.at < x.at AND y.named AND x.phase > 0)
+  ORDER BY x.incident, x.at, y.named DESC, y.confidence DESC, y.at),
+q AS (SELECT *, CASE WHEN phase = 0 THEN sev ELSE (SELECT max(sev) FROM u b WHERE b.incident = p.incident AND b.epoch = p.epoch AND b.at <= p.at) END AS worst FROM p),
+r AS (SELECT *, CASE WHEN phase = 0 THEN 1 WHEN peak = 'error' THEN CASE WHEN confirmed AND peak_confidence >= 0.7 THEN 2 ELSE 3 END WHEN peak = 'click' THEN CASE WHEN confirmed AND peak_confidence >= 0.75 THEN 4 ELSE 5 END WHEN peak = 'view' THEN 8 WHEN peak_k % 2 = 0 THEN 6 ELSE 7 END AS no FROM q),
+g AS (SELECT *, CASE WHEN no IN (2, 4) THEN concat_ws(',', CASE WHEN origin IS NULL THEN 'require_named_origin' END, CASE WHEN phase = 6 THEN 'require_active_incident' END, CASE WHEN peak_confidence < 0.75 THEN 'minimum_act_confidence' END, CASE WHEN services > 3 THEN 'maximum_affected_services' END) ELSE '' END AS guards FROM r),
+h AS (SELECT *, CASE WHEN guards <> '' OR no IN (3, 5) THEN 'ESCALATE_TO_HUMAN' WHEN no = 2 THEN 'AUTO_CONTAIN_THEN_ESCALATE' WHEN no = 4 THEN 'ACT' WHEN no = 6 THEN 'ALERT' ELSE 'SUPPRESS' END AS first_action FROM g),
+l AS (SELECT *, phase > 0 AND first_action = 'SUPPRESS' AND coalesce(impact, 0) >= 0.2 AS f1, phase > 0 AND first_action = 'SUPPRESS' AND coalesce(impact, 0) < 0.2 AND worst >= 2 AS f2, phase > 0 AND first_action IN ('SUPPRESS', 'ALERT') AND worst = 4 AS f3 FROM h),
+z AS (SELECT *, CASE WHEN f3 THEN 'ESCALATE_TO_HUMAN' WHEN f1 OR f2 THEN 'ALERT' ELSE first_action END AS action FROM l)
+SELECT incident, z.at, (['{"', '".join(r.name for r in ACTION_RULES)}'])[no] AS rule, action, evidence_at, guards, concat_ws(',', CASE WHEN f1 THEN '{FLOORS[0].name}' END, CASE WHEN f2 THEN '{FLOORS[1].name}' END, CASE WHEN f3 THEN '{FLOORS[2].name}' END) AS floors,
+  CASE WHEN action IN ('SUPPRESS', 'ALERT') THEN '' ELSE concat_ws(',', CASE WHEN guards <> '' THEN guards END, CASE WHEN worst = 4 THEN 'severity' END, CASE WHEN services >= 3 THEN 'services' END) END AS approvals FROM z"""
 QUERIES = {name: (globals()[name], sql) for name, sql in ORACLES.items()} | {"isolation_forest_score": (isolation_forest_score, None)}
