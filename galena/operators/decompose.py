@@ -10,6 +10,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.sized import small
+
 SCHEMA = "service string, tick long, observed double, base double, event double, low double, high double, residual double, score double, status string"
 
 
@@ -18,7 +20,7 @@ def decompose(rates: DataFrame, lifts: DataFrame | None = None, warmup: int = 30
 
     Ticks before the warm-up is over have the status 'warming' and no values.
     """
-    rows = rates.join(F.broadcast(lifts), "tick", "left") if lifts is not None else rates.withColumn("lift", F.lit(0.0))
+    rows = rates.join(small(lifts), "tick", "left") if lifts is not None else rates.withColumn("lift", F.lit(0.0))
     rows = rows.select("service", "tick", F.col("observed").cast("double").alias("observed"), F.coalesce("lift", F.lit(0.0)).alias("lift"))
 
     def fold(series: pd.DataFrame) -> pd.DataFrame:

@@ -29,9 +29,9 @@ def _kept(df: DataFrame) -> DataFrame:
     """``df``, checkpointed in the session's shared folder where one is named."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", "")
+        named = sc.getConf().get("spark.checkpoint.dir", "") or df.sparkSession.conf.get("spark.checkpoint.dir", "")
         if not named:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir is not set")
             import tempfile
 

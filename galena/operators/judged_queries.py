@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from . import judgement, monitors, policy, ratios, selection
+from . import decompose, grading, judgement, monitors, policy, ratios, selection, sequences
 from .queries import EVENTS, HOUR, _events
 
 DAY = 24 * HOUR
@@ -180,6 +180,42 @@ def isolation_forest_score(spark, sf_dir):
     return scored.select("id.user_id", "id.tick", F.round("score", 9).alias("score"))
 
 
+def sequence_pca_error(spark, sf_dir):
+    """Eight events of a user with gaps of at most three days: value, gap and whether it is an error; sequences with no value above 150 are normal."""
+    e = _events(spark, sf_dir)
+    apart = F.col("us") - F.lag("us").over(Window.partitionBy("user_id").orderBy("us", "event_id"))
+    steps = e.select(F.col("user_id").alias("stream"), F.col("us").alias("at"), F.col("event_id").alias("id"), (F.col("value") / 100).alias("value"), (F.least(apart, F.lit(3 * DAY)) / DAY).alias("gap"), (F.col("event_type") == "error").cast("double").alias("error"))
+    found = sequences.sequences(steps, ["value", "gap", "error"], 3 * DAY)
+    calm = ~F.exists(F.filter("vector", lambda x, i: i % 3 == 0), lambda x: x > 1.5)
+    return sequences.reconstruction_error(found, calm, 6).select("stream", "session", "part", "first_id", F.round("error", 6).alias("error"))
+
+
+def decomposition_residuals(spark, sf_dir):
+    """Breaches above the band of the decomposition."""
+    return decompose.query(spark, sf_dir).where("score > 0 AND residual > 0")
+
+
+def kind_scores(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    found = e.select(F.col("event_type").alias("kind"), F.when(F.col("value") > 60, F.col("event_id")).alias("symptom"), F.when(F.col("k") < 50, F.col("event_id")).alias("label"), (F.col("value") - 60).alias("latency"))
+    return grading.kind_scores(found).withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
+
+
+def reference_windows(spark, sf_dir):
+    """Decisions are purchases; they refer to the events before and after theirs, which are labels if they are errors."""
+    e = _events(spark, sf_dir)
+    decisions = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.array(F.col("event_id") - 1, F.col("event_id") + 1).alias("refs"))
+    labels = e.where("event_type = 'error'").select(F.col("event_id").alias("label"), F.col("us").alias("start"), (F.col("us") + HOUR).alias("end"))
+    return grading.reference_windows(decisions, labels).withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
+
+
+def range_scan_page(spark, sf_dir):
+    """The first 100 purchases of three days in order of time; the page is the feature."""
+    e = _events(spark, sf_dir).where("event_type = 'purchase'").select("event_id", "us", "value")
+    start = 1_704_153_600_000_000
+    return grading.range_page(e, "us", start, start + 3 * DAY, [F.asc("us"), F.asc("event_id")], 100, 7 * DAY)
+
+
 def offset_drift_check(spark, sf_dir):
     """Shipping of an order was asked to begin 30 days after it and to end after 90; more than 40 days off either is too much."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_orderdate")
@@ -272,4 +308,12 @@ l AS (SELECT *, phase > 0 AND first_action = 'SUPPRESS' AND coalesce(impact, 0)
 z AS (SELECT *, CASE WHEN f3 THEN 'ESCALATE_TO_HUMAN' WHEN f1 OR f2 THEN 'ALERT' ELSE first_action END AS action FROM l)
 SELECT incident, z.at, (['{"', '".join(r.name for r in ACTION_RULES)}'])[no] AS rule, action, evidence_at, guards, concat_ws(',', CASE WHEN f1 THEN '{FLOORS[0].name}' END, CASE WHEN f2 THEN '{FLOORS[1].name}' END, CASE WHEN f3 THEN '{FLOORS[2].name}' END) AS floors,
   CASE WHEN action IN ('SUPPRESS', 'ALERT') THEN '' ELSE concat_ws(',', CASE WHEN guards <> '' THEN guards END, CASE WHEN worst = 4 THEN 'severity' END, CASE WHEN services >= 3 THEN 'services' END) END AS approvals FROM z"""
-QUERIES = {name: (globals()[name], sql) for name, sql in ORACLES.items()} | {"isolation_forest_score": (isolation_forest_score, None)}
+ORACLES |= {
+    "kind_scores": f"""WITH o AS (SELECT event_type AS kind, value > 60 AS s, k < 50 AS l, value - 60 AS latency FROM {E_K}), h AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY latency) AS i, count(*) OVER (PARTITION BY kind) AS c FROM o WHERE s AND l)
+SELECT o.kind, count(*) FILTER (WHERE s AND l) AS hits, count(*) FILTER (WHERE s AND NOT l) AS false_alarms, count(*) FILTER (WHERE l AND NOT s) AS missed, round(count(*) FILTER (WHERE s AND l) / nullif(count(*) FILTER (WHERE s), 0), 6) AS precision,
+  round(count(*) FILTER (WHERE s AND l) / nullif(count(*) FILTER (WHERE l), 0), 6) AS recall, (SELECT latency FROM h WHERE h.kind = o.kind AND i = ceil(c * 0.5)) AS p50, (SELECT latency FROM h WHERE h.kind = o.kind AND i = ceil(c * 0.95)) AS p95 FROM o GROUP BY o.kind""",
+    "reference_windows": f"""SELECT p.event_id AS id, min(x.us) AS start, max(x.us) + {HOUR} AS end, concat_ws(',', CASE WHEN NOT coalesce(bool_or(x.event_id < p.event_id), false) THEN p.event_id - 1 END, CASE WHEN NOT coalesce(bool_or(x.event_id > p.event_id), false) THEN p.event_id + 1 END) AS missing
+FROM {EVENTS} p LEFT JOIN {EVENTS} x ON x.event_type = 'error' AND abs(x.event_id - p.event_id) = 1 WHERE p.event_type = 'purchase' GROUP BY p.event_id""",
+    "range_scan_page": f"SELECT event_id, us, value, (SELECT count(*) FROM {EVENTS} WHERE event_type = 'purchase' AND us BETWEEN 1704153600000000 AND 1704412800000000) > 100 AS truncated FROM {EVENTS} WHERE event_type = 'purchase' AND us BETWEEN 1704153600000000 AND 1704412800000000 ORDER BY us, event_id LIMIT 100",
+}
+QUERIES = {name: (globals()[name], sql) for name, sql in ORACLES.items()} | {f.__name__: (f, None) for f in (isolation_forest_score, sequence_pca_error, decomposition_residuals)}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..plans.sized import small
+
 
 def transitions(scored: DataFrame, policies: DataFrame) -> DataFrame:
     """What each tick does to the episode of its stream.
@@ -16,7 +18,7 @@ def transitions(scored: DataFrame, policies: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("stream").orderBy("tick")
     sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = scored.join(F.broadcast(policies), "kind").where("sufficient OR gap = 'hold'")
+    rows = scored.join(small(policies), "kind").where("sufficient OR gap = 'hold'")
     kind = F.when(~F.col("sufficient"), "H").when(F.col("score") >= F.col("breach"), "B").when(F.col("score").isNull() | (F.col("score") <= F.col("clear")), "C").otherwise("H")
     rows = rows.withColumn("class", kind)
     rows = rows.withColumn("grp", F.sum(F.when(F.lag("class").over(order) == F.col("class"), 0).otherwise(1)).over(sofar))

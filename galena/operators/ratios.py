@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.sized import small
+
 RULE = "metric string, falls boolean, floor double, trigger double, full double"
 
 
@@ -16,7 +18,7 @@ def deformed(measures: DataFrame, rules: DataFrame, least_rows: int = 6) -> Data
     1 at most.  Windows of a metric without a rule are left out.
     """
     usable = ~F.coalesce("ambiguous", F.lit(False)) & (F.col("n") >= least_rows) & F.col("value").isNotNull()
-    rows = measures.join(rules, "metric").withColumn("usable", usable)
+    rows = measures.join(small(rules), "metric").withColumn("usable", usable)
     first = rows.where("usable").groupBy("stream", "metric").agg(F.min("tick").alias("first_tick"), F.min_by("value", "tick").alias("base"))
     change = F.when(F.col("falls"), F.col("base") - F.col("value")).otherwise(F.col("value") - F.col("base"))
     got = rows.join(first, ["stream", "metric"], "left").withColumn("deformation", F.when(F.col("usable"), F.greatest(change, F.lit(0.0)) / F.greatest("base", "floor")))
