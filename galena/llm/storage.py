@@ -1,9 +1,9 @@
 """Where intermediate tables of the llm operators live.
 
 Lineage is cut only by written tables in the folder that the cluster names in
-``spark.checkpoint.dir``.  Where that setting is absent (unit
-tests, a laptop) a temporary folder of the driver is used, which is safe there
-because driver and executors share one file system.
+``spark.checkpoint.dir``.  Where that setting is absent and the master is ``local`` (unit
+tests, a laptop) a temporary folder is used, as driver and executors are one process there;
+on a cluster the setting must be given.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="galena-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
