@@ -68,9 +68,7 @@ STATEMENTS: dict[str, str] = {
     "negative_control": f"SELECT t.event_type, count(f.tick) AS outside FROM (SELECT DISTINCT event_type FROM {{events}}) t LEFT JOIN (SELECT x.service, x.tick FROM {FOUND} x LEFT ANTI JOIN {LABELS} l ON l.event_type = x.service AND x.tick >= l.valid_from AND x.tick < l.valid_to) f ON f.service = t.event_type GROUP BY t.event_type",
     "episode_characterization": f"SELECT t.event_type, count(f.tick) AS episodes, min(f.tick) AS first_tick, max(f.tick) AS last_tick FROM (SELECT DISTINCT event_type FROM {{events}}) t LEFT JOIN {FOUND} f ON f.service = t.event_type GROUP BY t.event_type",
     "run_overlap_rows": f"SELECT l.event_type, l.day, count(*) AS overlapping, count(*) FILTER (WHERE c.tick < l.valid_from + 1) AS inherited FROM {LABELS} l JOIN {COUNTS} c ON c.event_type = l.event_type AND c.tick < l.valid_to AND c.tick + 1 > l.valid_from GROUP BY l.event_type, l.day",
-    "telemetry_completeness": f"SELECT event_type, count(*) AS actual, round(count(*) * 1.0e0 / nullif((max(tick) - min(tick) + 1) * max(n), 0), 6) AS completeness FROM (SELECT event_type, tick, count(*) OVER (PARTITION BY event_type, tick) AS n FROM {OBS} o) w GROUP BY event_type",
     "kpi_headline": f"SELECT CASE WHEN count(*) = 5 THEN 'OK' ELSE 'INCOMPLETE' END AS status, round(min(recall), 6) AS least_recall, CAST(sum(matched) AS BIGINT) AS matched FROM {KINDS} k",
-    "golden_diff": f"SELECT 'missing' AS side, event_type, tick FROM (SELECT event_type, tick FROM {COUNTS} a WHERE n >= 2 EXCEPT SELECT event_type, tick FROM {COUNTS} b WHERE n <= 12) m UNION ALL SELECT 'added' AS side, event_type, tick FROM (SELECT event_type, tick FROM {COUNTS} c WHERE n <= 12 EXCEPT SELECT event_type, tick FROM {COUNTS} d WHERE n >= 2) s",
     # reads and feeds
     "json_filter_group_min": f"SELECT {{k}} AS k, min(us) AS first_us, count(*) AS n FROM {OBS} o WHERE event_type = 'view' GROUP BY {{k}}",
     "context_from_fixtures": "SELECT o_orderkey AS fixture, o_orderdate AS kickoff, CASE WHEN o_orderpriority LIKE '1%' THEN 2.5e0 ELSE 1.5e0 END AS multiplier FROM {orders} WHERE o_orderstatus <> 'P'",

@@ -137,3 +137,82 @@ def offset_drift(intervals: DataFrame, bound: float) -> DataFrame:
     """(id, start_drift, end_drift, exceeded): measured less requested offsets of (id, start, end, wanted_start, wanted_end), and whether either is off by more than ``bound``."""
     drift = intervals.select("id", (F.col("start") - F.col("wanted_start")).alias("start_drift"), (F.col("end") - F.col("wanted_end")).alias("end_drift"))
     return drift.withColumn("exceeded", F.greatest(F.abs("start_drift"), F.abs("end_drift")) > bound)
+
+
+class AdaptiveWindow:
+    """The values since the last change, as an exponential histogram: at most ``most`` buckets of each size 1, 2, 4, ...
+
+    A bucket is (mean, sum of squared distances from it).  Bifet and Gavalda, "Learning from time-changing data with adaptive windowing".
+    """
+
+    def __init__(self, delta: float, most: int = 5):
+        self.delta, self.most = delta, most
+        self.levels: list[list[tuple[float, float]]] = [[]]
+
+    def add(self, value: float) -> None:
+        self.levels[0].append((value, 0.0))
+        for i, level in enumerate(self.levels):
+            if len(level) <= self.most:
+                break
+            (a, p), (b, q) = level[:2]
+            del level[:2]
+            if i + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[i + 1].append(((a + b) / 2, p + q + (a - b) ** 2 * 2**i / 2))
+
+    def totals(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """Sizes and means of the buckets, oldest first, and the variance of the whole window."""
+        levels = range(len(self.levels) - 1, -1, -1)
+        sizes = np.array([2.0**i for i in levels for _ in self.levels[i]])
+        means, squares = np.array([b for i in levels for b in self.levels[i]]).reshape(-1, 2).T
+        spread = squares.sum() + (sizes * (means - np.average(means, weights=sizes)) ** 2).sum()
+        return sizes, means, spread / sizes.sum()
+
+    def shrink(self) -> bool:
+        """Drop the oldest buckets while some cut tells two means apart; whether any was dropped."""
+        dropped = False
+        while True:
+            sizes, means, variance = self.totals()
+            n = sizes.sum()
+            if len(sizes) < 2 or n < 3:
+                return dropped
+            old, sums = np.cumsum(sizes)[:-1], np.cumsum(sizes * means)
+            new = n - old
+            apart = np.abs(sums[:-1] / old - (sums[-1] - sums[:-1]) / new)
+            log, share = np.log(2 * np.log(n) / self.delta), 1 / old + 1 / new
+            if not (apart > np.sqrt(2 * share * variance * log) + 2 / 3 * share * log).any():
+                return dropped
+            dropped = True
+            self.levels[-1].pop(0)
+            while len(self.levels) > 1 and not self.levels[-1]:
+                self.levels.pop()
+
+
+def adaptive_drift(values: DataFrame, delta: float = 0.002, every: int = 32) -> DataFrame:
+    """(stream, place, id, width, mean, alarm) at each ``every``-th value of each stream (stream, at, id, value): the window kept, its mean, and whether it shrank.
+
+    A stream is read in the order of (at, id); it is sorted by Spark, which spills, and passes one task as Arrow batches with a
+    window that grows with the logarithm.  Null and non-finite values, and rows without a stream, don't count.
+    """
+    kept = values.select(F.col("stream").cast("string").alias("stream"), "at", "id", F.col("value").cast("double").alias("value"))
+    kept = kept.where("stream IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('Infinity')")
+    out = {"stream": pa.string(), "place": pa.int64(), "id": None, "width": pa.int64(), "mean": pa.float64(), "alarm": pa.bool_()}
+
+    def watch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, window, place = None, AdaptiveWindow(delta), -1
+        for batch in batches:
+            told = []
+            for i, (stream, value) in enumerate(zip(batch.column("stream").to_pylist(), batch.column("value").to_pylist())):
+                if stream != current:
+                    current, window, place = stream, AdaptiveWindow(delta), -1
+                window.add(value)
+                place += 1
+                if (place + 1) % every == 0:
+                    alarm = window.shrink()
+                    sizes, means, _ = window.totals()
+                    told.append((stream, place, i, int(sizes.sum()), float(np.average(means, weights=sizes)), alarm))
+            lists = dict(zip(out, map(list, zip(*told)))) if told else {c: [] for c in out}
+            ids = batch.column("id").take(pa.array(lists["id"], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids if kind is None else pa.array(lists[c], kind) for c, kind in out.items()], names=list(out))
+
+    return kept.repartition("stream").sortWithinPartitions("stream", "at", "id").mapInArrow(watch, f"stream string, place long, id {dict(kept.dtypes)['id']}, width long, mean double, alarm boolean")

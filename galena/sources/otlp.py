@@ -3,10 +3,13 @@
 An envelope is one JSON text.  Each reader is a parse with a fixed schema and explodes, all
 inside the JVM, without a shuffle.  Attributes merge with the precedence record, scope,
 resource.  A span that ends before it starts, or an envelope that can't be parsed, is rejected.
+``keep`` names columns of the raw rows that are handed on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ATTRIBUTES = "attributes array<struct<key string, value struct<stringValue string, boolValue boolean, intValue string, doubleValue double>>>"
@@ -43,15 +46,15 @@ def _us(nano: Column) -> Column:
     return F.floor(nano.cast("decimal(20,0)") / 1000).cast("long")
 
 
-def scalar_metrics(raw: DataFrame, payload: str = "payload") -> DataFrame:
+def scalar_metrics(raw: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """Gauges and sums: service, signal, us, value, unit, attributes."""
     m = _records(raw, payload, "resourceMetrics", "scopeMetrics", "metrics", METRIC)
     p = m.withColumn("_p", F.explode(F.concat(*[F.coalesce(F.col(f"_x.{k}.dataPoints"), F.array().cast(f"array<struct<{POINT}>>")) for k in ("gauge", "sum")])))
-    out = p.select(_merged("_p").alias("attributes"), F.col("_x.name").alias("signal"), _us(F.col("_p.timeUnixNano")).alias("us"), F.coalesce("_p.asDouble", F.col("_p.asInt").cast("double")).alias("value"), F.col("_x.unit").alias("unit"))
+    out = p.select(*keep, _merged("_p").alias("attributes"), F.col("_x.name").alias("signal"), _us(F.col("_p.timeUnixNano")).alias("us"), F.coalesce("_p.asDouble", F.col("_p.asInt").cast("double")).alias("value"), F.col("_x.unit").alias("unit"))
     return out.withColumn("service", F.col("attributes")["service.name"]).where("service IS NOT NULL AND value IS NOT NULL")
 
 
-def aggregate_metrics(raw: DataFrame, payload: str = "payload") -> DataFrame:
+def aggregate_metrics(raw: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """Histograms and summaries, as a row ``.count`` and a row ``.sum`` for each point."""
     m = _records(raw, payload, "resourceMetrics", "scopeMetrics", "metrics", METRIC)
     kinds = ("histogram", "exponentialHistogram", "summary")
@@ -60,22 +63,22 @@ def aggregate_metrics(raw: DataFrame, payload: str = "payload") -> DataFrame:
         F.struct(F.concat("_x.name", F.lit(".count")).alias("signal"), F.col("_p.count").cast("double").alias("value"), F.lit("count").alias("unit")),
         F.struct(F.concat("_x.name", F.lit(".sum")).alias("signal"), F.col("_p.sum").alias("value"), F.col("_x.unit").alias("unit")),
     )
-    out = p.withColumn("_o", F.explode(both)).select(_merged("_p").alias("attributes"), _us(F.col("_p.timeUnixNano")).alias("us"), "_o.*")
+    out = p.withColumn("_o", F.explode(both)).select(*keep, _merged("_p").alias("attributes"), _us(F.col("_p.timeUnixNano")).alias("us"), "_o.*")
     return out.withColumn("service", F.col("attributes")["service.name"]).where("service IS NOT NULL AND value IS NOT NULL")
 
 
-def logs(raw: DataFrame, payload: str = "payload") -> DataFrame:
+def logs(raw: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """Log records: service, us (observed time if there is no other), severity, body, ref."""
     x = _records(raw, payload, "resourceLogs", "scopeLogs", "logRecords", LOG)
-    out = x.select(_merged("_x").alias("attributes"), _us(F.coalesce("_x.timeUnixNano", "_x.observedTimeUnixNano")).alias("us"), F.col("_x.severityText").alias("severity"), F.col("_x.body.stringValue").alias("body"))
+    out = x.select(*keep, _merged("_x").alias("attributes"), _us(F.coalesce("_x.timeUnixNano", "_x.observedTimeUnixNano")).alias("us"), F.col("_x.severityText").alias("severity"), F.col("_x.body.stringValue").alias("body"))
     return out.withColumn("service", F.col("attributes")["service.name"]).withColumn("ref", F.sha2(F.concat_ws("|", "service", F.col("us").cast("string"), "body"), 256)).where("service IS NOT NULL AND us IS NOT NULL")
 
 
-def spans(raw: DataFrame, payload: str = "payload") -> DataFrame:
+def spans(raw: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """Spans that end no earlier than they start: service, name, us, duration_ms, failed, trace_id, span_id."""
     x = _records(raw, payload, "resourceSpans", "scopeSpans", "spans", SPAN)
     start, end = F.col("_x.startTimeUnixNano").cast("decimal(20,0)"), F.col("_x.endTimeUnixNano").cast("decimal(20,0)")
-    out = x.where(end >= start).select(_merged("_x").alias("attributes"), F.col("_x.name").alias("name"), _us(start).alias("us"), ((end - start).cast("double") / 1e6).alias("duration_ms"), (F.col("_x.status.code") == "STATUS_CODE_ERROR").alias("failed"), F.col("_x.traceId").alias("trace_id"), F.col("_x.spanId").alias("span_id"))
+    out = x.where(end >= start).select(*keep, _merged("_x").alias("attributes"), F.col("_x.name").alias("name"), _us(start).alias("us"), ((end - start).cast("double") / 1e6).alias("duration_ms"), (F.col("_x.status.code") == "STATUS_CODE_ERROR").alias("failed"), F.col("_x.traceId").alias("trace_id"), F.col("_x.spanId").alias("span_id"))
     return out.withColumn("service", F.col("attributes")["service.name"]).where("service IS NOT NULL")
 
 

@@ -2,7 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.errors import StreamingQueryException
 
+from galena.streaming import delivery
 from galena.streaming.ticks import keyed_ticks, observations, observations_sink
 
 SCHEMA = "key string, us long, value double"
@@ -67,3 +70,45 @@ def test_sink_is_unchanged_by_redelivery(spark, tmp_path):
             spark.createDataFrame([(3, 0, 9.0, 2)], schema).write.mode("append").parquet(str(source))
     got = observations(spark.read.parquet(str(tmp_path / "out")), ["id"], "revision")
     assert sorted(map(tuple, got.select("id", "us", "value", "revision").collect())) == sorted([r for r in rows if r[0] != 3] + [(3, 0, 9.0, 2)])
+
+
+def batches_of(tmp_path, batches, columns, types):
+    import os
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for i, rows in enumerate(batches):
+        df = pd.DataFrame(rows, columns=columns).astype(types)
+        df["ts"] = pd.to_datetime(df["ts"], unit="s").astype("datetime64[us]")
+        df.to_parquet(source / f"{i:04}.parquet")
+        os.utime(source / f"{i:04}.parquet", (1_700_000_000 + i,) * 2)
+    return str(source)
+
+
+def test_redelivery_is_silent_and_conflicts_are_told_or_refused(spark, tmp_path):
+    batches = [[("a", 1, 10, "x"), ("a", 1, 10, "x"), ("b", 1, 10, None)], [("a", 1, 10, "x"), ("a", 2, 11, "y")], [("a", 2, 11, "z"), ("c", 1, 12, "q"), ("c", 1, 12, "p"), (None, 1, 12, "n")]]
+    source = batches_of(tmp_path, batches, ["key", "tick", "ts", "signature"], {"tick": "Int64"})
+    stream = lambda: spark.readStream.schema("key string, tick long, ts timestamp, signature string").option("maxFilesPerTrigger", 1).parquet(source)
+    run = lambda df, name: df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+    outcomes = lambda: delivery.delivered(stream(), "1 minute", 60_000)
+    run(outcomes(), "told").awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "told")).collect())
+    assert got == [("a", 1, "x", "first"), ("a", 2, "y", "first"), ("a", 2, "z", "conflict"), ("b", 1, "", "first"), ("c", 1, "p", "first"), ("c", 1, "q", "conflict")]
+    with pytest.raises(StreamingQueryException, match="conflicting redelivery of (a at tick 2|c at tick 1)"):
+        run(delivery.refuse_conflicts(outcomes()), "refused").awaitTermination(120)
+
+
+def test_contexts_are_read_again_and_the_last_ones_outlive_a_failure(spark, tmp_path):
+    batches = [[("a", 1, 10, "x")], [("b", 1, 10, "x")], [("c", 1, 10, "x")]]
+    source = batches_of(tmp_path, batches, ["key", "tick", "ts", "signature"], {"tick": "Int64"})
+    stream = spark.readStream.schema("key string, tick long, ts timestamp, signature string").option("maxFilesPerTrigger", 1).parquet(source)
+    calls = []
+
+    def read():
+        calls.append(1)
+        if len(calls) == 2:
+            return spark.read.parquet(str(tmp_path / "absent"))
+        return spark.createDataFrame([(len(calls),)], "version int")
+
+    delivery.with_contexts(stream, read, lambda rows, contexts: rows.select("key").join(contexts), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    assert sorted((r.key, r.version) for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()) == [("a", 1), ("b", 1), ("c", 3)]
