@@ -51,7 +51,7 @@ def suppressed(decisions: DataFrame, windows: DataFrame, attention: dict[str, in
     ``decisions`` is (decision_id, at, services, class, action); ``windows`` (window_id, start, end, kind, window_services, classes, most).
     A change freeze turns an acting decision on any of its services into ``fallback``.  A maintenance window caps the action at ``most``
     where it names the class and all services and the action asks for more ``attention``.  Returns the columns of decisions,
-    applied (window id or null) and final.
+    applied and applied_kind (of the window, or null), and final.
     """
     rank = F.create_map(*(F.lit(x) for pair in attention.items() for x in pair))
     met = point_in_interval(decisions.withColumn("service", F.explode("services")), windows.withColumn("service", F.explode("window_services")), "at", "start", "end", width, ["service"])
@@ -59,5 +59,5 @@ def suppressed(decisions: DataFrame, windows: DataFrame, attention: dict[str, in
     covers = F.size(F.array_except("services", "window_services")) == 0
     cap = (F.col("kind") != "CHANGE_FREEZE") & F.array_contains("classes", F.col("class")) & covers & F.col("most").isNotNull() & (F.element_at(rank, F.col("action")) > F.element_at(rank, F.col("most")))
     final = F.when(freeze, F.lit(fallback)).when(cap, F.col("most"))
-    first = met.withColumn("final", final).where("final IS NOT NULL").groupBy("decision_id").agg(F.min(F.struct("start", "window_id", "final")).alias("f"))
-    return decisions.join(first, "decision_id", "left").select(*decisions.columns, F.col("f.window_id").alias("applied"), F.coalesce("f.final", "action").alias("final"))
+    first = met.withColumn("final", final).where("final IS NOT NULL").groupBy("decision_id").agg(F.min(F.struct("start", "window_id", "final", "kind")).alias("f"))
+    return decisions.join(first, "decision_id", "left").select(*decisions.columns, F.col("f.window_id").alias("applied"), F.col("f.kind").alias("applied_kind"), F.coalesce("f.final", "action").alias("final"))

@@ -162,6 +162,23 @@ def policy_ladder(spark, sf_dir):
     return got.withColumns({c: F.array_join(c, ",") for c in ("guards", "floors", "approvals")})
 
 
+def policy_governed(spark, sf_dir):
+    """A purchase is a decision on its service and segment; a signup opens a window of an hour on its segment."""
+    e = _events(spark, sf_dir)
+    action = F.when(F.col("value") > 60, "ACT").when(F.col("value") > 30, "ESCALATE_TO_HUMAN").when(F.col("value") > 10, "ALERT").otherwise("SUPPRESS")
+    asked = F.array_compact(F.array(F.when(F.col("value") > 100, "severity"), F.when(F.col("user_id") % 10 == 0, "services")))
+    place = F.concat(F.lit("seg"), "segment")
+    decisions = e.where("event_type = 'purchase'").select(F.col("event_id").alias("decision_id"), F.col("us").alias("at"), F.array("event_type", place).alias("services"), F.col("segment").cast("string").alias("class"), action.alias("action"), asked.alias("approvals"))
+    freeze = F.col("value") > 50
+    windows = e.where("event_type = 'signup'").select(
+        F.col("event_id").alias("window_id"), F.col("us").alias("start"), (F.col("us") + HOUR).alias("end"), F.when(freeze, "CHANGE_FREEZE").otherwise("MAINTENANCE").alias("kind"),
+        F.when(freeze, F.array(place)).otherwise(F.array(F.lit("purchase"), place)).alias("window_services"), F.array(F.lit("0"), F.lit("1")).alias("classes"), F.lit("ALERT").alias("most"),
+    )
+    critical = e.where("event_type = 'purchase' AND value > 5").groupBy(place.alias("service")).agg(F.max("value").alias("most")).where("most > 400").select("service")
+    got = policy.governed(decisions, windows, critical, ATTENTION, HOUR, ("ACT",), ("SUPPRESS", "ALERT"), ("ESCALATE_TO_HUMAN",), "ESCALATE_TO_HUMAN")
+    return got.withColumn("approvals", F.array_join("approvals", ","))
+
+
 def drift_ks_windows(spark, sf_dir):
     e = _events(spark, sf_dir)
     series = e.select(F.col("event_type").alias("stream"), F.col("us").alias("at"), F.col("event_id").alias("id"), "value")
@@ -308,6 +325,13 @@ l AS (SELECT *, phase > 0 AND first_action = 'SUPPRESS' AND coalesce(impact, 0)
 z AS (SELECT *, CASE WHEN f3 THEN 'ESCALATE_TO_HUMAN' WHEN f1 OR f2 THEN 'ALERT' ELSE first_action END AS action FROM l)
 SELECT incident, z.at, (['{"', '".join(r.name for r in ACTION_RULES)}'])[no] AS rule, action, evidence_at, guards, concat_ws(',', CASE WHEN f1 THEN '{FLOORS[0].name}' END, CASE WHEN f2 THEN '{FLOORS[1].name}' END, CASE WHEN f3 THEN '{FLOORS[2].name}' END) AS floors,
   CASE WHEN action IN ('SUPPRESS', 'ALERT') THEN '' ELSE concat_ws(',', CASE WHEN guards <> '' THEN guards END, CASE WHEN worst = 4 THEN 'severity' END, CASE WHEN services >= 3 THEN 'services' END) END AS approvals FROM z"""
+ORACLES["policy_governed"] = f"""WITH d AS (SELECT *, CASE WHEN value > 60 THEN 'ACT' WHEN value > 30 THEN 'ESCALATE_TO_HUMAN' WHEN value > 10 THEN 'ALERT' ELSE 'SUPPRESS' END AS action FROM {EVENTS} e WHERE event_type = 'purchase'),
+w AS (SELECT DISTINCT ON (d.event_id) d.event_id, s.event_id AS applied, s.value > 50 AS frozen FROM d JOIN {EVENTS} s ON s.event_type = 'signup' AND s.segment = d.segment AND d.us >= s.us AND d.us - s.us < {HOUR}
+  AND CASE WHEN s.value > 50 THEN d.action = 'ACT' ELSE d.segment < 2 AND d.action IN ('ACT', 'ESCALATE_TO_HUMAN') END ORDER BY d.event_id, s.us, s.event_id),
+c AS (SELECT segment FROM d GROUP BY segment HAVING max(value) > 400),
+f AS (SELECT d.*, applied, frozen, CASE WHEN frozen THEN 'ESCALATE_TO_HUMAN' WHEN NOT frozen THEN 'ALERT' ELSE action END AS final FROM d LEFT JOIN w USING (event_id))
+SELECT event_id AS decision_id, final AS action, applied, final = 'ESCALATE_TO_HUMAN' AS escalated, CASE WHEN final IN ('SUPPRESS', 'ALERT') THEN '' ELSE
+  concat_ws(',', CASE WHEN value > 100 THEN 'severity' END, CASE WHEN user_id % 10 = 0 THEN 'services' END, CASE WHEN frozen THEN 'change_freeze' END, CASE WHEN segment IN (SELECT segment FROM c) THEN 'critical_service' END) END AS approvals FROM f"""
 ORACLES |= {
     "kind_scores": f"""WITH o AS (SELECT event_type AS kind, value > 60 AS s, k < 50 AS l, value - 60 AS latency FROM {E_K}), h AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY latency) AS i, count(*) OVER (PARTITION BY kind) AS c FROM o WHERE s AND l)
 SELECT o.kind, count(*) FILTER (WHERE s AND l) AS hits, count(*) FILTER (WHERE s AND NOT l) AS false_alarms, count(*) FILTER (WHERE l AND NOT s) AS missed, round(count(*) FILTER (WHERE s AND l) / nullif(count(*) FILTER (WHERE s), 0), 6) AS precision,

@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .intervals import suppressed
+
 
 def verified(
     incidents: DataFrame, episodes: DataFrame, edges: DataFrame, services: DataFrame, coverage: DataFrame, matches: DataFrame, memory_size: int,
@@ -146,3 +148,19 @@ def decided(
     signed = listed({"severity": F.col("top").isin(*(rank_of[s] for s in guards.approve_severities)), "services": holds(F.col("services") >= guards.approve_services)})
     approvals = F.when(F.col("action").isin(*quiet), F.array().cast("array<string>")).otherwise(F.concat("guards", signed))
     return rows.select("incident", "at", F.col("picked.rule").alias("rule"), "action", (-peak["minus_at"]).alias("evidence_at"), "guards", "floors", approvals.alias("approvals"))
+
+
+def governed(decisions: DataFrame, windows: DataFrame, critical: DataFrame, attention: Mapping[str, int], width: int, acting: Sequence[str], quiet: Sequence[str], escalating: Sequence[str], fallback: str) -> DataFrame:
+    """(decision_id, action, applied, approvals, escalated): decisions after the windows in force, and why a person must sign them.
+
+    ``decisions`` is (decision_id, at, services, class, action, approvals), one row for each id, ``windows`` as ``intervals.suppressed``
+    takes them, ``critical`` the services (service) whose actions need a signature.  To the approvals so far come "change_freeze" and
+    "critical_service"; a ``quiet`` action needs none.  ``escalated``, that the action itself goes to a person, asks for no signature.
+    """
+    after = suppressed(decisions, windows, dict(attention), width, tuple(acting), fallback)
+    named = decisions.select("decision_id", F.explode("services").alias("service")).join(critical.select("service"), "service", "left_semi")
+    after = after.join(named.select("decision_id", F.lit(True).alias("critical_")).distinct(), "decision_id", "left")
+    added = F.array_compact(F.array(F.when(F.col("applied_kind") == "CHANGE_FREEZE", "change_freeze"), F.when(F.col("critical_"), "critical_service")))
+    asked = F.array_distinct(F.concat(F.coalesce("approvals", F.array().cast("array<string>")), added))
+    approvals = F.when(F.col("final").isin(*quiet), F.array().cast("array<string>")).otherwise(asked)
+    return after.select("decision_id", F.col("final").alias("action"), "applied", approvals.alias("approvals"), F.col("final").isin(*escalating).alias("escalated"))

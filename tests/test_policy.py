@@ -60,3 +60,17 @@ def test_floors_raise_attention_in_turn(spark):
     assert got[1].approvals == ["severity"] and ladder(spark, []) == []
     with pytest.raises(ValueError):
         policy.decided(spark.createDataFrame([], TICK), ACTION_RULES[:-1], (), policy.Guards(0.7, 3, "x"), ("LOW",), {}, ("ACT",), ())
+
+
+def test_windows_and_critical_services_ask_for_signatures(spark):
+    decisions = spark.createDataFrame([
+        (1, 5, ["a"], "X", "ACT", ["severity"]), (2, 5, ["b"], "X", "ACT", None), (3, 5, ["c"], "X", "ACT", []), (4, 5, ["m"], "X", "ACT", ["severity"]),
+        (5, 5, ["a"], "X", "ALERT", ["severity"]), (6, 50, ["a", "b"], "X", "ACT", []), (7, 5, None, "X", "ESCALATE_TO_HUMAN", []),
+    ], "decision_id long, at long, services array<string>, class string, action string, approvals array<string>")
+    windows = spark.createDataFrame([(1, 0, 10, "CHANGE_FREEZE", ["a"], [], None), (2, 0, 10, "MAINTENANCE", ["m"], ["X"], "ALERT")], "window_id long, start long, end long, kind string, window_services array<string>, classes array<string>, most string")
+    critical = spark.createDataFrame([("b",), ("m",)], "service string")
+    got = policy.governed(decisions, windows, critical, ATTENTION, 10, ("ACT",), ("SUPPRESS", "ALERT"), ("ESCALATE_TO_HUMAN",), "ESCALATE_TO_HUMAN")
+    assert sorted(map(tuple, got.collect())) == [
+        (1, "ESCALATE_TO_HUMAN", 1, ["severity", "change_freeze"], True), (2, "ACT", None, ["critical_service"], False), (3, "ACT", None, [], False), (4, "ALERT", 2, [], False),
+        (5, "ALERT", None, [], False), (6, "ACT", None, ["critical_service"], False), (7, "ESCALATE_TO_HUMAN", None, [], True),
+    ]
