@@ -44,3 +44,71 @@ def range_page(rows: DataFrame, at: str, start: int, end: int, order: list[Colum
     if not 0 <= end - start <= longest or not 0 < size <= most:
         raise ValueError("span or page out of bounds")
     return page(rows.where(F.col(at).between(start, end)), order, size)
+
+
+def separation(scored: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n, auc, positive_mean, negative_mean, gap) of (key, score, positive): how well scores tell two classes apart.
+
+    auc is the share of pairs in which the positive scores higher, ties counting half; auc and gap are null where a class is empty.
+    Rows without score or class don't count.  Rows meet as counts of each score, and only these are put in order.
+    """
+    hit = F.col("positive").cast("boolean")
+    counts = scored.where("score IS NOT NULL AND positive IS NOT NULL").groupBy(*key, F.col("score").cast("double").alias("score")).agg(F.count_if(hit).alias("p"), F.count_if(~hit).alias("m"))
+    below = F.sum("m").over(Window.partitionBy(*key).orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
+    won = counts.withColumn("won", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("m") / 2))
+    got = won.groupBy(*key).agg(F.sum("p").alias("p"), F.sum("m").alias("m"), F.sum("won").alias("won"), F.sum(F.col("p") * F.col("score")).alias("ps"), F.sum(F.col("m") * F.col("score")).alias("ms"))
+    means = got.withColumns({"positive_mean": F.try_divide("ps", "p"), "negative_mean": F.try_divide("ms", "m")})
+    return means.select(*key, (F.col("p") + F.col("m")).alias("n"), F.try_divide(F.col("won"), F.col("p") * F.col("m")).alias("auc"), "positive_mean", "negative_mean", (F.col("positive_mean") - F.col("negative_mean")).alias("gap"))
+
+
+def headline(outcomes: DataFrame, required: list[str]) -> DataFrame:
+    """One row (recall_status, least_recall, latency_status, p95, matched) over the ``required`` kinds of outcomes as ``kind_scores`` takes them.
+
+    The least recall counts only if every required kind has labels; p95 is by nearest rank over all hits.  Else the status is INSUFFICIENT.
+    """
+    some = outcomes.where(F.col("kind").isin(*required))
+    by_kind = kind_scores(some).agg(F.count("recall").alias("kinds"), F.min("recall").alias("least"))
+    hits = some.where("symptom IS NOT NULL AND label IS NOT NULL").agg(F.count("latency").alias("matched"), nearest_rank("latency", 0.95).alias("p95"))
+    both = by_kind.join(hits)  # one row each
+    whole = F.col("kinds") == len(required)
+    return both.select(F.when(whole, "OK").otherwise("INSUFFICIENT").alias("recall_status"), F.when(whole, F.col("least")).alias("least_recall"), F.when(F.col("matched") > 0, "OK").otherwise("INSUFFICIENT").alias("latency_status"), "p95", "matched")
+
+
+def run_bounds(spans: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run, anchor, first, end, problem) of each of ``runs`` (run, duration) by its spans (run, at, marker).
+
+    The anchor is the last marker, first the first other span, end the anchor and the duration.  problem: "no spans", "no marker",
+    or "anchor after first span"; then the run has no end.
+    """
+    edges = spans.groupBy("run").agg(F.max(F.when(F.col("marker"), F.col("at"))).alias("anchor"), F.min(F.when(~F.col("marker"), F.col("at"))).alias("first"))
+    problem = F.when(F.col("first").isNull(), "no spans").when(F.col("anchor").isNull(), "no marker").when(F.col("anchor") > F.col("first"), "anchor after first span")
+    rows = runs.join(edges, "run", "left").withColumn("problem", problem)
+    return rows.select("run", "anchor", "first", F.when(F.col("problem").isNull(), F.col("anchor") + F.col("duration")).alias("end"), "problem")
+
+
+def characterised(episodes: DataFrame, bounds: DataFrame, times: list[str]) -> DataFrame:
+    """``episodes`` (run, ..) of runs that have bounds, with the columns ``times`` as offsets from the run's anchor."""
+    rows = episodes.join(bounds.where("problem IS NULL").select("run", F.col("anchor").alias("anchor_")), "run")
+    return rows.withColumns({t: F.col(t) - F.col("anchor_") for t in times}).drop("anchor_")
+
+
+def counts_by_kind(episodes: DataFrame, bounds: DataFrame, kinds: list[str]) -> DataFrame:
+    """(run, kind, n) for each run that has bounds and each of ``kinds``, none too."""
+    spine = bounds.where("problem IS NULL").select("run", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    return spine.join(episodes.groupBy("run", "kind").agg(F.count("*").alias("n")), ["run", "kind"], "left").select("run", "kind", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def adjacent(episodes: DataFrame, hops: DataFrame, within: int) -> DataFrame:
+    """(earlier, later, apart): pairs of episodes (id, service, opened) that opened at most ``within`` apart on one service or on two that are ``hops`` (a, b) apart.
+
+    Ties are in the order of ids.  An episode is copied to its service and that service's neighbours, and meets others in its own
+    bucket of time and the next one, so the join is an equi-join on (service, bucket).
+    """
+    near = hops.select(F.col("a").alias("service"), F.col("b").alias("other")).unionByName(hops.select(F.col("b").alias("service"), F.col("a").alias("other"))).where("service <> other").distinct()
+    first = episodes.select(F.col("id").alias("earlier"), "service", F.col("opened").alias("opened_"))
+    first = first.unionByName(first.join(near, "service").select("earlier", F.col("other").alias("service"), "opened_"))
+    bucket = F.floor(F.col("opened_") / within)
+    first = first.withColumn("bucket_", F.explode(F.array(bucket, bucket + 1)))
+    later = episodes.select(F.col("id").alias("later"), "service", "opened", F.floor(F.col("opened") / within).alias("bucket_"))
+    met = first.join(later, ["service", "bucket_"]).withColumn("apart", F.col("opened") - F.col("opened_"))
+    return met.where((F.col("apart") <= within) & ((F.col("apart") > 0) | ((F.col("apart") == 0) & (F.col("earlier") < F.col("later"))))).select("earlier", "later", "apart")

@@ -2,7 +2,7 @@
 
 An envelope is one JSON text.  Each reader is a parse with a fixed schema and explodes, all
 inside the JVM, without a shuffle.  Attributes merge with the precedence record, scope,
-resource.  A span that ends before it starts, or an envelope that can't be parsed, is rejected.
+resource.  An envelope that can't be parsed, or has a span that ends before it starts, is rejected as a whole.
 ``keep`` names columns of the raw rows that are handed on.
 """
 
@@ -42,8 +42,12 @@ def _merged(record: str) -> Column:
     return attr_merge(F.col("_r.resource.attributes"), F.col("_s.scope.attributes"), F.col(f"{record}.attributes"))
 
 
+def _nano(text: Column) -> Column:
+    return text.cast("decimal(20,0)")
+
+
 def _us(nano: Column) -> Column:
-    return F.floor(nano.cast("decimal(20,0)") / 1000).cast("long")
+    return F.floor(_nano(nano) / 1000).cast("long")
 
 
 def scalar_metrics(raw: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
@@ -75,9 +79,12 @@ def logs(raw: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) ->
 
 
 def spans(raw: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
-    """Spans that end no earlier than they start: service, name, us, duration_ms, failed, trace_id, span_id."""
-    x = _records(raw, payload, "resourceSpans", "scopeSpans", "spans", SPAN)
-    start, end = F.col("_x.startTimeUnixNano").cast("decimal(20,0)"), F.col("_x.endTimeUnixNano").cast("decimal(20,0)")
+    """Spans of envelopes in which all end no earlier than they start: service, name, us, duration_ms, failed, trace_id, span_id."""
+    read = F.from_json(payload, _schema("resourceSpans", "scopeSpans", "spans", SPAN))["resourceSpans"]
+    all_spans = F.flatten(F.transform(read, lambda r: F.flatten(F.transform(r["scopeSpans"], lambda s: s["spans"]))))
+    sound = F.forall(all_spans, lambda s: F.coalesce(_nano(s["endTimeUnixNano"]) >= _nano(s["startTimeUnixNano"]), F.lit(False)))
+    x = _records(raw.where(F.coalesce(sound, F.lit(True))), payload, "resourceSpans", "scopeSpans", "spans", SPAN)
+    start, end = _nano(F.col("_x.startTimeUnixNano")), _nano(F.col("_x.endTimeUnixNano"))
     out = x.where(end >= start).select(*keep, _merged("_x").alias("attributes"), F.col("_x.name").alias("name"), _us(start).alias("us"), ((end - start).cast("double") / 1e6).alias("duration_ms"), (F.col("_x.status.code") == "STATUS_CODE_ERROR").alias("failed"), F.col("_x.traceId").alias("trace_id"), F.col("_x.spanId").alias("span_id"))
     return out.withColumn("service", F.col("attributes")["service.name"]).where("service IS NOT NULL")
 
