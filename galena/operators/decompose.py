@@ -1,12 +1,15 @@
 """Baseline, event-explained part and residual of a rate, tick by tick.
 
 The baseline is a gated exponential average: whether a tick moves it depends on the baseline
-itself, which no window function can say.  Each series is therefore folded in time order by
-one grouped task; a series has one row for each tick, not for each event.
+itself, which no window function can say.  Each series is therefore folded in time order: Spark
+sorts it, spilling if need be, and it passes one task in batches, with only the warm-up's values
+and the baseline carried on.  A series has one row for each tick, not for each event.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,32 +21,36 @@ SCHEMA = "service string, tick long, observed double, base double, event double,
 def decompose(rates: DataFrame, lifts: DataFrame | None = None, warmup: int = 30, alpha: float = 0.15, gate: float = 0.25, floor: float = 1.5, tolerance: float = 0.1) -> DataFrame:
     """Frames of ``rates`` (service, tick, observed); ``lifts`` (tick, lift) adds base * lift.
 
-    Ticks before the warm-up is over have the status 'warming' and no values.
+    Ticks before the warm-up is over have the status 'warming' and no values.  Rows without a service are left out; rows of one tick are taken by value.
     """
     rows = rates.join(small(lifts), "tick", "left") if lifts is not None else rates.withColumn("lift", F.lit(0.0))
     rows = rows.select("service", "tick", F.col("observed").cast("double").alias("observed"), F.coalesce("lift", F.lit(0.0)).alias("lift"))
 
-    def fold(series: pd.DataFrame) -> pd.DataFrame:
-        out, seen, base = [], [], None
-        for r in series.sort_values("tick").itertuples():
-            if base is None:
-                if not r.lift:
-                    seen.append(r.observed)
-                if len(seen) >= warmup:
-                    base = float(pd.Series(seen).median())
-                out.append((r.service, r.tick, r.observed, None, None, None, None, None, None, "warming"))
-                continue
-            event = base * r.lift
-            expected = base + event
-            band = max(floor, tolerance * expected)
-            residual = r.observed - expected
-            beyond = max(0.0, abs(residual) - band)
-            out.append((r.service, r.tick, r.observed, base, event, expected - band, expected + band, residual, min(1.0, beyond / band), "ok"))
-            if not r.lift and abs(residual) <= max(floor, gate * base):
-                base += alpha * (r.observed - base)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return rows.groupBy("service").applyInPandas(fold, SCHEMA)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, seen, base = None, [], None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                if r.service != current:
+                    current, seen, base = r.service, [], None
+                if base is None:
+                    if not r.lift:
+                        seen.append(r.observed)
+                    if len(seen) >= warmup:
+                        base = float(pd.Series(seen).median())
+                    out.append((r.service, r.tick, r.observed, None, None, None, None, None, None, "warming"))
+                    continue
+                event = base * r.lift
+                expected = base + event
+                band = max(floor, tolerance * expected)
+                residual = r.observed - expected
+                beyond = max(0.0, abs(residual) - band)
+                out.append((r.service, r.tick, r.observed, base, event, expected - band, expected + band, residual, min(1.0, beyond / band), "ok"))
+                if not r.lift and abs(residual) <= max(floor, gate * base):
+                    base += alpha * (r.observed - base)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return rows.where("service IS NOT NULL").repartition("service").sortWithinPartitions("service", "tick", "observed").mapInPandas(fold, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,17 @@ points of one series, never raw events.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..plans.dialect import statement
+from ..plans.sized import small
 from .detection import OPENINGS
 from .evaluation import LABELS
+from .graph import reach
 from .statements import EDGE_SET, OBS
 
 
@@ -21,35 +25,51 @@ def incident_clusters(episodes: DataFrame, edges: DataFrame, within: int) -> Dat
 
     In the order of opening, an episode joins each incident that opened at most ``within``
     before and holds its service or a neighbour; several such incidents become one, the
-    earliest.  Episodes are dealt by runs of occupied spans of ``within``: the gap of an empty
-    span is longer than ``within``, and no incident can bridge it.  Returns id, incident (the id of its first episode) and merged (how
-    many incidents it brought together).
+    earliest.  Episodes are dealt by connected part of the graph and, within it, by runs of
+    occupied spans of ``within``: the gap of an empty span is longer than ``within``, and no
+    incident can bridge it.  A run is sorted by Spark and passes one task in batches, which holds
+    only the incidents that can still be joined.  Returns id, incident (the id of its first
+    episode) and merged (how many incidents the episode brought together).  Episodes without a
+    service are adjacent to none.
     """
-    spans = episodes.select(F.floor(F.col("opened") / within).cast("long").alias("span")).distinct()  # grows with the time covered, not with the episodes
-    gap = F.col("span") - F.lag("span").over(Window.orderBy("span"))
-    segments = spans.withColumn("segment", F.sum((F.coalesce(gap, F.lit(0)) > 1).cast("int")).over(Window.orderBy("span")))
-    near = edges.union(edges.select("dependency", "service")).toDF("service", "other").groupBy("service").agg(F.collect_set("other").alias("near"))
-    dealt = episodes.withColumn("span", F.floor(F.col("opened") / within).cast("long")).join(segments, "span").join(near, "service", "left")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        incidents: list[dict] = []
-        out = []
-        for r in rows.sort_values(["opened", "id"]).itertuples():
-            touched = {r.service, *(r.near if r.near is not None else ())}
-            met = [i for i in incidents if r.opened - i["opened"] <= within and touched & i["services"]]
-            home = met[0] if met else {"opened": r.opened, "first": r.id, "services": set(), "ids": []}
-            for other in met[1:]:
-                home["services"] |= other["services"]
-                home["ids"] += other["ids"]
-            gone = [id(o) for o in met[1:]]
-            incidents = [i for i in incidents if id(i) not in gone] + ([] if met else [home])
-            home["services"].add(r.service)
-            home["ids"].append((r.id, max(0, len(met) - 1)))
-        for i in incidents:
-            out += [(e, i["first"], merged) for e, merged in i["ids"]]
-        return pd.DataFrame(out, columns=["id", "incident", "merged"])
-
-    return dealt.groupBy("segment").applyInPandas(fold, "id string, incident string, merged int")
+    linked = edges.toDF("source", "target")
+    part = reach(linked, directed=False).groupBy(F.col("source").alias("service")).agg(F.least("source", F.min("target")).alias("part"))
+    near = linked.union(linked.select("target", "source")).toDF("service", "other").groupBy("service").agg(F.collect_set("other").alias("near"))
+    known = small(near.join(part, "service", "left"))
+    alone = F.coalesce("part", "service", F.concat(F.lit("without a service: "), F.col("id").cast("string")))
+    placed = episodes.withColumn("span", F.floor(F.col("opened") / within).cast("long")).join(known, "service", "left").withColumn("part", alone)
+    # one row for each part and span of time, whatever the number of episodes
+    order = Window.partitionBy("part").orderBy("span")
+    spans = placed.select("part", "span").distinct().withColumn("gap", F.col("span") - F.lag("span").over(order))
+    segments = spans.withColumn("segment", F.sum((F.coalesce("gap", F.lit(0)) > 1).cast("int")).over(order)).drop("gap")
+    dealt = placed.join(segments, ["part", "span"]).select("part", "segment", "opened", F.col("id").cast("string").alias("id"), "service", "near")
+
+    def told(incidents: list[dict]) -> list[tuple]:
+        return [(e, i["first"], merged) for i in incidents for e, merged in i["ids"]]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, live, columns = None, [], ["id", "incident", "merged"]
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                closed = live if (r.part, r.segment) != current else [i for i in live if r.opened - i["opened"] > within]
+                if closed:
+                    out += told(closed)
+                    live = [i for i in live if not any(i is c for c in closed)]
+                current = r.part, r.segment
+                touched = {r.service, *(r.near if r.near is not None else ())}
+                met = [i for i in live if touched & i["services"]]
+                home = met[0] if met else {"first": r.id, "opened": r.opened, "services": set(), "ids": []}
+                for other in met[1:]:
+                    home["services"] |= other["services"]
+                    home["ids"] += other["ids"]
+                live = [i for i in live if not any(i is o for o in met[1:])] + ([] if met else [home])
+                home["services"].add(r.service)
+                home["ids"].append((r.id, max(0, len(met) - 1)))
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(told(live), columns=columns)
+
+    return dealt.repartition("part", "segment").sortWithinPartitions("part", "segment", "opened", "id").mapInPandas(fold, "id string, incident string, merged int")
 
 
 def episode_match(labels: DataFrame, found: DataFrame) -> DataFrame:
