@@ -42,11 +42,11 @@ def capture_gaps(spark, sf_dir):
 
 
 def snapshot_checksum(spark, sf_dir):
-    """Labelled documents against a manifest of all documents whose sizes are in characters."""
+    """Documents with an embedding against a manifest of all documents whose sizes are in characters."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     placed = d.select("doc_id", F.col("lang").alias("topic"), F.lit(0).alias("partition"), F.col("doc_id").alias("offset"), F.col("text").cast("binary").alias("value"), F.length("text").cast("long").alias("size_bytes"), F.sha2("text", 256).alias("sha256"))
-    labelled = placed.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
-    return captures.checked(labelled, placed).select("topic", "partition", "offset", F.coalesce("problem", F.lit("ok")).alias("problem"))
+    embedded = placed.join(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    return captures.checked(embedded, placed).select("topic", "partition", "offset", F.coalesce("problem", F.lit("ok")).alias("problem"))
 
 
 def _sent(spark, sf_dir):
@@ -112,7 +112,7 @@ wanted AS (SELECT partition, lo, unnest(range(lo, hi + 1)) AS offset_ FROM edge)
 s AS (SELECT w.*, m.event_id IS NULL AS lost, m.event_id IS NOT NULL AND length(m.props) <= 8 AS blank FROM wanted w LEFT JOIN m ON m.partition = w.partition AND m.offset_ = w.offset_ AND m.event_type <> 'error')
 SELECT 'obs' AS topic, partition, greatest(min(lo), offset_ // 64 * 64) AS first_offset, count(*) FILTER (WHERE lost) AS missing, min(offset_) FILTER (WHERE lost) AS first_missing, count(*) FILTER (WHERE blank) AS empty
 FROM s GROUP BY partition, offset_ // 64 HAVING bool_or(lost OR blank)""",
-    "snapshot_checksum": """SELECT lang AS topic, 0 AS partition, doc_id AS "offset", CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'missing' WHEN strlen(text) <> length(text) THEN 'size' ELSE 'ok' END AS problem FROM documents""",
+    "snapshot_checksum": """SELECT lang AS topic, 0 AS partition, doc_id AS "offset", CASE WHEN doc_id NOT IN (SELECT vec_id FROM embeddings) THEN 'missing' WHEN strlen(text) <> length(text) THEN 'size' ELSE 'ok' END AS problem FROM documents""",
     "replay_batch": """SELECT event_type AS service, props AS body, CAST(min(event_id % 8 * 1000000000000 + event_id) // 1000000000000 AS INTEGER) AS partition, min(event_id % 8 * 1000000000000 + event_id) % 1000000000000 // 8 AS "offset"
 FROM events WHERE event_type <> 'error' GROUP BY event_type, props""",
     "replay_dead_letters": """SELECT 'obs' AS topic, CAST(event_id % 8 AS INTEGER) AS partition, event_id // 8 AS "offset", sha256(props) AS sha256 FROM events WHERE event_type = 'error'""",
