@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..sources import feeds
-from . import assessment
+from . import assessment, ingest
 from .capture_queries import DAY, END, START
 from .queries import EVENTS, HOUR, TICK, _events
 
@@ -109,6 +109,13 @@ def latest_checked(spark, sf_dir):
     return feeds.latest_revisions(episodes, ["opener"])
 
 
+def arrival_counters(spark, sf_dir):
+    """Events arrive by id, five hundred at a time; a user's k is what tells them apart."""
+    e = _numbered(spark, sf_dir)
+    rows = e.select(F.col("event_type").alias("key"), F.concat_ws(":", F.col("user_id").cast("string"), F.col("k").cast("string")).alias("id"), "us", F.floor(F.col("event_id") / 500).alias("batch"), F.col("event_id").alias("place"))
+    return ingest.counters(rows, TICK, HOUR)
+
+
 _CLAIMED = ", ".join(f"('{c.axis}', '{c.kind}', {c.weight}, {repr(c.signals[0]) if c.signals else 'NULL'}, {c.scaled})" for c in CLAIMS)
 _K = f"(SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM {EVENTS} e)"
 ORACLES = {
@@ -147,5 +154,10 @@ SELECT id, start, start + len AS "end", CASE WHEN NOT run THEN 'no anchor' WHEN
 a AS (SELECT episode_id, count(DISTINCT opener) AS openers, max(revision) AS newest FROM x GROUP BY episode_id),
 b AS (SELECT episode_id, max(n) AS most FROM (SELECT episode_id, revision, count(DISTINCT (opener, state)) AS n FROM x GROUP BY ALL) GROUP BY episode_id)
 SELECT DISTINCT ON (x.episode_id) x.*, CASE WHEN openers > 1 THEN 'identity' WHEN most > 1 THEN 'payload' END AS problem FROM x JOIN a ON a.episode_id = x.episode_id AND a.newest = x.revision JOIN b ON b.episode_id = x.episode_id ORDER BY x.episode_id, x.opener, x.state""",
+    "arrival_counters": f"""WITH x AS (SELECT event_type AS key, event_id // 500 AS batch, us, event_id, tick, row_number() OVER (PARTITION BY event_type, user_id, k ORDER BY event_id) > 1 AS again FROM {_K}),
+b AS (SELECT DISTINCT key, batch FROM x),
+m AS (SELECT b.*, (SELECT max(us) FROM x WHERE x.key = b.key AND x.batch < b.batch) - {HOUR} AS was, (SELECT max(us) FROM x WHERE x.key = b.key AND x.batch <= b.batch) - {HOUR} AS now, (SELECT min(tick) FROM x WHERE x.key = b.key AND x.batch = (SELECT min(batch) FROM b c WHERE c.key = b.key)) AS first FROM b)
+SELECT key, batch, count(*) AS rows, count(*) FILTER (WHERE NOT again AND coalesce(tick >= was // {TICK}, true)) AS accepted, count(*) FILTER (WHERE again) AS duplicate, count(*) FILTER (WHERE NOT again AND tick < was // {TICK}) AS late,
+  greatest(max(now) // {TICK}, max(first)) - greatest(coalesce(max(was) // {TICK}, max(first)), max(first)) AS closed FROM x JOIN m USING (key, batch) GROUP BY key, batch""",
 }
 QUERIES = {name: (globals()[name], sql) for name, sql in ORACLES.items()}

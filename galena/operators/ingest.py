@@ -47,3 +47,26 @@ def unit_checked(points: DataFrame, key: list[str]) -> DataFrame:
     """Count and mean of each window, unless its points differ in unit: then an error status and no value."""
     one = F.count_distinct("unit") <= 1
     return points.groupBy(*key).agg(F.count("*").alias("n"), F.when(one, F.round(F.avg("value"), 6)).alias("mean"), F.when(one, "ok").otherwise("mixed units").alias("status"))
+
+
+def counters(rows: DataFrame, width: int, lateness: int) -> DataFrame:
+    """(key, batch, rows, accepted, duplicate, late, closed) of rows (key, id, us, batch, place) as they came in, by batch and then place.
+
+    A row whose id its key has had before is a duplicate.  The watermark of a key is ``lateness`` behind the newest row of its
+    earlier batches; another row is late if its tick of ``width`` was over by then, else accepted.  closed: how many ticks, from the
+    key's first one on, the batch's own rows closed.  Of an id only its first place and of a batch only its edges are put in order.
+    """
+    tick = lambda at: F.floor(at / width)
+    edges = rows.groupBy("key", "batch").agg(F.max("us").alias("newest"), F.min("us").alias("oldest"))
+    order = Window.partitionBy("key").orderBy("batch")
+    before = F.max("newest").over(order.rowsBetween(Window.unboundedPreceding, -1)) - lateness
+    after = F.max("newest").over(order.rowsBetween(Window.unboundedPreceding, 0)) - lateness
+    start = F.first(tick(F.col("oldest"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    marks = edges.select("key", "batch", tick(before).alias("open_from"), F.greatest(tick(after), start).alias("end"), F.greatest(tick(before), start).alias("begin"))
+    # rows of one id are first counted in their batch, so that an id that comes all the time is one row for each batch
+    of_batch = rows.groupBy("key", "id", "batch").agg(F.count("*").alias("n"), F.min(F.struct("place", "us"))["us"].alias("us"))
+    of_id = Window.partitionBy("key", "id").orderBy("batch")
+    told = of_batch.withColumn("new", F.row_number().over(of_id) == 1).join(marks, ["key", "batch"])
+    late = F.col("new") & F.coalesce(tick(F.col("us")) < F.col("open_from"), F.lit(False))
+    got = told.groupBy("key", "batch", (F.col("end") - F.col("begin")).alias("closed")).agg(F.sum("n").alias("rows"), F.count_if(F.col("new") & ~late).alias("accepted"), F.sum(F.col("n") - F.col("new").cast("int")).alias("duplicate"), F.count_if(late).alias("late"))
+    return got.select("key", "batch", "rows", "accepted", "duplicate", "late", "closed")

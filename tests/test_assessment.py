@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from galena.operators import assessment
+from galena.operators import assessment, ingest
 from galena.operators.assessment_queries import BANDS, CLAIMS, CRITICALITY, FALLBACK
 from galena.sources import feeds
 
@@ -91,3 +91,9 @@ def test_latest_revision_and_its_conflicts(spark):
     rows = [("a", 1, "x", "OPEN"), ("a", 2, "x", "CLOSED"), ("a", 2, "x", "CLOSED"), ("b", 1, "x", "OPEN"), ("b", 3, "y", "OPEN"), ("c", 1, "x", "OPEN"), ("c", 1, "x", None), ("c", 2, "x", "CLOSED"), ("d", 1, None, None)]
     got = feeds.latest_revisions(spark.createDataFrame(rows, "episode_id string, revision int, opener string, state string"), ["opener"])
     assert sorted(map(tuple, got.collect())) == [("a", 2, "x", "CLOSED", None), ("b", 3, "y", "OPEN", "identity"), ("c", 2, "x", "CLOSED", "payload"), ("d", 1, None, None, None)]
+
+
+def test_counters_of_what_came_in(spark):
+    rows = [("k", "a", 100, 0, 0), ("k", "a", 100, 0, 1), ("k", "b", 95, 0, 2), ("k", "c", 131, 1, 3), ("k", "d", 91, 1, 4), ("k", "a", 5, 1, 5), ("k", "e", 109, 2, 6), ("k", "f", 112, 2, 7), ("k", "b", 500, 3, 8), ("z", "a", 1, 3, 9)]
+    got = ingest.counters(spark.createDataFrame(rows, "key string, id string, us long, batch long, place long"), 10, 15)
+    assert sorted(map(tuple, got.collect())) == [("k", 0, 3, 2, 1, 0, 0), ("k", 1, 3, 2, 1, 0, 2), ("k", 2, 2, 1, 0, 1, 0), ("k", 3, 1, 0, 1, 0, 37), ("z", 3, 1, 1, 0, 0, 0)]
