@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline, built on Spark.  Nothing outside this package imports it."""
 
-from . import chat, metric_join, mixing, pieces, quality, sharding, topk, toxicity, warc
+from . import chat, idfiles, infill, metric_join, mixing, pieces, quality, sharding, spelling, topk, toxicity, warc
 
-_MODULES = (metric_join, warc, pieces, toxicity, sharding, mixing, chat, topk, quality)
+_MODULES = (metric_join, warc, pieces, toxicity, sharding, mixing, chat, topk, quality, spelling, idfiles, infill)
 
 
 def queries() -> dict:
