@@ -9,6 +9,8 @@ and the baseline carried on.  A series has one row for each tick, not for each e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +20,35 @@ from ..plans.sized import small
 SCHEMA = "service string, tick long, observed double, base double, event double, low double, high double, residual double, score double, status string"
 
 
+@dataclass(frozen=True)
+class Rules:
+    """How a baseline is found and moved: the median of ``warmup`` values without a lift, then an average of weight ``alpha`` (0 freezes it)."""
+
+    warmup: int = 30
+    alpha: float = 0.15
+    gate: float = 0.25
+    floor: float = 1.5
+    tolerance: float = 0.1
+
+    def step(self, seen: list[float], base: float | None, observed: float, lift: float) -> tuple[tuple, float | None]:
+        """(base, event, low, high, residual, score, status) of one value and the baseline after it; ``seen``, the warm-up's values, is added to."""
+        if base is None:
+            if not lift:
+                seen.append(observed)
+            if len(seen) >= self.warmup:
+                base = float(median(seen))
+            return (None, None, None, None, None, None, "warming"), base
+        event = base * lift
+        expected = base + event
+        band = max(self.floor, self.tolerance * expected)
+        residual = observed - expected
+        beyond = max(0.0, abs(residual) - band)
+        frame = (base, event, expected - band, expected + band, residual, min(1.0, beyond / band), "ok")
+        if not lift and abs(residual) <= max(self.floor, self.gate * base):
+            base += self.alpha * (observed - base)
+        return frame, base
+
+
 def decompose(rates: DataFrame, lifts: DataFrame | None = None, warmup: int = 30, alpha: float = 0.15, gate: float = 0.25, floor: float = 1.5, tolerance: float = 0.1) -> DataFrame:
     """Frames of ``rates`` (service, tick, observed); ``lifts`` (tick, lift) adds base * lift.
 
@@ -26,6 +57,8 @@ def decompose(rates: DataFrame, lifts: DataFrame | None = None, warmup: int = 30
     rows = rates.join(small(lifts), "tick", "left") if lifts is not None else rates.withColumn("lift", F.lit(0.0))
     rows = rows.select("service", "tick", F.col("observed").cast("double").alias("observed"), F.coalesce("lift", F.lit(0.0)).alias("lift"))
 
+    rules = Rules(warmup, alpha, gate, floor, tolerance)
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, seen, base = None, [], None
         for batch in batches:
@@ -33,21 +66,8 @@ def decompose(rates: DataFrame, lifts: DataFrame | None = None, warmup: int = 30
             for r in batch.itertuples():
                 if r.service != current:
                     current, seen, base = r.service, [], None
-                if base is None:
-                    if not r.lift:
-                        seen.append(r.observed)
-                    if len(seen) >= warmup:
-                        base = float(pd.Series(seen).median())
-                    out.append((r.service, r.tick, r.observed, None, None, None, None, None, None, "warming"))
-                    continue
-                event = base * r.lift
-                expected = base + event
-                band = max(floor, tolerance * expected)
-                residual = r.observed - expected
-                beyond = max(0.0, abs(residual) - band)
-                out.append((r.service, r.tick, r.observed, base, event, expected - band, expected + band, residual, min(1.0, beyond / band), "ok"))
-                if not r.lift and abs(residual) <= max(floor, gate * base):
-                    base += alpha * (r.observed - base)
+                frame, base = rules.step(seen, base, r.observed, r.lift)
+                out.append((r.service, r.tick, r.observed, *frame))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return rows.where("service IS NOT NULL").repartition("service").sortWithinPartitions("service", "tick", "observed").mapInPandas(fold, SCHEMA)
