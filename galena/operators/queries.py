@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chains, graph, ingest, intervals, lifecycle, memory, selection
+from . import chains, graph, ingest, intervals, lifecycle, memory, selection, templates
 
 HOUR = 3_600_000_000
 TICK = 6 * HOUR
@@ -180,8 +180,8 @@ def template_frequency(spark, sf_dir):
 
 
 def log_template_merge(spark, sf_dir):
-    found = selection.template_frequency(_lines(spark, sf_dir).where("length(line) < 60"), ["source"])
-    return selection.merged_templates(found, ["source"])
+    lines = _lines(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit("")))
+    return templates.line_templates(lines, ["source"])
 
 
 def slo_before_after(spark, sf_dir):
@@ -265,6 +265,37 @@ LEAST = "SELECT source, target, min(hops) AS hops FROM reach WHERE source <> tar
 LINES = "(SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
 MASKED = "regexp_replace(trim(line), '\\S*[0-9]\\S*', '<*>', 'g')"
 
+
+
+def _learned(name: str, rows: str, group: str) -> str:
+    """Leaves of ``rows`` (group, template, n, ws) learned line by line: a list of templates for each, after each line."""
+    agree = "len(list_filter(list_zip(c.t, x.ws), lambda p: p[1] = p[2] AND p[1] <> '<*>'))"
+    wild = "len(list_filter(c.t, lambda w: w = '<*>'))"
+    return f"""{name}_i AS MATERIALIZED (SELECT {group}, ws, n, row_number() OVER (PARTITION BY {group} ORDER BY n DESC, template) AS i FROM {rows}),
+{name}_s AS (
+  SELECT {group}, i, [{{'t': ws, 'n': CAST(n AS HUGEINT)}}] AS cs FROM {name}_i WHERE i = 1
+  UNION ALL
+  SELECT {group}, i, CASE WHEN best.same >= 0.4 * len(ws) THEN list_transform(cs, lambda c, k: CASE WHEN k = best.k THEN {{'t': list_transform(list_zip(c.t, ws), lambda p: CASE WHEN p[1] = p[2] THEN p[1] ELSE '<*>' END), 'n': c.n + n}} ELSE c END)
+                     ELSE list_append(cs, {{'t': ws, 'n': CAST(n AS HUGEINT)}}) END
+  FROM (SELECT {", ".join("x." + c.strip() for c in group.split(","))}, x.i, x.ws, x.n, s.cs,
+               list_sort(list_transform(s.cs, lambda c, k: {{'a': -{agree}, 'w': -{wild}, 'k': k, 'same': {agree}}}))[1] AS best
+        FROM {name}_s s JOIN {name}_i x USING ({group}) WHERE x.i = s.i + 1)),
+{name} AS MATERIALIZED (SELECT {group}, array_to_string(c.t, ' ') AS template, c.n AS n, c.t AS ws FROM (SELECT {group}, unnest(arg_max(cs, i)) AS c FROM {name}_s GROUP BY {group}))"""
+
+
+#: Leaves are learned in one part each up to 4096 distinct lines; all are smaller where this runs.
+TEMPLATES = f"""WITH RECURSIVE f AS MATERIALIZED (SELECT coalesce(source, '') AS source, regexp_replace({MASKED}, '\\s+', ' ', 'g') AS template, count(*) AS n FROM {LINES} WHERE trim(line) <> '' GROUP BY 1, 2),
+w AS MATERIALIZED (SELECT *, string_split(template, ' ') AS ws, len(string_split(template, ' ')) AS length FROM f),
+own AS (SELECT source, length, ws[1] AS head FROM w WHERE ws[1] <> '<*>' GROUP BY source, length, ws[1] QUALIFY row_number() OVER (PARTITION BY source, length ORDER BY sum(n) DESC, ws[1]) < 100),
+leaves AS MATERIALIZED (SELECT w.*, coalesce(own.head, '<*>') AS child FROM w LEFT JOIN own ON own.source = w.source AND own.length = w.length AND own.head = w.ws[1]),
+{_learned("one", "leaves", "source, length, child")},
+again AS MATERIALIZED (SELECT source, length, child, template, sum(n) AS n, any_value(ws) AS ws FROM one GROUP BY ALL),
+{_learned("two", "again", "source, length, child")},
+t AS (SELECT source, length, template, sum(n) AS n, any_value(ws) AS ws FROM two GROUP BY source, length, template)
+SELECT w.source, w.template, w.n, (SELECT t.template FROM t WHERE t.source = w.source AND t.length = w.length AND (t.ws[1] = w.ws[1] OR t.ws[1] = '<*>')
+       AND len(list_filter(list_zip(w.ws, t.ws), lambda p: p[1] = p[2] OR p[2] = '<*>')) = w.length ORDER BY len(list_filter(t.ws, lambda x: x = '<*>')), t.n DESC, t.template LIMIT 1) AS leader
+FROM w"""
+
 ORACLES = {
     "episode_transitions": MACHINE + f"""SELECT stream, tick, round(score, 6) AS score, class, action, phase, CASE WHEN {LIVE} THEN number END AS number, CASE WHEN {LIVE} THEN opened END AS opened, CASE WHEN {LIVE} THEN breaches END AS breaches, CASE WHEN {LIVE} THEN revision END AS revision, CASE WHEN {LIVE} THEN round(peak, 6) END AS peak FROM m WHERE i > 0""",
     "episode_lifecycle": MACHINE + f"SELECT stream, number, max(opened) AS opened, min(tick) AS confirmed, max(CASE WHEN action = 'CLOSED' THEN tick END) AS closed, max(breaches) AS breaches, max(revision) AS revision, round(max(peak), 6) AS peak FROM m WHERE i > 0 AND {LIVE} GROUP BY stream, number",
@@ -296,10 +327,7 @@ r AS (SELECT segment AS caller, event_type AS service, tick_us, value, row_numbe
 SELECT caller, service, tick_us, calls, max(value) FILTER (WHERE i = ceil(0.95 * calls)) AS p95, round(count(*) FILTER (WHERE value > 150) / calls, 6) AS error_rate FROM r GROUP BY caller, service, tick_us, calls""",
     "edge_p95_error_rate": f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY segment, event_type, tick ORDER BY value) AS i, count(*) OVER (PARTITION BY segment, event_type, tick) AS calls FROM {EVENTS}) SELECT segment AS caller, event_type AS service, tick, calls, max(value) FILTER (WHERE i = ceil(0.95 * calls)) AS p95, round(count(*) FILTER (WHERE value > 150) / calls, 6) AS error_rate FROM r GROUP BY segment, event_type, tick, calls",
     "template_frequency": f"SELECT source, {MASKED} AS template, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 9) AS rate, min(doc_id) AS first_ref FROM {LINES} WHERE trim(line) <> '' GROUP BY source, template",
-    "log_template_merge": f"""WITH f AS (SELECT source, {MASKED} AS template, count(*) AS n FROM {LINES} WHERE length(line) < 60 AND trim(line) <> '' GROUP BY source, template), w AS (SELECT *, regexp_split_to_array(template, '\\s+') AS ws FROM f)
-SELECT source, template, leader FROM (
-  SELECT x.source, x.template, y.template AS leader, row_number() OVER (PARTITION BY x.source, x.template ORDER BY y.n DESC, y.template) AS i FROM w x JOIN w y ON x.source = y.source AND len(x.ws) = len(y.ws) AND x.ws[1] = y.ws[1] AND (y.n > x.n OR y.n = x.n AND y.template <= x.template)
-  WHERE len(list_filter(list_zip(x.ws, y.ws), lambda p: p[1] = p[2])) >= 0.4 * len(x.ws)) WHERE i = 1""",
+    "log_template_merge": TEMPLATES,
     "slo_before_after": f"""WITH s AS (SELECT segment, tick, 1 - avg((event_type = 'error')::INT) AS a FROM {EVENTS} GROUP BY segment, tick),
 x AS (SELECT e.event_id, q.a - p.a AS gain FROM {EVENTS} e CROSS JOIN (VALUES (0), (1)) o(k) LEFT JOIN s p ON p.segment = (e.segment + k) % 3 AND p.tick = e.tick - 1 LEFT JOIN s q ON q.segment = (e.segment + k) % 3 AND q.tick = e.tick + 1 WHERE e.event_type = 'signup')
 SELECT event_id AS action_id, count(gain) AS services, round(min(gain), 6) AS delta FROM x GROUP BY event_id""",
