@@ -10,7 +10,7 @@ the step can be undone; a line feed inside a role becomes ``\\n``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 START, END, SEP = "<|im_start|>", "<|im_end|>", "<|im_sep|>"
 
@@ -44,47 +44,60 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.when(i > 0, F.lit(END + "\n")).otherwise(F.lit("")), F.lit(START), t["role"], F.lit("\n"))),
     )
     convs = convs.withColumn("lead", lead)
+    # places by running lengths over rows: inside an array a running sum would copy the spans so far for each turn
+    lengths = F.zip_with("lead", "t", lambda a, t: F.struct((F.char_length(a) + F.char_length(t["text"])).cast("long").alias("piece"), F.char_length(t["text"]).cast("long").alias("length"), (t["role"] == "assistant").alias("loss")))
+    order = Window.partitionBy("of").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = convs.select(F.col("conv_id").alias("of"), F.posexplode(lengths).alias("i", "p")).withColumn("upto", F.sum("p.piece").over(order)).where("p.loss")
+    spans = spans.groupBy("of").agg(F.array_sort(F.collect_list(F.struct((F.col("upto") - F.col("p.length") + 1).alias("start"), F.col("p.length").alias("length")))).alias("mask"))
     formatted = F.concat(F.array_join(F.zip_with("lead", "t", lambda a, t: F.concat(a, t["text"])), ""), F.lit(END + "\n"))
-    lengths = F.zip_with("lead", "t", lambda a, t: F.struct(F.char_length(a).cast("long").alias("lead"), F.char_length(t["text"]).cast("long").alias("text"), (t["role"] == "assistant").alias("loss")))
-    spans = F.aggregate(
-        lengths,
-        F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + x["lead"] + x["text"]).alias("at"),
-            F.when(x["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + x["lead"]).alias("start"), x["text"].alias("length"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    return convs.select("conv_id", formatted.alias("formatted"), spans.alias("mask"))
+    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    return convs.join(spans, F.col("conv_id").eqNullSafe(F.col("of")), "left").select("conv_id", formatted.alias("formatted"), F.coalesce("mask", none).alias("mask"))
 
 
-def read_turns(formatted: Column) -> Column:
-    """The (role, text) structs that a formatted string holds."""
+def _read(formatted: Column) -> Column:
+    """The (role, text) structs that a formatted string holds, as they stand there, and how many code points stand before each text since the last one."""
     blocks = F.slice(F.split(formatted, r"<\|im_start\|>", -1), 2, 1 << 30)
-    parsed = F.transform(blocks, lambda b: F.struct(F.substring_index(b, "\n", 1).alias("role"), b.alias("b")))
+    parsed = F.transform(blocks, lambda b, i: F.struct(F.substring_index(b, "\n", 1).alias("role"), b.alias("b"), F.when(i > 0, len(END) + 1).otherwise(0).alias("end")))
+    header = lambda p: p["end"] + len(START) + F.char_length(p["role"]) + 1
     return F.flatten(
         F.transform(
             parsed,
             lambda p: F.transform(
                 F.split(F.regexp_replace(F.substr(p["b"], F.char_length(p["role"]) + 2), r"<\|im_end\|>\n$", ""), r"<\|im_sep\|>", -1),
-                lambda text: F.struct(unescape(p["role"]).alias("role"), unescape_text(text).alias("text")),
+                lambda text, i: F.struct(p["role"].alias("role"), text.alias("text"), F.when(i > 0, len(SEP)).otherwise(header(p)).cast("long").alias("lead")),
             ),
         )
     )
 
 
+def read_turns(formatted: Column) -> Column:
+    """The (role, text) structs that a formatted string holds."""
+    return F.transform(_read(formatted), lambda t: F.struct(unescape(t["role"]).alias("role"), unescape_text(t["text"]).alias("text")))
+
+
 def unescape_text(text: Column) -> Column:
     parts = F.split(text, r"\\\\", -1)
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("<\\|"), F.lit("<|"))), "\\")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of turns and loss texts, read back from ``formatted`` and ``mask``."""
-    turns = read_turns(F.col("formatted"))
-    loss = F.array_join(F.transform("mask", lambda m: unescape_text(F.substring(F.col("formatted"), m["start"].cast("int"), m["length"].cast("int")))), "")
-    read = formatted.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    """Counts and digests of turns and loss texts, read back from ``formatted`` and ``mask``, in time linear in the turns.
+
+    The string is split once; running lengths of its parts give the place of each text, and the texts whose place and
+    length ``mask`` names are the loss.  A span that is no text stops the query.
+    """
+    turns = formatted.select("conv_id", F.posexplode(_read(F.col("formatted"))).alias("i", "t"))
+    order = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    length = F.char_length("t.text").cast("long")
+    turns = turns.select("conv_id", "i", "t.role", "t.text", length.alias("length"), (F.sum(F.col("t.lead") + length).over(order) - length + 1).alias("start"))
+    spans = formatted.select("conv_id", F.explode("mask").alias("m")).select(F.col("conv_id").alias("of"), F.col("m.start").alias("from"), F.col("m.length").alias("size"))
+    turns = turns.join(spans, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("start") == F.col("from")) & (F.col("length") == F.col("size")), "left")
+    said = F.concat(unescape(F.col("role")), F.lit("\n"), unescape_text(F.col("text")), F.lit("\n"))
+    read = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", said.alias("x")))).alias("turns"), F.array_sort(F.collect_list(F.when(F.col("from").isNotNull(), F.struct("i", unescape_text(F.col("text")).alias("x"))))).alias("loss"))
+    sizes = formatted.select(F.col("conv_id").alias("of"), F.char_length("formatted").cast("long").alias("formatted_chars"), F.size("mask").alias("spans"))
+    both = read.join(sizes, F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("text", F.array_join(F.col("loss.x"), ""))
+    checked = F.when(F.size("loss") == F.col("spans"), F.char_length("text").cast("long")).otherwise(F.raise_error(F.lit("a span of a mask is not a text")).cast("long"))
+    return both.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(F.col("turns.x"), ""), 256).alias("turns_sha256"), checked.alias("loss_chars"), F.sha2("text", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
