@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import assessment_queries, capture_queries, decompose, detection, evaluation, grading_queries, grouped, judged_queries, queries, statements
+from .operators import assessment_queries, capture_queries, decompose, detection, evaluation, grading_queries, grouped, judged_queries, queries, resource_queries, statements
 from .operators.statements import DUCK_JOINS
 from .plans.dialect import statement
 from .sources import otlp
@@ -16,4 +16,4 @@ def _both(text: str):
 
 
 STATEMENTS = statements.STATEMENTS | detection.STATEMENTS | evaluation.STATEMENTS
-QUERIES = {name: _both(text) for name, text in STATEMENTS.items()} | otlp.QUERIES | grouped.QUERIES | queries.QUERIES | judged_queries.QUERIES | capture_queries.QUERIES | assessment_queries.QUERIES | grading_queries.QUERIES | {"decomposition_fold": (decompose.query, None)}
+QUERIES = {name: _both(text) for name, text in STATEMENTS.items()} | otlp.QUERIES | grouped.QUERIES | queries.QUERIES | judged_queries.QUERIES | capture_queries.QUERIES | assessment_queries.QUERIES | grading_queries.QUERIES | resource_queries.QUERIES | {"decomposition_fold": (decompose.query, None)}
