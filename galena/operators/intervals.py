@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _bucket(at: Column, width: int) -> Column:
@@ -32,6 +32,40 @@ def overlapping(left: DataFrame, right: DataFrame, width: int, on: list[str]) ->
     return met.where(F.col("bucket_") == F.greatest(_bucket(F.col("l_start"), width), _bucket(F.col("r_start"), width))).drop("bucket_")
 
 
+def overlapped(left: DataFrame, right: DataFrame, width: int, on: list[str], salts: int = 8) -> DataFrame:
+    """(l_id) of ``left`` (l_id, l_start, l_end) that some row of ``right`` (r_start, r_end) with equal ``on`` overlaps (half-open), each once.
+
+    Both are dealt to the buckets of time that they touch.  Left rows of a bucket are spread over ``salts`` tasks, to each of which the bucket's
+    right rows go, reduced to the longest of those with one begin.  Of several rows with one l_id one is enough.  Empty intervals overlap nothing.
+    """
+    touched = lambda s: F.explode(F.sequence(_bucket(F.col(f"{s}_start"), width), _bucket(F.col(f"{s}_end") - 1, width)))
+    a = left.where("l_end > l_start").withColumn("bucket_", touched("l")).withColumn("salt_", F.pmod(F.xxhash64("l_id"), F.lit(salts)).cast("int"))
+    b = right.where("r_end > r_start").withColumn("bucket_", touched("r")).groupBy("bucket_", *on, F.greatest(F.col("r_start"), F.col("bucket_") * width).alias("r_start")).agg(F.max("r_end").alias("r_end"))
+    b = b.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = [a[c] == b[c] for c in ["bucket_", "salt_", *on]]
+    return a.join(b, [*same, a["l_start"] < b["r_end"], b["r_start"] < a["l_end"]], "left_semi").select("l_id").distinct()
+
+
+def without_overlap(left: DataFrame, right: DataFrame, width: int, on: list[str], salts: int = 8) -> DataFrame:
+    """Rows of ``left`` whose l_id is not ``overlapped``: absence is proved over all buckets that they touch."""
+    return left.join(overlapped(left, right, width, on, salts), "l_id", "left_anti")
+
+
+def snapshots(versions: DataFrame, times: DataFrame, width: int) -> DataFrame:
+    """(at, id, revision, ...) of every version (id, revision, effective, ...) in force at each of ``times`` (at): an id's latest known by then.
+
+    A version holds from ``effective`` until the id's next one with a higher revision; one that is not higher than an earlier one never
+    holds, of several at one time the highest does.  Versions are carried to the buckets of ``width`` up to their end or the last time, and meet the times there:
+    the join makes the rows of the result and no others.
+    """
+    seen = Window.partitionBy("id").orderBy("effective", "revision").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = versions.withColumn("top_", F.max("revision").over(seen)).where("top_ IS NULL OR revision > top_").drop("top_")
+    last = times.agg((F.max("at") + 1).alias("end_"))
+    held = fresh.withColumn("next_", F.lead("effective").over(Window.partitionBy("id").orderBy("effective", "revision"))).join(F.broadcast(last))  # one row
+    held = held.withColumn("until_", F.least(F.coalesce("next_", "end_"), "end_")).drop("next_", "end_")
+    return point_in_interval(times.select("at").distinct(), held, "at", "effective", "until_", width).drop("until_")
+
+
 def contexts_as_of(decisions: DataFrame, contexts: DataFrame, width: int) -> DataFrame:
     """(decision_id, at, contexts): the ids of the contexts in force at each decision, by valid_from and id.
 
