@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .storage import cut
 
 FRAME_UNITS = 1 << 16
+LEVEL = 7  # of compression: both the stored texts and the outputs lie on disk for a while
 BATCH_BYTES = 4 << 20  # of frames given out at a time
 MARKS = ("<P>", "<S>", "<M>")  # fixed values: before the prefix, the suffix and the middle
 _STORED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("plain", pa.bool_()), ("units", pa.list_(pa.int64())), ("frames", pa.list_(pa.binary()))])
@@ -31,7 +32,7 @@ OUTPUT = "doc_id long, n long, form string, prefix_chars long, middle_chars long
 def _codec():
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
 
 
 class _Writer:
