@@ -24,8 +24,13 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("<\\|"), F.lit("<|")), F.lit("\\n"), F.lit("\n"))), "\\")
 
 
+def _key(conv_id: str) -> Column:
+    """A key that is never null: aggregation, windows and joins by it need one exchange."""
+    return F.coalesce(F.col(conv_id).cast("long").cast("string"), F.lit("none")).alias("key")
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted, mask) of rows (conv_id, turn, role, text).
+    """(key, conv_id, formatted, mask) of rows (conv_id, turn, role, text); ``key`` is conv_id as text, never null.
 
     ``mask`` holds the (start, length) in code points, from 1, of each assistant text as
     formatted.  A null text or role is empty; turns with equal numbers go by role, then text; a
@@ -33,10 +38,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     whole are turns of their own; other columns are not read; an empty table gives no rows.  A conversation
     is one string, so its turns meet in one row.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))).alias("t"))
+    rows = turns.select(_key("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))).alias("t"))
     # sorted as said, escaped afterwards
     escaped = lambda t: F.struct(F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\n")).alias("role"), escape(t["text"]).alias("text"))
-    convs = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), escaped).alias("t"))
+    convs = rows.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("t")), escaped).alias("t"))
     # what stands before each text: a new block's header, or the mark between texts of one role
     lead = F.transform(
         "t",
@@ -46,12 +51,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     convs = convs.withColumn("lead", lead)
     # places by running lengths over rows: inside an array a running sum would copy the spans so far for each turn
     lengths = F.zip_with("lead", "t", lambda a, t: F.struct((F.char_length(a) + F.char_length(t["text"])).cast("long").alias("piece"), F.char_length(t["text"]).cast("long").alias("length"), (t["role"] == "assistant").alias("loss")))
-    order = Window.partitionBy("of").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = convs.select(F.col("conv_id").alias("of"), F.posexplode(lengths).alias("i", "p")).withColumn("upto", F.sum("p.piece").over(order)).where("p.loss")
-    spans = spans.groupBy("of").agg(F.array_sort(F.collect_list(F.struct((F.col("upto") - F.col("p.length") + 1).alias("start"), F.col("p.length").alias("length")))).alias("mask"))
+    order = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = convs.select("key", F.posexplode(lengths).alias("i", "p")).withColumn("upto", F.sum("p.piece").over(order)).where("p.loss")
+    spans = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((F.col("upto") - F.col("p.length") + 1).alias("start"), F.col("p.length").alias("length")))).alias("mask"))
     formatted = F.concat(F.array_join(F.zip_with("lead", "t", lambda a, t: F.concat(a, t["text"])), ""), F.lit(END + "\n"))
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    return convs.join(spans, F.col("conv_id").eqNullSafe(F.col("of")), "left").select("conv_id", formatted.alias("formatted"), F.coalesce("mask", none).alias("mask"))
+    return convs.join(spans, "key", "left").select("key", F.expr("try_cast(key AS BIGINT)").alias("conv_id"), formatted.alias("formatted"), F.coalesce("mask", none).alias("mask"))
 
 
 def _read(formatted: Column) -> Column:
@@ -81,23 +86,24 @@ def unescape_text(text: Column) -> Column:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of turns and loss texts, read back from ``formatted`` and ``mask``, in time linear in the turns.
+    """Counts and digests of turns and loss texts of rows (key, conv_id, formatted, mask), read back from ``formatted`` and ``mask``, in time linear in the turns.
 
     The string is split once; running lengths of its parts give the place of each text, and the texts whose place and
     length ``mask`` names are the loss.  A span that is no text stops the query.
     """
-    turns = formatted.select("conv_id", F.posexplode(_read(F.col("formatted"))).alias("i", "t"))
-    order = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    length = F.char_length("t.text").cast("long")
-    turns = turns.select("conv_id", "i", "t.role", "t.text", length.alias("length"), (F.sum(F.col("t.lead") + length).over(order) - length + 1).alias("start"))
-    spans = formatted.select("conv_id", F.explode("mask").alias("m")).select(F.col("conv_id").alias("of"), F.col("m.start").alias("from"), F.col("m.length").alias("size"))
-    turns = turns.join(spans, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("start") == F.col("from")) & (F.col("length") == F.col("size")), "left")
-    said = F.concat(unescape(F.col("role")), F.lit("\n"), unescape_text(F.col("text")), F.lit("\n"))
-    read = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", said.alias("x")))).alias("turns"), F.array_sort(F.collect_list(F.when(F.col("from").isNotNull(), F.struct("i", unescape_text(F.col("text")).alias("x"))))).alias("loss"))
-    sizes = formatted.select(F.col("conv_id").alias("of"), F.char_length("formatted").cast("long").alias("formatted_chars"), F.size("mask").alias("spans"))
-    both = read.join(sizes, F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("text", F.array_join(F.col("loss.x"), ""))
-    checked = F.when(F.size("loss") == F.col("spans"), F.char_length("text").cast("long")).otherwise(F.raise_error(F.lit("a span of a mask is not a text")).cast("long"))
-    return both.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(F.col("turns.x"), ""), 256).alias("turns_sha256"), checked.alias("loss_chars"), F.sha2("text", 256).alias("loss_sha256"), "formatted_chars")
+    rows = formatted.select("conv_id", "key", _read(F.col("formatted")).alias("t"), "mask", F.char_length("formatted").cast("long").alias("formatted_chars"))
+    order = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lengths = F.transform("t", lambda t: F.struct((t["lead"] + F.char_length(t["text"])).alias("piece"), F.char_length(t["text"]).cast("long").alias("length")))
+    places = rows.select("key", F.posexplode(lengths).alias("i", "p")).select("key", "i", "p.length", (F.sum("p.piece").over(order) - F.col("p.length") + 1).alias("start"))
+    spans = rows.select("key", F.explode("mask").alias("m")).select("key", "m.start", "m.length")
+    # only lengths are exploded; texts are taken from the conversation's own array by their number
+    loss = places.join(spans, ["key", "start", "length"]).groupBy("key").agg(F.array_sort(F.collect_list("i")).alias("at"))
+    both = rows.join(loss, "key", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
+    said = F.transform("t", lambda t: F.concat(unescape(t["role"]), F.lit("\n"), unescape_text(t["text"]), F.lit("\n")))
+    text = F.array_join(F.transform("at", lambda i: unescape_text(F.element_at("t", i + 1)["text"])), "")
+    read = both.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"), text.alias("text"), (F.size("at") == F.size("mask")).alias("whole"), "formatted_chars")
+    checked = F.when(F.col("whole"), F.char_length("text").cast("long")).otherwise(F.raise_error(F.lit("a span of a mask is not a text")).cast("long"))
+    return read.select("conv_id", "n_turns", "turns_sha256", checked.alias("loss_chars"), F.sha2("text", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
