@@ -100,10 +100,11 @@ def test_spelling_query_by_brute_force(spark):
 def test_codes_of_all_lengths(top):
     rng = np.random.default_rng(top % 1000)
     docs = [rng.integers(0, top, n, endpoint=True).astype(np.uint32) for n in (0, 1, 2, 3, 4, 5, 0, 1000, 1)]
-    parts = [idfiles.code(d) for d in docs]
-    control, data = (np.frombuffer(b"".join(p), np.uint8) for p in zip(*parts))
-    got = idfiles.decode(control, data, np.array([len(d) for d in docs]))
+    sizes = np.array([len(d) for d in docs])
+    control, data = (np.frombuffer(x, np.uint8) for x in idfiles.code(np.concatenate(docs), sizes))
+    got = idfiles.decode(control, data, sizes)
     assert got.tolist() == np.concatenate(docs).tolist()
+    assert len(data) == sum(1 + (v > 0xFF) + (v > 0xFFFF) + (v > 0xFFFFFF) for v in got.tolist())
     assert len(control) == sum(-(-len(d) // 4) for d in docs)
 
 
@@ -113,7 +114,8 @@ def texts_with_traps():
     return ["".join(rng.choice(traps) + rng.choice((" ", "", "a", "Bc")) for _ in range(rng.randint(0, 40))) for _ in range(150)]
 
 
-def test_files_of_ids_by_the_library(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("width", [2, 4])
+def test_files_of_ids_by_the_library(spark, tmp_path, monkeypatch, width):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(idfiles, "BLOCK_IDS", 400)
@@ -122,7 +124,7 @@ def test_files_of_ids_by_the_library(spark, tmp_path, monkeypatch):
     model = Tokenizer.from_file(path)
     data = [(3 * i % 200, t) for i, t in enumerate(texts_with_traps())] + [(None, "no name"), (None, None), (7, ""), (7, None), (9, "word " * 3000), (9, "word " * 3000), (-5, "x")]
     df = spark.createDataFrame([(*r, "w", 1) for r in data], DOCS)
-    idfiles.write(idfiles.encode(df.repartition(3), path, 2), str(tmp_path / "a"))
+    idfiles.write(idfiles.encode(df.repartition(3), path, 2, width), str(tmp_path / "a"), width)
     ids = {t: model.encode(t or "", add_special_tokens=False).ids + [2] for _, t in data}
     assert sorted((str(r.doc_id), r.ids) for r in idfiles.read(spark, str(tmp_path / "a")).collect()) == sorted((str(i), ids[t]) for i, t in data)
     rows = sorted(idfiles.index(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
@@ -134,6 +136,21 @@ def test_files_of_ids_by_the_library(spark, tmp_path, monkeypatch):
     assert len([f for f in (tmp_path / "a" / "ids").iterdir() if f.name.startswith("part")]) > 4
 
 
+def test_quick_chunks_by_the_library():
+    from tokenizers import Tokenizer
+
+    path = model_path("word_bpe_49k.json")
+    model, chunks = Tokenizer.from_file(path), idfiles._Chunks(path, 2)
+    assert chunks.quick
+    rng = random.Random(8)
+    letters = "abcXYZ" + idfiles.LATIN + idfiles.LATIN.upper().replace("SS", "ß")
+    for _ in range(4000):
+        chunk = "".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) + "".join(rng.choice("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'7é<|") for _ in range(rng.randint(0, 4)))
+        assert np.frombuffer(chunks[chunk], "<u2").tolist() == model.encode(chunk, add_special_tokens=False).ids, chunk
+    with pytest.raises(OverflowError):
+        chunks.bytes([1 << 16])
+
+
 def test_files_of_no_ids_and_damage(spark, tmp_path):
     path = model_path("word_bpe_49k.json")
     none = spark.createDataFrame([], DOCS)
