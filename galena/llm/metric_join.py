@@ -199,20 +199,23 @@ def jaccard_join(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: i
     if set(keep) & {"doc_id", "text", *own}:
         raise ValueError("a column to keep has the name of a result column")
     held = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
-    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *held)
+    # a row is named by its id and a hash of its text, so that rows without an id, or with one id, are not taken for each other
+    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *held).withColumn("text_key", F.xxhash64("text"))
     cells = spark.sparkContext.broadcast(_sketch(docs, k))
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["n long", "h1 long", "h2 long", "prefix array<long>", "pivots binary"]
     whole = cut(docs.mapInArrow(_windows(k, cells, numerator, denominator, [x.split(" ", 1)[0] for x in kinds]), ", ".join(kinds)))
-    rows = cut(whole.drop("prefix", "pivots"))
-    classes = whole.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "prefix", "pivots")))
+    rows = cut(whole.drop("prefix", "pivots", "text_key"))
+    named_first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("row")
+    classes = whole.where("n > 0").groupBy("h1", "h2").agg(named_first, *(F.first(c).alias(c) for c in ("n", "prefix", "pivots")))
+    classes = classes.withColumns({"rep": F.col("row.doc_id"), "rep_key": F.col("row.text_key")}).drop("row")
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     release(whole)
 
     cell = _cells(classes, numerator, denominator)
     # a member's set comes from the text of the class's first document; where Spark finds it worth while it
     # filters the texts by the members' ids before they are shuffled
-    reps = classes.join(cell, "cid").select("cid", "h1", "h2", F.col("rep").alias("rep_id"))
-    texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    reps = classes.join(cell, "cid").select("cid", "h1", "h2", F.col("rep").alias("rep_id"), "rep_key")
+    texts = docs.select("doc_id", "text", "text_key").join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")))
     sets = texts.select("text", "cid", "h1", "h2").mapInArrow(_whole(k), "cid long, n long, shingles array<long>").dropDuplicates(["cid"])
     members = cut(sets.join(cell, "cid").select(F.col("comp").alias("region"), "cid", "n", "shingles", F.lit(True).alias("native")))
     counted = _count(members, numerator, denominator)

@@ -432,3 +432,30 @@ def test_topk_multiplies_less_than_brute_force(spark):
     again, fewer = topk.search(index, v[:256], np.arange(256), floor, 20)
     assert again == found and fewer < made
     print("multiplications, of brute force:", made / (256 * v.size), fewer / (256 * v.size))
+
+
+def test_metric_join_is_linear_in_rows_without_ids(spark, monkeypatch):
+    """Each class fetches the text of its own first row, not those of all rows without an id."""
+    seen = spark.sparkContext.accumulator(0)
+    whole = metric_join._whole
+
+    def counted(k):
+        run = whole(k)
+
+        def of(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield from run([batch])
+
+        return of
+
+    monkeypatch.setattr(metric_join, "_whole", counted)
+    rng = random.Random(7)
+    data = []
+    for _ in range(200):
+        base = ["w%d" % rng.randrange(5000) for _ in range(60)]
+        data += [(None, " ".join(base)), (None, " ".join([*base[:-1], "x"]))]
+    data += [(5, "one id with " + " ".join("v%d" % rng.randrange(5000) for _ in range(40))) for _ in range(50)]
+    got = metric_join.jaccard_join(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sum(r.n_links for r in got) == 400 and len(got) == 450
+    assert seen.value <= len(data)
