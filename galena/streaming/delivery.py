@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 log = logging.getLogger(__name__)
@@ -49,13 +49,21 @@ def refuse_conflicts(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("outcome", F.when(F.col("outcome") == "conflict", F.raise_error(named).cast("string")).otherwise(F.col("outcome")))
 
 
+def _newest(spark: SparkSession, path: str) -> list[str]:
+    """The folder of the newest micro-batch below ``path``, where Spark has finished writing, if there is one."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done) or []
+    folders = [str(f.getPath().getParent()) for f in found]
+    return [max(folders, key=lambda f: int(f.rpartition("=")[2]))] if folders else []
+
+
 def with_contexts(stream: DataFrame, read: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Write ``apply(micro-batch, contexts)`` below ``path``, a folder for each micro-batch, until the input is used up.
 
-    Contexts are read before each micro-batch and written beside it.  If that fails the last ones written by this query are used
-    again, with a warning; if there are none yet the query fails.  A micro-batch that is delivered again replaces its folders.
+    Contexts are read before each micro-batch and written beside it.  If that fails the last ones written below ``path``, also before
+    a restart, are used again, with a warning; if there are none yet the query fails.  A micro-batch that is delivered again replaces its folders.
     """
-    last: list[str] = []
+    last = _newest(stream.sparkSession, f"{path}/contexts")
 
     def write(batch: DataFrame, number: int) -> None:
         here = f"{path}/contexts/batch={number}"

@@ -38,6 +38,12 @@ def test_capacity_drops_the_oldest_open_ticks(spark, tmp_path):
     assert got == [("a", 0, 0, 0.0, 0, 2), ("a", 1, 0, 0.0, 0, 2), ("a", 2, 1, 1.0, 0, 2), ("a", 3, 1, 1.0, 0, 2)]
 
 
+def test_a_wrong_timestamp_closes_no_ticks_and_downtime_begins_anew(spark, tmp_path):
+    batches = [[("a", 5, 1.0)], [("a", 3_000_000, 7.0), ("a", 25, 2.0)], [("a", 47, 3.0)], [("a", 1_000, 1.0), ("a", 1_021, 1.0)], [("a", 1_040, 1.0)]]
+    got = streamed(spark, tmp_path, batches, width=10, lateness=5, jump=50)
+    assert got == [("a", 0, 1, 1.0, 0, 0), ("a", 1, 0, 0.0, 0, 0), ("a", 2, 1, 2.0, 0, 0), ("a", 3, 0, 0.0, 0, 0), ("a", 4, 1, 3.0, 0, 0), ("a", 100, 1, 1.0, 0, 0), ("a", 101, 0, 0.0, 0, 0), ("a", 102, 1, 1.0, 0, 0)]
+
+
 def test_ticks_against_rules_told_batch_by_batch(spark, tmp_path):
     rng = np.random.default_rng(3)
     batches = [[(str(rng.choice(["x", "y"])), int(b * 40 + rng.integers(-60, 60)), float(rng.integers(0, 9))) for _ in range(30)] for b in range(8)]
@@ -112,3 +118,9 @@ def test_contexts_are_read_again_and_the_last_ones_outlive_a_failure(spark, tmp_
 
     delivery.with_contexts(stream, read, lambda rows, contexts: rows.select("key").join(contexts), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     assert sorted((r.key, r.version) for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()) == [("a", 1), ("b", 1), ("c", 3)]
+    import shutil
+
+    shutil.copy(f"{source}/0002.parquet", f"{source}/0003.parquet")  # restarted, with contexts that can't be read at first: those from before serve
+    calls[:] = [1]
+    delivery.with_contexts(stream, read, lambda rows, contexts: rows.select("key").join(contexts), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    assert sorted((r.key, r.version) for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()) == [("a", 1), ("b", 1), ("c", 3), ("c", 3)]
