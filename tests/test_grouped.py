@@ -19,29 +19,30 @@ def test_incidents(spark):
     assert got == {"1": ("1", 0), "2": ("1", 0), "3": ("1", 1), "4": ("4", 0), "5": ("5", 0), "6": ("6", 0)}
 
 
-def test_incidents_against_the_rule_told_at_once(spark):
+def test_incidents_have_the_properties_of_the_rule(spark):
+    """First members name incidents; adjacent episodes share one exactly while it can be joined; nothing else holds an incident together."""
     rng = np.random.default_rng(8)
-    edges = [("a", "b"), ("b", "c"), ("x", "y")]
-    near = {frozenset(e) for e in edges}
-    rows = sorted(((f"{i:03}", str(rng.choice(list("abcxyz"))), int(t)) for i, t in enumerate(np.sort(rng.integers(0, 900, 150)))), key=lambda r: (r[2], r[0]))
-    groups: list[list] = []
-    for r in rows:
-        joinable = [g for g in groups if r[2] - g[0][2] <= 10 and any(r[1] == m[1] or frozenset((r[1], m[1])) in near for m in g)]
-        if not joinable:
-            groups.append([r])
-            continue
-        joinable[0].append(r)
-        for other in joinable[1:]:
-            joinable[0].extend(other)
-            groups = [g for g in groups if g is not other]
-        joinable[0].sort(key=lambda m: (m[2], m[0]))
-    want = {m[0]: g[0][0] for g in groups for m in g}
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "service string, dependency string")
+    linked = {("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("x", "y"), ("y", "x")} | {(s, s) for s in "abcxyz"}
+    rows = [(f"{i:03}", str(rng.choice(list("abcxyz"))), int(t)) for i, t in enumerate(np.sort(rng.integers(0, 900, 150)))]
     df = spark.createDataFrame(rows, "id string, service string, opened long")
-    got = grouped.incident_clusters(df.repartition(5), spark.createDataFrame(edges, "service string, dependency string"), 10).collect()
-    assert {r.id: r.incident for r in got} == want and len(got) == len(rows) and len(groups) > 20
+    home = {r.id: r.incident for r in grouped.incident_clusters(df.repartition(5), edges, 10).collect()}
+    opened = {i: t for i, _, t in rows}
+    members = {n: [i for i in sorted(home) if home[i] == n] for n in set(home.values())}
+    assert len(home) == len(rows) and len(members) > 20 and max(map(len, members.values())) > 3
+    assert all(n == ids[0] for n, ids in members.items())  # ids are in the order of opening
+    pairs = [(m, e) for m, s, _ in rows for e, t, _ in rows if m < e and (s, t) in linked]
+    for m, e in pairs:
+        assert (home[m] == home[e]) == (opened[e] - opened[home[m]] <= 10)
+    for ids in members.values():
+        reached, ahead = set(), [ids[0]]
+        while ahead:
+            reached.add(one := ahead.pop())
+            ahead += [y if x == one else x for x, y in pairs if one in (x, y) and home[x] == home[y] and not {x, y} <= reached]
+        assert reached == set(ids)
     without = spark.createDataFrame([("1", None, 0), ("2", None, 1), ("3", "a", 1)], "id string, service string, opened long")
-    assert {r.id: r.incident for r in grouped.incident_clusters(without, spark.createDataFrame(edges, "service string, dependency string"), 10).collect()} == {"1": "1", "2": "2", "3": "3"}
-    assert grouped.incident_clusters(df.limit(0), spark.createDataFrame(edges, "service string, dependency string"), 10).count() == 0
+    assert {r.id: r.incident for r in grouped.incident_clusters(without, edges, 10).collect()} == {"1": "1", "2": "2", "3": "3"}
+    assert grouped.incident_clusters(df.limit(0), edges, 10).count() == 0
 
 
 def test_matching_is_largest(spark):
