@@ -238,4 +238,25 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op11_spelling": op11_spelling}
-ORACLES: dict[str, str] = {}
+#: crc32 is linear: a byte's share is its value pushed through as many zero bytes as follow it, eight shifts each, and so is the initial register's.
+ORACLES = {
+    "op11_spelling": r"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS name, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS MATERIALIZED (SELECT name, run, count(*) AS c, hex(encode(name || ':' || run)) AS hx, row_number() OVER () AS id FROM runs GROUP BY name, run),
+shifts AS (
+  SELECT b, 0 AS j, b AS x FROM (SELECT unnest(range(256)) AS b UNION ALL SELECT 4294967295)
+  UNION ALL SELECT b, j + 1, xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END) FROM shifts WHERE j < 8 * (SELECT max(length(hx)) // 2 FROM g)
+), shares AS MATERIALIZED (SELECT b, j // 8 AS zeros, x FROM shifts WHERE j % 8 = 0),
+bytes AS (SELECT id, CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT) AS b, length(hx) // 2 - i AS zeros FROM (SELECT id, hx, unnest(range(length(hx) // 2)) AS i FROM g)),
+sums AS (SELECT id, bit_xor(x) AS x FROM bytes JOIN shares USING (b, zeros) GROUP BY id),
+h AS (SELECT run, c, xor(xor(sums.x, shares.x), 4294967295) AS h FROM g JOIN sums USING (id) JOIN shares ON shares.b = 4294967295 AND shares.zeros = length(hx) // 2),
+v AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h) GROUP BY word HAVING length(word) >= 6 AND sum(c) >= 5),
+gaps AS MATERIALIZED (SELECT word, i, substr(word, 1, i) AS a, substr(word, i + 2) AS z FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+shorter AS (SELECT DISTINCT gaps.word AS x, v.word AS y FROM gaps JOIN v ON v.word = a || z),
+near AS MATERIALIZED (SELECT p.word AS x, q.word AS y FROM gaps p JOIN gaps q USING (i, a, z) WHERE p.word <> q.word UNION SELECT x, y FROM shorter UNION SELECT y, x FROM shorter),
+best AS (SELECT x AS word, count(*) AS n_near, max(n) AS near_n, min(y) FILTER (WHERE n = top) AS near FROM (SELECT x, y, n, max(n) OVER (PARTITION BY x) AS top FROM near JOIN v ON v.word = y) GROUP BY x),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS at FROM f UNION ALL SELECT s.word, f.form FROM steps s JOIN f ON f.word = s.at AND f.form IS NOT NULL)
+SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM f JOIN steps s ON s.word = f.word JOIN f last ON last.word = s.at AND last.form IS NULL
+"""
+}
