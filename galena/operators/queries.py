@@ -42,18 +42,18 @@ def episode_lifecycle(spark, sf_dir):
 def _signatures(spark, sf_dir):
     e = _events(spark, sf_dir)
     share = lambda kind: F.avg((F.col("event_type") == kind).cast("double"))
-    return e.groupBy(F.col("tick").alias("id")).agg(F.array(*(share(k) for k in ("view", "click", "purchase"))).alias("vector"))
+    return e.groupBy(F.col("tick").alias("id")).agg(F.array(*(share(k) for k in ("view", "click", "purchase", "error"))).alias("vector"))
 
 
 def signature_knn(spark, sf_dir):
     s = _signatures(spark, sf_dir)
-    return memory.signature_knn(s, s, 3).withColumn("similarity", F.round("similarity", 6))
+    return memory.signature_knn(s, s, 4).withColumn("similarity", F.round("similarity", 6))
 
 
 def recognised_confidence(spark, sf_dir):
     s = _signatures(spark, sf_dir)
     verdicts = s.select("id", F.col("vector")[0].alias("confidence"))
-    return memory.nudged(verdicts, memory.signature_knn(s, s, 3)).withColumns({"confidence": F.round("confidence", 6), "best": F.round("best", 6)})
+    return memory.nudged(verdicts, memory.signature_knn(s, s, 4)).withColumns({"confidence": F.round("confidence", 6), "best": F.round("best", 6)})
 
 
 def _entries(spark, sf_dir):
@@ -228,9 +228,9 @@ def normalised_key_guard(spark, sf_dir):
 
 
 EVENTS = "(SELECT *, epoch_us(ts) AS us, CAST(floor(epoch_us(ts) / 21600000000) AS BIGINT) AS tick, user_id % 3 AS segment FROM events)"
-SIGNATURES = f"(SELECT tick AS id, avg((event_type = 'view')::INT) AS a, avg((event_type = 'click')::INT) AS b, avg((event_type = 'purchase')::INT) AS c FROM {EVENTS} GROUP BY tick)"
+SIGNATURES = f"(SELECT tick AS id, avg((event_type = 'view')::INT) AS a, avg((event_type = 'click')::INT) AS b, avg((event_type = 'purchase')::INT) AS c, avg((event_type = 'error')::INT) AS d FROM {EVENTS} GROUP BY tick)"
 KNN = f"""(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS INTEGER) AS rank FROM (
-  SELECT x.id, y.id AS neighbour, 1 - sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2) / sqrt(3) AS similarity FROM {SIGNATURES} x, {SIGNATURES} y WHERE x.id <> y.id) WHERE similarity >= 0.9) WHERE rank <= 3)"""
+  SELECT x.id, y.id AS neighbour, 1 - sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.d - y.d) ** 2) / sqrt(4) AS similarity FROM {SIGNATURES} x, {SIGNATURES} y WHERE x.id <> y.id) WHERE similarity >= 0.9) WHERE rank <= 3)"""
 ENTRIES = "(SELECT o_custkey AS chain, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq, o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority AS content, o_orderkey, o_totalprice FROM orders)"
 #: The state machine tick by tick: consecutive breaches and clears, open or not, first tick and peak of the pending run.
 MACHINE = f"""WITH RECURSIVE policy(kind, breach, clear, open_after, close_after, gap) AS (VALUES {", ".join(map(str, POLICIES))}),
