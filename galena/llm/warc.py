@@ -18,9 +18,12 @@ from __future__ import annotations
 import hashlib
 import itertools
 import struct
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .storage import fresh_path
@@ -50,26 +53,38 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return joined.select("id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def _record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _name(key: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(key.encode()).digest()[:16], version=4)}>"
+
+
+def _response_name(page: int | None, digest: str) -> str:
+    """The record id that revisits know a response by; only rows repeated as a whole share it."""
+    return _name(f"response {page} {digest}")
+
+
+def _record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, own: str) -> bytes:
+    """A WARC/1.1 record; ``own`` names a revisit, a response is named by its page and digest.  The X- fields hold page numbers (none: null)."""
     kind = "response" if refers_to is None else "revisit"
-    name = lambda x: "<urn:page:%s>" % ("none" if x is None else x)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page)}", "Content-Type: application/http;msgtype=response"]
+    name = _response_name(page, digest) if refers_to is None else _name(f"revisit {page} {digest} {own}")
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}", "Content-Type: application/http;msgtype=response", f"X-Page: {'none' if page is None else page}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_response_name(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _write(batches: Iterator[pa.RecordBatch], sample_bytes: int, row_bytes: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], date: str, sample_bytes: int, row_bytes: int, rows: int) -> Iterator[pa.RecordBatch]:
     def records() -> Iterator[bytes]:
+        task, n = TaskContext.get(), 0
         for batch in batches:
             for i in range(len(batch)):
-                yield _record(*(batch.column(j)[i].as_py() for j in range(5)))
+                n += 1
+                yield _record(*(batch.column(j)[i].as_py() for j in range(5)), date, f"{task.partitionId()} {n}")
 
     source = records()
     while True:
@@ -115,9 +130,13 @@ def _archive(source: Iterator[bytes], dictionary, row_bytes: int, rows: int) ->
         yield row(*frames)
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Write ``plan_records`` rows as .warc.zst streams of bounded size below ``path``; an empty table gives no archive."""
-    limits = SAMPLE_BYTES, ROW_BYTES, ARCHIVE_ROWS
+def write_archives(records: DataFrame, path: str, date: str | None = None) -> None:
+    """Write ``plan_records`` rows as .warc.zst streams of bounded size below ``path``; an empty table gives no archive.
+
+    ``date`` is when the payloads were got, as ``2024-01-31T12:00:00Z``; unless given it is now.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    limits = date, SAMPLE_BYTES, ROW_BYTES, ARCHIVE_ROWS
     frames = records.select("id", "url", "payload", "digest", "refers_to").mapInArrow(lambda batches: _write(batches, *limits), "value binary")
     frames.select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_ROWS + 1).text(path)
 
@@ -148,12 +167,12 @@ def _parse(record: bytes) -> tuple:
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     payload = block.partition(b"\r\n\r\n")[2]
-    number = lambda x: None if x == "<urn:page:none>" else int(x[10:-1])
+    number = lambda x: None if x == "none" else int(x)
     revisit = fields["WARC-Type"] == "revisit"
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if not revisit and hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not have its digest")
-    return number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], digest, number(fields["WARC-Refers-To"]) if revisit else None, None if revisit else payload
+    return number(fields["X-Page"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], digest, number(fields["X-Refers-To-Page"]) if revisit else None, None if revisit else payload
 
 
 _READ = pa.schema([("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])

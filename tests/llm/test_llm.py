@@ -135,6 +135,34 @@ def test_warc_repeated_ids(spark, tmp_path):
     assert rows_of(warc.digests(warc.read_archives(spark, str(tmp_path / "a"))), "id", "payload_bytes", "digest", "record_type", "refers_to") == want
 
 
+def test_warc_records_by_the_standard(spark, tmp_path):
+    """Decompressed as a plain stream: each record has the fields that WARC/1.1 asks for, a name of its own, and the response that it refers to."""
+    import zstandard
+
+    data = [(1, "http://a/", "x" * 150), (2, "http://b/", "x" * 150), (2, "http://b/", "x" * 150), (3, None, None), (None, "http://c/", "y" * 120)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    warc.write_archives(warc.plan_records(df).coalesce(1), str(tmp_path / "a"), "2024-01-31T12:00:00Z")
+    raw = next(f for f in (tmp_path / "a").iterdir() if f.name.startswith("part")).read_bytes()
+    at, records = 0, []
+    size = int.from_bytes(raw[4:8], "little")
+    dictionary = zstandard.ZstdCompressionDict(raw[8 : 8 + size])
+    frames = zstandard.ZstdDecompressor(dict_data=dictionary).stream_reader(raw[8 + size :], read_across_frames=True).read()
+    while at < len(frames):
+        end = frames.index(b"\r\n\r\n", at)
+        version, *lines = frames[at:end].decode().split("\r\n")
+        fields = dict(line.split(": ", 1) for line in lines)
+        block = frames[end + 4 : end + 4 + int(fields["Content-Length"])]
+        at = end + 4 + len(block)
+        assert version == "WARC/1.1" and frames[at : at + 4] == b"\r\n\r\n" and block.startswith(b"HTTP/1.1 200 OK\r\n")
+        assert {"WARC-Record-ID", "WARC-Date", "WARC-Type", "Content-Length"} <= set(fields) and fields["WARC-Date"] == "2024-01-31T12:00:00Z"
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", fields["WARC-Record-ID"])
+        records.append(fields)
+        at += 4
+    assert len({r["WARC-Record-ID"] for r in records}) == len(records) == len(data)
+    first = next(r for r in records if r["X-Page"] == "1")
+    assert [r["WARC-Refers-To"] for r in records if r["WARC-Type"] == "revisit"] == [first["WARC-Record-ID"]] * 2
+
+
 def test_warc_archives_are_bounded(spark, tmp_path, monkeypatch):
     rng = random.Random(1)
     data = [(i, "u", "".join(rng.choice("abcdefghij") for _ in range(3000))) for i in range(400)] + [(1000, "u", "z" * 2_000_000)]
