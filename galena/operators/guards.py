@@ -35,17 +35,27 @@ def http_path(url: Column) -> Column:
 
 
 def breaker(asked: DataFrame, actions: DataFrame, window_us: int, most: int = 5, streak: int = 3, least: float = 0.05) -> DataFrame:
-    """(ask_id, recent, tripped, service) for each of ``asked`` (ask_id, at): may the platform act?
+    """(ask_id, recent, tripped, service) for each of ``asked`` (ask_id, at), one row for each id: may the platform act?
 
     ``actions`` is (id, us, service, improvement).  Recent are those after at - ``window_us``, up to at.  RATE: there are ``most`` or more.  INEFFECTIVE: of some
     service the last ``streak`` recent actions whose improvement is known all improved by less than ``least``; the first such service by name is given.
+    Running counts and streaks over each bucket's sorted actions answer, so that the work grows with rows, not with the actions that are recent at each.
     """
     spans = actions.select("id", "us", (F.col("us") + window_us).alias("until"), F.col("service").alias("of"), "improvement")
-    met = intervals.point_in_interval(asked.select("ask_id", "at"), spans, "at", "us", "until", window_us, how="left")
-    counts = met.groupBy("ask_id").agg(F.count("id").alias("recent"))
-    latest = F.row_number().over(Window.partitionBy("ask_id", "of").orderBy(F.desc("us"), F.desc("id")))
-    tail = met.where("improvement IS NOT NULL").withColumn("nth", latest).where(F.col("nth") <= streak)
-    weak = tail.groupBy("ask_id", "of").agg(F.count("*").alias("n"), F.max("improvement").alias("best")).where((F.col("n") == streak) & (F.col("best") < least)).groupBy("ask_id").agg(F.min("of").alias("service"))
+    near = intervals.dealt(spans, "us", "until", window_us)
+    probes = asked.select("ask_id", "at", F.floor(F.col("at") / window_us).alias("bucket_"))
+    counts = intervals.in_force(asked.select("ask_id", "at"), spans.where("id IS NOT NULL").select(F.col("us").alias("start"), F.col("until").alias("end")), "at", window_us).withColumnRenamed("n", "recent")
+
+    # an action ends a weak streak until its first action is no longer recent, or the service's next known action comes
+    known = near.where("improvement IS NOT NULL AND of IS NOT NULL")
+    last = Window.partitionBy("bucket_", "of").orderBy("us", "id").rowsBetween(1 - streak, 0)
+    is_weak = (F.count("*").over(last) == streak) & (F.max("improvement").over(last) < least)
+    ends = known.withColumn("weak_until", F.when(is_weak, F.min("us").over(last) + window_us).otherwise(F.col("us")))
+    offered = ends.where("weak_until > us").select("bucket_", "of").distinct()
+    rows = ends.select("bucket_", "of", F.col("us").alias("t"), F.lit(0).alias("asks"), "id", "weak_until", F.lit(None).cast(asked.schema["ask_id"].dataType).alias("ask_id"))
+    rows = rows.unionByName(probes.join(offered, "bucket_").select("bucket_", "of", F.col("at").alias("t"), F.lit(1).alias("asks"), "ask_id"), allowMissingColumns=True)
+    so_far = Window.partitionBy("bucket_", "of").orderBy("t", "asks", "id").rowsBetween(Window.unboundedPreceding, 0)
+    weak = rows.withColumn("weak_until", F.last("weak_until", True).over(so_far)).where("asks = 1 AND weak_until > t").groupBy("ask_id").agg(F.min("of").alias("service"))
     rate = F.col("recent") >= most
     out = counts.join(weak, "ask_id", "left")
     return out.select("ask_id", "recent", F.when(rate, "RATE").when(F.col("service").isNotNull(), "INEFFECTIVE").alias("tripped"), F.when(~rate, F.col("service")).alias("service"))

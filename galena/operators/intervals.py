@@ -71,6 +71,17 @@ def dealt(rows: DataFrame, start: str, end: str, width: int) -> DataFrame:
     return rows.where(F.col(end) > F.col(start)).withColumn("bucket_", F.explode(F.sequence(_bucket(F.col(start), width), _bucket(F.col(end) - 1, width))))
 
 
+def in_force(points: DataFrame, intervals: DataFrame, at: str, width: int) -> DataFrame:
+    """``points`` with the number ``n`` of ``intervals`` (start, end) with start <= at < end: a running count over the begins and ends of each bucket."""
+    steps = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("step")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("step"))))
+    marks = dealt(intervals.select("start", "end"), "start", "end", width).select("bucket_", steps.alias("s")).select("bucket_", "s.t", "s.step").where(F.col("t") < (F.col("bucket_") + 1) * width)
+    marks = marks.groupBy("bucket_", "t").agg(F.sum("step").alias("step")).withColumn("asks", F.lit(0))
+    asked = points.select(F.struct(*points.columns).alias("p_"), F.col(at).alias("t"), _bucket(F.col(at), width).alias("bucket_"), F.lit(1).alias("asks"))
+    rows = asked.unionByName(marks, allowMissingColumns=True)
+    n = F.coalesce(F.sum("step").over(Window.partitionBy("bucket_").orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return rows.withColumn("n", n).where("asks = 1").select("p_.*", "n")
+
+
 def contexts_as_of(decisions: DataFrame, contexts: DataFrame, width: int) -> DataFrame:
     """(decision_id, at, contexts): the ids of the contexts in force at each decision, by valid_from and id.
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from galena.operators import intervals
+from galena.operators import guards, intervals
 
 
 def top_down(df):
@@ -20,3 +20,23 @@ def test_contexts_are_lists_without_a_shuffle_of_pairs(spark):
     assert plan.index("Join") < plan.index("Aggregate"), "met pairs are aggregated again"
     want = {d: [c for a, c in sorted((a, c) for c, a, b in contexts if c is not None and at is not None and a <= at < b)] for d, at in decisions}
     assert {r.decision_id: r.contexts for r in got.collect()} == want
+
+
+def test_the_breaker_counts_without_meeting_every_recent_action(spark):
+    rng = random.Random(2)
+    actions = [(i, rng.randint(0, 90), rng.choice(["a", "b", None]), rng.choice([None, 0.0, 0.01, 0.9])) for i in range(300)] + [(None, 30, "a", 0.0)]
+    asks = [(i, rng.randint(-20, 130)) for i in range(200)] + [(900, None)]
+    got = guards.breaker(spark.createDataFrame(asks, "ask_id long, at long"), spark.createDataFrame(actions, "id long, us long, service string, improvement double"), 13, 45, 2, 0.2)
+    want = {}
+    for ask, at in asks:
+        recent = [a for a in actions if at is not None and at - 13 < a[1] <= at]
+        n, weak = sum(a[0] is not None for a in recent), []
+        for service in "ab":
+            last = sorted((a for a in recent if a[2] == service and a[3] is not None), key=lambda a: (a[1], -1 if a[0] is None else a[0]))[-2:]
+            if len(last) == 2 and max(a[3] for a in last) < 0.2:
+                weak.append(service)
+        want[ask] = (n, "RATE" if n >= 45 else "INEFFECTIVE" if weak else None, weak[0] if weak and n < 45 else None)
+    assert {r.ask_id: (r.recent, r.tripped, r.service) for r in got.collect()} == want
+    assert {w[1] for w in want.values()} == {"RATE", "INEFFECTIVE", None}
+    # actions meet no asking row in a join, only the services that offer anything do
+    assert "at#" not in "".join(line for line in top_down(got).splitlines() if "Join" in line)
