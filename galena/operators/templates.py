@@ -18,8 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.shared import fresh_path
 from ..plans.sized import small
 from .selection import template
 
@@ -28,18 +29,27 @@ LEAF = ["length", "child"]
 
 
 def masked_lines(lines: DataFrame, key: list[str]) -> DataFrame:
-    """(key, template, n, words) of each distinct masked line of (key, line); blank lines don't count."""
+    """(key, template, n) of each distinct masked line of (key, line); blank lines don't count."""
     rows = lines.withColumn("template", F.regexp_replace(template(F.trim("line")), r"\s+", " ")).where("template <> ''")
-    return rows.groupBy(*key, "template").agg(F.count("*").alias("n")).withColumn("words", F.split("template", " "))
+    return rows.groupBy(*key, "template").agg(F.count("*").alias("n"))
 
 
-def in_tree(rows: DataFrame, key: list[str], children: int = 100) -> DataFrame:
-    """``rows`` (key, template, n, words) with the length and the child of their leaf."""
-    rows = rows.withColumns({"length": F.size("words"), "first": F.col("words")[0]})
-    order = Window.partitionBy(*key, "length").orderBy(F.desc("of"), F.asc("first"))
-    firsts = rows.where(F.col("first") != WILD).groupBy(*key, "length", "first").agg(F.sum("n").alias("of"))
-    own = firsts.withColumn("place", F.row_number().over(order)).where(F.col("place") < children).select(*key, "length", "first", F.col("first").alias("child"))
-    return rows.join(own, [*key, "length", "first"], "left").withColumn("child", F.coalesce("child", F.lit(WILD))).drop("first")
+def _words(line: str) -> Column:
+    return F.split(line, " ")
+
+
+def _placed(rows: DataFrame, line: str = "template") -> DataFrame:
+    return rows.withColumns({"length": F.size(_words(line)), "first": F.substring_index(line, " ", 1)})
+
+
+def in_tree(rows: DataFrame, key: list[str], children: int = 100, part_lines: int = 4096) -> DataFrame:
+    """``rows`` (key, template, n) with the length and the child of their leaf, and in how many parts that is learned: lines meet one table of first words."""
+    rows = _placed(rows)
+    order = Window.partitionBy(*key, "length").orderBy(F.col("first") == WILD, F.desc("of"), F.asc("first"))
+    firsts = rows.groupBy(*key, "length", "first").agg(F.sum("n").alias("of"), F.count("*").alias("lines")).withColumn("place", F.row_number().over(order))
+    firsts = firsts.withColumn("child", F.when((F.col("first") != WILD) & (F.col("place") < children), F.col("first")).otherwise(WILD))
+    parts = F.ceil(F.sum("lines").over(Window.partitionBy(*key, *LEAF)) / part_lines)
+    return rows.join(firsts.select(*key, "length", "first", "child", parts.alias("parts")), [*key, "length", "first"]).drop("first")
 
 
 def _learn(lines: list[tuple[list[str], int]], similarity: float) -> list[tuple[list[str], int]]:
@@ -69,16 +79,17 @@ def _learn(lines: list[tuple[list[str], int]], similarity: float) -> list[tuple[
 
 
 def learned(rows: DataFrame, group: list[str], similarity: float) -> DataFrame:
-    """(group, template, n, words): the templates of each group of ``rows`` (group, template, n, words), whose lines have one length."""
+    """(group, template, n): the templates of each group of ``rows`` (group, template, n), whose lines have one length; of equal lines the counts are added."""
     keys = [F.col(c).cast("string") for c in group]
     kinds = rows.select(*group)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, key, lines = None, None, []
+        now, key, lines = None, None, {}
 
         def close() -> None:
-            out.extend((key, " ".join(t), n, t) for t, n in _learn(lines, similarity))
+            ordered = sorted(lines.items(), key=lambda x: (-x[1], x[0]))
+            out.extend((key, " ".join(t), n) for t, n in _learn([(line.split(" "), n) for line, n in ordered], similarity))
 
         def give() -> pa.RecordBatch:
             done = pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(schema)], schema=schema)
@@ -86,14 +97,14 @@ def learned(rows: DataFrame, group: list[str], similarity: float) -> DataFrame:
             return done
 
         for batch in batches:
-            for one, whole, words, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for one, whole, line, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if one != now:
                     if lines:
                         close()
                         if len(out) > 10_000:
                             yield give()
-                    now, key, lines = one, whole, []
-                lines.append((words, n))
+                    now, key, lines = one, whole, {}
+                lines[line] = lines.get(line, 0) + n
         if lines:
             close()
         if out:
@@ -102,45 +113,50 @@ def learned(rows: DataFrame, group: list[str], similarity: float) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     struct = kinds.schema
-    schema = pa.schema([("key", to_arrow_type(struct)), ("template", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string()))])
-    named = rows.withColumn("leaf_", F.to_json(F.array(*(F.coalesce(k, F.lit("null")) for k in keys))))
-    dealt = named.repartition("leaf_").sortWithinPartitions("leaf_", F.desc("n"), "template")
-    found = dealt.select("leaf_", F.struct(*group).alias("key"), "words", "n").mapInArrow(of, f"key {struct.simpleString()}, template string, n long, words array<string>")
-    return found.select("key.*", "template", "n", "words")
+    schema = pa.schema([("key", to_arrow_type(struct)), ("template", pa.string()), ("n", pa.int64())])
+    leaf = F.to_json(F.array(*(F.coalesce(k, F.lit("null")) for k in keys)))
+    dealt = rows.select(leaf.alias("leaf_"), F.struct(*group).alias("key"), "template", "n").repartition("leaf_").sortWithinPartitions("leaf_")
+    return dealt.mapInArrow(of, f"key {struct.simpleString()}, template string, n long").select("key.*", "template", "n")
 
 
 def mined(rows: DataFrame, key: list[str], similarity: float = 0.4, children: int = 100, part_lines: int = 4096) -> DataFrame:
-    """(key, length, template, n, words): the templates of distinct masked ``rows`` (key, template, n, words)."""
-    tree = in_tree(rows, key, children)
-    sizes = tree.groupBy(*key, *LEAF).agg(F.ceil(F.count("*") / part_lines).alias("parts"))
+    """(key, length, template, n): the templates of distinct masked ``rows`` (key, template, n)."""
     part = F.conv(F.substring(F.md5("template"), 1, 8), 16, 10).cast("long") % F.col("parts")
-    dealt = tree.join(sizes, [*key, *LEAF]).withColumn("part", part)
-    partial = learned(dealt, [*key, *LEAF, "part"], similarity)
-    merged = learned(partial.groupBy(*key, *LEAF, "template").agg(F.sum("n").alias("n"), F.first("words").alias("words")), [*key, *LEAF], similarity)
-    return merged.groupBy(*key, "length", "template").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    dealt = in_tree(rows, key, children, part_lines).withColumn("part", part)
+    merged = learned(learned(dealt, [*key, *LEAF, "part"], similarity), [*key, *LEAF], similarity)
+    return merged.groupBy(*key, "length", "template").agg(F.sum("n").alias("n"))
 
 
 def matched(rows: DataFrame, templates: DataFrame, key: list[str]) -> DataFrame:
-    """(key, template, n, leader): each of ``rows`` (key, template, n, words) with the best of ``templates`` (key, length, template, n, words) that fits it; null if none."""
-    asked = rows.withColumns({"length": F.size("words"), "first": F.col("words")[0]})
-    offered = small(templates.select(*key, "length", F.col("words")[0].alias("first"), F.col("template").alias("leader"), F.col("n").alias("of"), F.col("words").alias("pattern")))
-    fits = F.forall(F.zip_with("words", "pattern", lambda a, b: (a == b) | (b == WILD)), lambda x: x)
-    wilds = F.size(F.filter("pattern", lambda w: w == WILD))
+    """(key, template, n, leader): each of ``rows`` (id, key, template, n) with the best of ``templates`` (key, length, template, n) that fits it; null if none."""
+    asked = _placed(rows.select("id", *key, "template"))
+    offered = _placed(templates.select(*key, F.col("template").alias("leader"), F.col("n").alias("of")), "leader")
+    fits = F.forall(F.zip_with(_words("template"), _words("leader"), lambda a, b: (a == b) | (b == WILD)), lambda x: x)
+    wilds = F.size(F.filter(_words("leader"), lambda w: w == WILD))
+    # lines that begin with a mask meet the templates that do so once only
+    same = asked.join(small(offered), [*key, "length", "first"])
+    wild = asked.where(F.col("first") != WILD).drop("first").join(small(offered.where(F.col("first") == WILD).drop("first")), [*key, "length"])
     best = None
-    for first in (F.col("first"), F.lit(WILD)):
-        met = asked.withColumn("first", first).join(offered, [*key, "length", "first"]).where(fits)
-        if best is not None:
-            met = met.where(F.col("words")[0] != WILD)  # those have met them already
-        one = met.select(*key, "template", F.struct(wilds.alias("w"), (-F.col("of")).alias("o"), "leader").alias("l"))
+    for met in (same, wild):
+        one = met.where(fits).select("id", F.struct(wilds.alias("w"), (-F.col("of")).alias("o"), "leader").alias("l"))
         best = one if best is None else best.unionByName(one)
-    best = best.groupBy(*key, "template").agg(F.min("l").alias("l"))
-    return rows.join(best, [*key, "template"], "left").select(*key, "template", "n", F.col("l.leader").alias("leader"))
+    best = best.groupBy("id").agg(F.min("l").alias("l"))
+    return rows.join(best, "id", "left").select(*key, "template", "n", F.col("l.leader").alias("leader"))
+
+
+def _stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once and read again, however often what follows asks for it."""
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def line_templates(lines: DataFrame, key: list[str], similarity: float = 0.4, children: int = 100, part_lines: int = 4096) -> DataFrame:
     """(key, template, n, leader): every distinct masked line of (key, line), how often it comes, and its template.
 
     All lines are read, in groups of equal ``key``, whose columns must not be null.  The result does not depend on the order of lines.
+    Distinct lines and templates are written below ``spark.checkpoint.dir``, once each; words are cut from the text where they are used, not shuffled beside it.
     """
-    rows = masked_lines(lines, key)
-    return matched(rows, mined(rows, key, similarity, children, part_lines), key)
+    rows = _stored(masked_lines(lines, key).withColumn("id", F.monotonically_increasing_id()), "lines")
+    return matched(rows, _stored(mined(rows.drop("id"), key, similarity, children, part_lines), "templates"), key)

@@ -73,3 +73,13 @@ def test_no_lines(spark):
 
 def test_masks_stay_whole():
     assert templates._learn([(["a", "b", "c"], 3), (["a", "b", "d"], 2), (["x", "b", "e"], 1)], 0.4) == [(["a", "b", "<*>"], 5), (["x", "b", "e"], 1)]
+
+
+def test_lines_are_mined_once_and_words_not_shuffled(spark):
+    rows = spark.createDataFrame([("a", f"get item {w} of {v}") for w in "abcdef" for v in "xyz"], "source string, line string")
+    got = templates.line_templates(rows, ["source"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "LogicalRDD" not in plan and plan.count("Relation") >= 2, "lines are masked or learned again for each use"
+    dealt = templates.in_tree(templates.masked_lines(rows, ["source"]), ["source"])
+    assert "array" not in dict(dealt.dtypes)["template"] and "words" not in dealt.columns
+    assert {r.leader for r in got.collect()} == {"get item <*> of <*>"}
