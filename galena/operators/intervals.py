@@ -106,13 +106,35 @@ def suppressed(decisions: DataFrame, windows: DataFrame, attention: dict[str, in
     ``decisions`` is (decision_id, at, services, class, action); ``windows`` (window_id, start, end, kind, window_services, classes, most).
     A change freeze turns an acting decision on any of its services into ``fallback``.  A maintenance window caps the action at ``most``
     where it names the class and all services and the action asks for more ``attention``.  Returns the columns of decisions,
-    applied and applied_kind (of the window, or null), and final.
+    applied and applied_kind (of the window, or null), and final.  Windows that differ only in id and times are one sort: sorts meet sorts of
+    decisions in each bucket, and a decision asks each sort that changes it for the first window in force.
     """
     rank = F.create_map(*(F.lit(x) for pair in attention.items() for x in pair))
-    met = point_in_interval(decisions.withColumn("service", F.explode("services")), windows.withColumn("service", F.explode("window_services")), "at", "start", "end", width, ["service"])
+    sort, kind = ["kind", "window_services", "classes", "most"], ["services", "class", "action"]
+    near = dealt(windows, "start", "end", width).select("bucket_", F.struct(*sort).alias("sort_"), F.struct("start", F.col("window_id").alias("id"), "end").alias("w_"))
+    asked = decisions.select("decision_id", "at", F.struct(*kind).alias("kind_")).withColumn("bucket_", _bucket(F.col("at"), width))
     freeze = (F.col("kind") == "CHANGE_FREEZE") & F.col("action").isin(*acting)
     covers = F.size(F.array_except("services", "window_services")) == 0
     cap = (F.col("kind") != "CHANGE_FREEZE") & F.array_contains("classes", F.col("class")) & covers & F.col("most").isNotNull() & (F.element_at(rank, F.col("action")) > F.element_at(rank, F.col("most")))
     final = F.when(freeze, F.lit(fallback)).when(cap, F.col("most"))
-    first = met.withColumn("final", final).where("final IS NOT NULL").groupBy("decision_id").agg(F.min(F.struct("start", "window_id", "final", "kind")).alias("f"))
+    ours = asked.select("bucket_", "kind_").distinct().withColumn("service", F.explode("kind_.services"))
+    theirs = near.select("bucket_", "sort_").distinct().withColumn("service", F.explode("sort_.window_services"))
+    changes = ours.join(theirs, ["bucket_", "service"]).select("bucket_", "kind_", "sort_", "kind_.*", "sort_.*").withColumn("final", final).where("final IS NOT NULL").select("bucket_", "kind_", "sort_", "final").distinct()
+    met = first_in_force(asked.join(changes, ["bucket_", "kind_"]), near, "at", ["bucket_", "sort_"])
+    first = met.groupBy("decision_id").agg(F.min(F.struct("w_.start", F.col("w_.id").alias("window_id"), "final", "sort_.kind")).alias("f"))
     return decisions.join(first, "decision_id", "left").select(*decisions.columns, F.col("f.window_id").alias("applied"), F.col("f.kind").alias("applied_kind"), F.coalesce("f.final", "action").alias("final"))
+
+
+def first_in_force(points: DataFrame, near: DataFrame, at: str, on: list[str]) -> DataFrame:
+    """``points`` with ``w_``, of the intervals w_ (start, id, end) of ``near`` with equal ``on`` that hold at ``at`` the first by start, then id; points without one are left out.
+
+    ``on`` has the bucket to whose buckets the intervals are dealt.  An interval is first from the greatest end before it, or its start, to its own end, if that is later:
+    these spans don't overlap, so the last one to begin answers, and no point meets every interval.
+    """
+    rows = points.select(*on, F.col(at).alias("t"), F.lit(1).alias("asks"), F.struct(*points.columns).alias("p_")).unionByName(near.select(*on, F.col("w_.start").alias("t"), F.lit(0).alias("asks"), "w_"), allowMissingColumns=True)
+    by = Window.partitionBy(*on)
+    before = F.max(F.when(F.col("asks") == 0, F.col("w_.end"))).over(by.orderBy("t", "asks", "w_.id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before_", before).where("asks = 1 OR before_ IS NULL OR w_.end > before_")
+    rows = rows.withColumn("t", F.when(F.col("asks") == 0, F.greatest("t", "before_")).otherwise(F.col("t")))
+    last = F.last("w_", True).over(by.orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("w_", last).where(F.col("asks") == 1).where("w_.end > t").select("p_.*", "w_")

@@ -40,3 +40,29 @@ def test_the_breaker_counts_without_meeting_every_recent_action(spark):
     assert {w[1] for w in want.values()} == {"RATE", "INEFFECTIVE", None}
     # actions meet no asking row in a join, only the services that offer anything do
     assert "at#" not in "".join(line for line in top_down(got).splitlines() if "Join" in line)
+
+
+def test_the_first_window_in_force_is_found_without_meeting_all(spark):
+    rng = random.Random(3)
+    services, actions, rank = ["a", "b", "c"], ["WATCH", "ASK", "HOLD", "ACT"], {"WATCH": 0, "ASK": 1, "HOLD": 2, "ACT": 3}
+    some = lambda: rng.sample(services, rng.randint(0, 3))
+    decisions = [(i, rng.choice([None, *range(-5, 70)]), some(), rng.choice(["X", "Y", None]), rng.choice(actions)) for i in range(300)]
+    windows = [(i, a, a + rng.choice([0, 1, 3, 20]), rng.choice(["MAINTENANCE", "CHANGE_FREEZE"]), some(), ["X"], rng.choice(["WATCH", "ASK", None])) for i in range(120) for a in [rng.randint(0, 60)]]
+    got = intervals.suppressed(
+        spark.createDataFrame(decisions, "decision_id long, at long, services array<string>, class string, action string"),
+        spark.createDataFrame(windows, "window_id long, start long, end long, kind string, window_services array<string>, classes array<string>, most string"), rank, 8,
+    )
+    want = {}
+    for i, at, asked, what, action in decisions:
+        changes = []
+        for w, a, b, kind, named, classes, most in windows:
+            if at is not None and a <= at < b and set(asked) & set(named):
+                if kind == "CHANGE_FREEZE" and action == "ACT":
+                    changes.append((a, w, kind, "ASK"))
+                elif kind != "CHANGE_FREEZE" and what in classes and set(asked) <= set(named) and most and rank[action] > rank[most]:
+                    changes.append((a, w, kind, most))
+        first = min(changes, default=(None, None, None, action))
+        want[i] = first[1:]
+    assert {r.decision_id: (r.applied, r.applied_kind, r.final) for r in got.collect()} == want
+    assert sum(w[0] is not None for w in want.values()) > 50
+    assert "at#" not in "".join(line for line in top_down(got).splitlines() if "Join" in line), "decisions meet windows by time in a join"
