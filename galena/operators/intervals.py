@@ -32,6 +32,19 @@ def overlapping(left: DataFrame, right: DataFrame, width: int, on: list[str]) ->
     return met.where(F.col("bucket_") == F.greatest(_bucket(F.col("l_start"), width), _bucket(F.col("r_start"), width))).drop("bucket_")
 
 
+def meetings(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
+    """(l_id, r_id) of ``left`` (l_id, l_start, l_end, services) and ``right`` (r_id, r_start, r_end, services) that overlap (half-open) with a service in common, each pair once.
+
+    Ids are unique.  A pair is kept in the first bucket that both touch, for the first service in common, so pairs are not shuffled to tell them apart.
+    """
+    a = dealt(left.select("l_id", "l_start", "l_end", F.array_compact(F.array_distinct("services")).alias("ls_")), "l_start", "l_end", width).select("*", F.posexplode("ls_").alias("nth_", "service"))
+    b = dealt(right.select("r_id", "r_start", "r_end", F.array_compact(F.array_distinct("services")).alias("rs_")), "r_start", "r_end", width).select("*", F.explode("rs_").alias("service"))
+    met = a.join(b, ["bucket_", "service"]).where("l_start < r_end AND r_start < l_end")
+    met = met.where(F.col("bucket_") == F.greatest(_bucket(F.col("l_start"), width), _bucket(F.col("r_start"), width)))
+    earlier = F.when(F.col("nth_") > 0, F.size(F.array_intersect(F.slice("ls_", 1, F.col("nth_")), "rs_")) > 0).otherwise(False)
+    return met.where(~earlier).select("l_id", "r_id")
+
+
 def overlapped(left: DataFrame, right: DataFrame, width: int, on: list[str], salts: int = 8) -> DataFrame:
     """(l_id) of ``left`` (l_id, l_start, l_end) that some row of ``right`` (r_start, r_end) with equal ``on`` overlaps (half-open), each once.
 

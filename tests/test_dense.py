@@ -66,3 +66,14 @@ def test_the_first_window_in_force_is_found_without_meeting_all(spark):
     assert {r.decision_id: (r.applied, r.applied_kind, r.final) for r in got.collect()} == want
     assert sum(w[0] is not None for w in want.values()) > 50
     assert "at#" not in "".join(line for line in top_down(got).splitlines() if "Join" in line), "decisions meet windows by time in a join"
+
+
+def test_pairs_with_a_service_in_common_are_not_shuffled_to_tell_them_apart(spark):
+    rng = random.Random(4)
+    make = lambda n: [(i, a, a + rng.randint(0, 12), [rng.choice(["a", "b", "c", None]) for _ in range(3)]) for i in range(n) for a in [rng.randint(0, 60)]]
+    left, right = make(80), make(90)
+    frame = lambda rows, s: spark.createDataFrame(rows, f"{s}_id long, {s}_start long, {s}_end long, services array<string>")
+    got = intervals.meetings(frame(left, "l"), frame(right, "r"), 7)
+    want = sorted((i, j) for i, a, b, s in left for j, c, d, t in right if a < b and c < d and a < d and c < b and (set(s) & set(t)) - {None})
+    assert sorted((r.l_id, r.r_id) for r in got.collect()) == want
+    assert len(want) > 100 and "Aggregate" not in top_down(got)
