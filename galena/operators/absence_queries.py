@@ -100,6 +100,13 @@ def unrelated_episode_antijoin(spark, sf_dir):
     return intervals.without_overlap(rows, contexts, 8, []).select("l_id.*")
 
 
+def change_pressure(spark, sf_dir):
+    """Every event after the signups of the last hour."""
+    e = _events(spark, sf_dir).withColumnRenamed("event_type", "service")
+    return intervals.pressed(e, e.where("service = 'signup'"), HOUR).withColumn("pressure", F.round("pressure", 6))
+
+
+change_pressure_all = change_pressure
 INCIDENT = f"CAST(user_id AS VARCHAR) || '/' || CAST(CAST(floor(us / {DAY}) AS BIGINT) AS VARCHAR)"
 ACCUSING = f"(SELECT *, {INCIDENT} AS incident_id, lead(event_type) OVER (PARTITION BY user_id ORDER BY us, event_id) AS callee FROM {EVENTS})"
 ORDER = "CASE {0} WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 4 END"
@@ -114,5 +121,5 @@ t AS (SELECT DISTINCT (CAST(floor(us / {2 * DAY}) AS BIGINT) + 1) * {2 * DAY} AS
 SELECT "at", id, max(revision) AS revision, arg_max(state, revision) AS state, arg_max(effective, revision) AS effective FROM t JOIN v ON v.effective <= t."at" GROUP BY "at", id""",
 }
 QUERIES = {name: (globals()[name], sql) for name, sql in ORACLES.items()}
-#: Statements that joined by nested loops: the same SQL checks these.
-INSTEAD = {name: globals()[name] for name in ("context_interval_join", "event_features", "unrelated_episode_antijoin")}
+#: Statements that joined by nested loops or met every change: the same SQL checks these.
+INSTEAD = {name: globals()[name] for name in ("context_interval_join", "event_features", "unrelated_episode_antijoin", "change_pressure", "change_pressure_all")}

@@ -151,3 +151,22 @@ def first_in_force(points: DataFrame, near: DataFrame, at: str, on: list[str]) -
     rows = rows.withColumn("t", F.when(F.col("asks") == 0, F.greatest("t", "before_")).otherwise(F.col("t")))
     last = F.last("w_", True).over(by.orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("w_", last).where(F.col("asks") == 1).where("w_.end > t").select("p_.*", "w_")
+
+
+def pressed(observed: DataFrame, changes: DataFrame, reach: int, own: float = 1.0, other: float = 0.4) -> DataFrame:
+    """(event_id, changes, pressure) of each of ``observed`` (event_id, us, service) after any of ``changes`` (service, us) within ``reach``, as many and as near as they are.
+
+    A change weighs ``own`` for its own service, else ``other``, which is not more, less its age over ``reach``; the pressure is the greatest.  That is the
+    weight of the service's latest change or of the latest of all, so running values over each bucket's sorted rows answer.
+    """
+    near = dealt(changes.select("service", "us", (F.col("us") + reach).alias("until")), "us", "until", reach)
+    steps = F.explode(F.array(F.struct(F.col("us").alias("t"), F.lit(1).alias("step"), F.col("us").alias("since")), F.struct(F.col("until").alias("t"), F.lit(-1).alias("step"), F.lit(None).cast("long").alias("since"))))
+    marks = near.select("bucket_", "service", steps.alias("s")).select("bucket_", "service", "s.*").where(F.col("t") < (F.col("bucket_") + 1) * reach)
+    marks = marks.groupBy("bucket_", "service", "t").agg(F.sum("step").alias("step"), F.max("since").alias("since")).withColumn("asks", F.lit(0))
+    asked = observed.where("event_id IS NOT NULL").select("event_id", "service", F.col("us").alias("t"), _bucket(F.col("us"), reach).alias("bucket_"), F.lit(1).alias("asks"))
+    so_far = lambda *of: Window.partitionBy("bucket_", *of).orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.unionByName(marks, allowMissingColumns=True)
+    rows = rows.withColumn("latest", F.max("since").over(so_far("service"))).withColumns({"any": F.max("since").over(so_far()), "n": F.sum("step").over(so_far())}).where("asks = 1 AND n > 0")
+    weight = lambda since, of: (1 - (F.col("t") - F.col(since)) / float(reach)) * of
+    ours = F.when(F.col("service").isNotNull() & (F.col("latest") > F.col("t") - reach), weight("latest", own))
+    return rows.withColumn("pressure", F.greatest(ours, weight("any", other))).groupBy("event_id").agg(F.sum("n").alias("changes"), F.max("pressure").alias("pressure"))

@@ -77,3 +77,20 @@ def test_pairs_with_a_service_in_common_are_not_shuffled_to_tell_them_apart(spar
     want = sorted((i, j) for i, a, b, s in left for j, c, d, t in right if a < b and c < d and a < d and c < b and (set(s) & set(t)) - {None})
     assert sorted((r.l_id, r.r_id) for r in got.collect()) == want
     assert len(want) > 100 and "Aggregate" not in top_down(got)
+
+
+def test_pressure_of_changes_by_running_values(spark):
+    from galena import catalog
+
+    rng = random.Random(5)
+    rows = [(i, rng.randint(-40, 90), rng.choice(["a", "b", "c", None])) for i in range(300)]
+    changes = [(rng.choice(["a", "b", None]), rng.randint(-40, 90)) for _ in range(60)]
+    got = intervals.pressed(spark.createDataFrame(rows, "event_id long, us long, service string"), spark.createDataFrame(changes, "service string, us long"), 11)
+    want = {}
+    for i, us, service in rows:
+        near = [(1 - (us - c) / 11) * (1.0 if s is not None and s == service else 0.4) for s, c in changes if us - 11 < c <= us]
+        if near:
+            want[i] = (len(near), max(near))
+    assert {r.event_id: (r.changes, r.pressure) for r in got.collect()} == want
+    for name in ("change_pressure", "change_pressure_all"):
+        assert "Join" not in top_down(catalog.QUERIES[name][0](spark, "/root/testdata/sf0.001"))
