@@ -8,7 +8,7 @@ resource.  An envelope that can't be parsed, or has a span that ends before it s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,22 +24,39 @@ def _schema(resources: str, scopes: str, records: str, record: str) -> str:
     return f"{resources} array<struct<resource struct<{ATTRIBUTES}>, {scopes} array<struct<scope struct<{ATTRIBUTES}>, {records} array<struct<{record}>>>>>>"
 
 
-def attr_merge(*sources: Column) -> Column:
-    """One map of attributes of increasing precedence; a value is the first kind that is set, as text."""
+def _once(value: Column) -> Column:
+    """``value`` as a generator's output, so that it is computed once for a row, however often what follows reads it."""
+    return F.explode(F.array(value))
+
+
+def _pairs(*sources: Column) -> Column:
     lists = [F.coalesce(s, F.array().cast("array<struct<key string, value struct<stringValue string, boolValue boolean, intValue string, doubleValue double>>>")) for s in sources]
-    pairs = F.transform(F.concat(*lists), lambda a: F.struct(a["key"].alias("key"), F.coalesce(a["value"]["stringValue"], a["value"]["boolValue"].cast("string"), a["value"]["intValue"], a["value"]["doubleValue"].cast("string")).alias("value")))
+    return F.transform(F.concat(*lists), lambda a: F.struct(a["key"].alias("key"), F.coalesce(a["value"]["stringValue"], a["value"]["boolValue"].cast("string"), a["value"]["intValue"], a["value"]["doubleValue"].cast("string")).alias("value")))
+
+
+def _last_wins(pairs: Column) -> Column:
     last = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
     return F.map_from_entries(F.transform(last, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value"))))
 
 
-def _records(raw: DataFrame, payload: str, resources: str, scopes: str, records: str, record: str) -> DataFrame:
-    parsed = raw.withColumn("_e", F.from_json(payload, _schema(resources, scopes, records, record)))
+def attr_merge(*sources: Column) -> Column:
+    """One map of attributes of increasing precedence; a value is the first kind that is set, as text."""
+    return _last_wins(_pairs(*sources))
+
+
+def _records(raw: DataFrame, payload: str, resources: str, scopes: str, records: str, record: str, sound: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The records of envelopes that are ``sound`` (asked of the list of resources), as _r, _s and _x; an envelope is parsed once."""
+    parsed = raw.withColumn("_e", _once(F.from_json(payload, _schema(resources, scopes, records, record))))
+    if sound is not None:
+        parsed = parsed.where(F.coalesce(sound(F.col(f"_e.{resources}")), F.lit(True)))
     r = parsed.withColumn("_r", F.explode(f"_e.{resources}")).withColumn("_s", F.explode(f"_r.{scopes}")).withColumn("_x", F.explode(f"_s.{records}"))
     return r.drop("_e")
 
 
-def _merged(record: str) -> Column:
-    return attr_merge(F.col("_r.resource.attributes"), F.col("_s.scope.attributes"), F.col(f"{record}.attributes"))
+def _merged(rows: DataFrame, record: str) -> DataFrame:
+    """``rows`` with their ``attributes``, merged once."""
+    listed = rows.withColumn("_a", _once(_pairs(F.col("_r.resource.attributes"), F.col("_s.scope.attributes"), F.col(f"{record}.attributes"))))
+    return listed.withColumn("attributes", _once(_last_wins(F.col("_a"))))
 
 
 def _nano(text: Column) -> Column:
@@ -54,7 +71,7 @@ def scalar_metrics(raw: DataFrame, payload: str = "payload", keep: Sequence[str]
     """Gauges and sums: service, signal, us, value, unit, attributes."""
     m = _records(raw, payload, "resourceMetrics", "scopeMetrics", "metrics", METRIC)
     p = m.withColumn("_p", F.explode(F.concat(*[F.coalesce(F.col(f"_x.{k}.dataPoints"), F.array().cast(f"array<struct<{POINT}>>")) for k in ("gauge", "sum")])))
-    out = p.select(*keep, _merged("_p").alias("attributes"), F.col("_x.name").alias("signal"), _us(F.col("_p.timeUnixNano")).alias("us"), F.coalesce("_p.asDouble", F.col("_p.asInt").cast("double")).alias("value"), F.col("_x.unit").alias("unit"))
+    out = _merged(p, "_p").select(*keep, "attributes", F.col("_x.name").alias("signal"), _us(F.col("_p.timeUnixNano")).alias("us"), F.coalesce("_p.asDouble", F.col("_p.asInt").cast("double")).alias("value"), F.col("_x.unit").alias("unit"))
     return out.withColumn("service", F.col("attributes")["service.name"]).where("service IS NOT NULL AND value IS NOT NULL")
 
 
@@ -67,25 +84,26 @@ def aggregate_metrics(raw: DataFrame, payload: str = "payload", keep: Sequence[s
         F.struct(F.concat("_x.name", F.lit(".count")).alias("signal"), F.col("_p.count").cast("double").alias("value"), F.lit("count").alias("unit")),
         F.struct(F.concat("_x.name", F.lit(".sum")).alias("signal"), F.col("_p.sum").alias("value"), F.col("_x.unit").alias("unit")),
     )
-    out = p.withColumn("_o", F.explode(both)).select(*keep, _merged("_p").alias("attributes"), _us(F.col("_p.timeUnixNano")).alias("us"), "_o.*")
+    out = _merged(p, "_p").withColumn("_o", F.explode(both)).select(*keep, "attributes", _us(F.col("_p.timeUnixNano")).alias("us"), "_o.*")
     return out.withColumn("service", F.col("attributes")["service.name"]).where("service IS NOT NULL AND value IS NOT NULL")
 
 
 def logs(raw: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """Log records: service, us (observed time if there is no other), severity, body, ref."""
     x = _records(raw, payload, "resourceLogs", "scopeLogs", "logRecords", LOG)
-    out = x.select(*keep, _merged("_x").alias("attributes"), _us(F.coalesce("_x.timeUnixNano", "_x.observedTimeUnixNano")).alias("us"), F.col("_x.severityText").alias("severity"), F.col("_x.body.stringValue").alias("body"))
+    out = _merged(x, "_x").select(*keep, "attributes", _us(F.coalesce("_x.timeUnixNano", "_x.observedTimeUnixNano")).alias("us"), F.col("_x.severityText").alias("severity"), F.col("_x.body.stringValue").alias("body"))
     return out.withColumn("service", F.col("attributes")["service.name"]).withColumn("ref", F.sha2(F.concat_ws("|", "service", F.col("us").cast("string"), "body"), 256)).where("service IS NOT NULL AND us IS NOT NULL")
 
 
 def spans(raw: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """Spans of envelopes in which all end no earlier than they start: service, name, us, duration_ms, failed, trace_id, span_id."""
-    read = F.from_json(payload, _schema("resourceSpans", "scopeSpans", "spans", SPAN))["resourceSpans"]
-    all_spans = F.flatten(F.transform(read, lambda r: F.flatten(F.transform(r["scopeSpans"], lambda s: s["spans"]))))
-    sound = F.forall(all_spans, lambda s: F.coalesce(_nano(s["endTimeUnixNano"]) >= _nano(s["startTimeUnixNano"]), F.lit(False)))
-    x = _records(raw.where(F.coalesce(sound, F.lit(True))), payload, "resourceSpans", "scopeSpans", "spans", SPAN)
+    def sound(resources: Column) -> Column:
+        all_spans = F.flatten(F.transform(resources, lambda r: F.flatten(F.transform(r["scopeSpans"], lambda s: s["spans"]))))
+        return F.forall(all_spans, lambda s: F.coalesce(_nano(s["endTimeUnixNano"]) >= _nano(s["startTimeUnixNano"]), F.lit(False)))
+
+    x = _records(raw, payload, "resourceSpans", "scopeSpans", "spans", SPAN, sound)
     start, end = _nano(F.col("_x.startTimeUnixNano")), _nano(F.col("_x.endTimeUnixNano"))
-    out = x.where(end >= start).select(*keep, _merged("_x").alias("attributes"), F.col("_x.name").alias("name"), _us(start).alias("us"), ((end - start).cast("double") / 1e6).alias("duration_ms"), (F.col("_x.status.code") == "STATUS_CODE_ERROR").alias("failed"), F.col("_x.traceId").alias("trace_id"), F.col("_x.spanId").alias("span_id"))
+    out = _merged(x.where(end >= start), "_x").select(*keep, "attributes", F.col("_x.name").alias("name"), _us(start).alias("us"), ((end - start).cast("double") / 1e6).alias("duration_ms"), (F.col("_x.status.code") == "STATUS_CODE_ERROR").alias("failed"), F.col("_x.traceId").alias("trace_id"), F.col("_x.spanId").alias("span_id"))
     return out.withColumn("service", F.col("attributes")["service.name"]).where("service IS NOT NULL")
 
 
