@@ -8,10 +8,12 @@ most ``eps = 1 - similarity``.
   count sketch of fixed size over all documents; the order costs or saves time, never
   links).  ``d(A, B) <= eps`` leaves at most ``floor(eps |A|)`` shingles of A outside B, so linked
   sets share one of the first ``floor(eps |A|) + 1`` shingles of each.  Inside such a region,
-  pairs are ruled out by their sizes and by their distances to 64 disjoint pivot sets that cover
-  the universe: by the triangle inequality ``sum |A & Q| - |B & Q|`` bounds the symmetric difference
-  from below.  What is left connects documents to cells; a region too large to be looked
-  at in one task is connected as a whole and left to the next step.
+  pairs are ruled out by their sizes and by odd sketches: bit i says whether the number of
+  shingles in bucket i is odd, so that sketches differ in at most as many bits as sets differ in
+  shingles.  A sketch has at least 3/4 as many bits as the set has shingles, whatever its size: with a
+  fixed number long texts could not be told apart, and in a large corpus, where most of them share a
+  rare shingle with some other one by chance, would all be connected.  What is left connects documents to cells; a
+  region too large to be looked at in one task is connected as a whole and left to the next step.
 * **Voronoi regions.** A cell that is too large for one task is cut by documents of it as
   pivots.  A document's home is the region of its nearest pivot.
 * **Windows.** If x is at home with p, y with q and d(x, y) <= eps, then
@@ -33,18 +35,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import bytewords as B
 from .components import connected
-from .storage import cut, release
+from .storage import cut, freed_shuffles, release
 
 SKETCH_BITS = 20
-PIVOT_SETS = 64
-REGION_ROWS = 1024  # of the first cut, compared in one task; larger ones are connected as a whole
+LEAST_BITS = 256  # of an odd sketch
+REGION_ROWS = 8192  # of the first cut, compared in one task; larger ones are connected as a whole
 LEAF_CLASSES, LEAF_SHINGLES = 1024, 500_000  # of a Voronoi region that one task joins
 PACK_ROWS = 512  # small regions go to tasks in packs of about so many rows
 FANOUT = 16  # pivots of a region
+FILTER_BITS = 23  # of a bitmap by which texts are left out that no cell asks for
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -60,8 +64,11 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cells[at], pa.int64())], ["cell", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # at most 2**SKETCH_BITS rows, whatever the corpus
+    # each task writes up to 2**SKETCH_BITS rows: a fixed number of tasks, not one for each part of the input
+    tasks = 3 * docs.sparkSession.sparkContext.defaultParallelism
+    counted = docs.select("text").coalesce(tasks).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    with freed_shuffles(docs.sparkSession):
+        found = counted.toArrow()  # at most 2**SKETCH_BITS rows, whatever the corpus
     cells = np.zeros(1 << SKETCH_BITS, np.int64)
     cells[found["cell"].to_numpy()] = found["n"].to_numpy()
     return cells
@@ -78,7 +85,7 @@ def _identity(at: np.ndarray, found: np.ndarray, rows: int) -> tuple[np.ndarray,
 
 
 def _windows(k: int, cells, numerator: int, denominator: int, columns: Sequence[str]):
-    """Per row: set size, identity, prefix in the global order, and distances to the pivot sets."""
+    """Per row: set size, identity, prefix in the global order, and odd sketch."""
     shift = np.uint64(64 - SKETCH_BITS)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,36 +96,59 @@ def _windows(k: int, cells, numerator: int, denominator: int, columns: Sequence[
                 rows = hi - lo
                 at, found = B.shingles(data, offsets, k)
                 n, h1, h2 = _identity(at, found, rows)
-                near = np.bincount(at * PIVOT_SETS + (found & np.uint64(PIVOT_SETS - 1)).astype(np.int64), minlength=rows * PIVOT_SETS).astype(np.int32)
                 order = np.lexsort((found, often[(found >> shift).astype(np.int64)], at))
                 rank = np.arange(len(at)) - B.per_row(at, rows)[at]
                 first = rank <= (n - -(-n * numerator // denominator))[at]
                 prefix = _lists(at[first], found[order][first], rows)
-                pivots = pa.array([x.tobytes() for x in near.reshape(rows, PIVOT_SETS)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, rows) for c in rest), pa.array(n), pa.array(h1), pa.array(h2), prefix, pivots], list(columns))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, rows) for c in rest), pa.array(n), pa.array(h1), pa.array(h2), prefix, _odd(at, found, n)], list(columns))
 
     return of
 
 
+def _odd(at: np.ndarray, found: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The odd sketch of each row: a power of two of bits, at least 3/4 n; xor of its halves is the sketch of half as many."""
+    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(0.75 * n, 1))).astype(np.int64))
+    begin = np.r_[0, np.cumsum(bits)]
+    place = begin[at] + (found & (bits - 1)[at].astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(place, minlength=begin[-1]) & 1).astype(bool), bitorder="little")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((begin // 8).astype(np.int32)), pa.py_buffer(odd)])
+
+
 def _lists(at: np.ndarray, found: np.ndarray, rows: int) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(B.per_row(at, rows), pa.int64()), pa.array(found.view(np.int64))).cast(pa.list_(pa.int64()))
 
 
+def _asked(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """The rows whose bit is in the bitmap ``wanted``."""
+    held = np.frombuffer(wanted.value, np.uint8)
+    for batch in batches:
+        bit = batch.column("bit").to_numpy()
+        yield batch.filter(pa.array((held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+
+
 def _whole(k: int):
-    """cid, set size and shingles of the rows that have the identity of their class."""
+    """Name, identity, set size and shingles of texts."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid, g1, g2 = (batch.column(i) for i in (1, 2, 3))
-            for lo, hi, data, offsets in B.slices(batch.column(0)):
+            for lo, hi, data, offsets in B.slices(batch.column("text")):
                 at, found = B.shingles(data, offsets, k)
                 n, h1, h2 = _identity(at, found, hi - lo)
-                same = (h1 == g1.slice(lo, hi - lo).to_numpy()) & (h2 == g2.slice(lo, hi - lo).to_numpy())
-                yield pa.RecordBatch.from_arrays([cid.slice(lo, hi - lo), pa.array(n), _lists(at, found, hi - lo)], ["cid", "n", "shingles"]).filter(pa.array(same))
+                rest = [batch.column(c).slice(lo, hi - lo) for c in ("id_key", "text_key")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(h1), pa.array(h2), pa.array(n), _lists(at, found, hi - lo)], ["id_key", "text_key", "h1", "h2", "n", "shingles"])
 
     return of
 
 
+def _bitmap(bits: DataFrame) -> bytes:
+    """The set of ``bits`` (bit) below 2**FILTER_BITS, of that many bits whatever their number."""
+    rows = bits.groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("b")).collect()
+    held = bytearray(1 << (FILTER_BITS - 3))
+    for r in rows:
+        held[(r.k - 1) * 4096 : r.k * 4096] = r.b
+    return bytes(held)
+
+
 def _ranges(times: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Each i of lo..hi-1 as often as times[i] says, and a running number for each i."""
     t = times[lo:hi]
@@ -148,34 +178,68 @@ def _roots(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
 
 
 def _near(p: int, q: int):
-    """A star for each group of documents of these regions that sizes, ranks and distances to the pivot sets may link."""
+    """A star for each group of documents of these regions that sizes, ranks and odd sketches may link."""
 
     def of(rows: pa.Table) -> pa.Table:
         region = rows["region"].to_numpy()
-        order = np.argsort(region, kind="stable")
-        region, cid, n, rank = region[order], rows["cid"].to_numpy()[order], rows["n"].to_numpy()[order], rows["rank"].to_numpy()[order]
-        vector = np.frombuffer(b"".join(rows["pivots"].to_pylist()), np.int32).reshape(-1, PIVOT_SETS)[order]
-        last = np.searchsorted(region, region, "right")
-        times = last - np.arange(len(region)) - 1
-        edges = []
-        for lo, hi in _steps(times, 1 << 20):
-            i, nth = _ranges(times, lo, hi)
-            j = i + 1 + nth
+        order = np.lexsort((rows["n"].to_numpy(), region))
+        region, cid, n, rank = (rows[c].to_numpy()[order] for c in ("region", "cid", "n", "rank"))
+        names, node = np.unique(cid, return_inverse=True)
+        # the sketches of each document once, by their number of bits, and folded to half of it
+        odd, first = rows["odd"].combine_chunks(), order[np.unique(cid, return_index=True)[1]]
+        bits = np.log2(pc.binary_length(odd).to_numpy()[first]).astype(np.int64)
+        spot = np.zeros(len(names), np.int64)
+        held, folded = {}, {}
+        for k in np.unique(bits):
+            of = np.flatnonzero(bits == k)
+            spot[of] = np.arange(len(of))
+            held[k] = np.frombuffer(b"".join(odd.take(pa.array(first[of])).to_pylist()), np.uint64).reshape(len(of), -1)
+            folded[k] = held[k][:, : held[k].shape[1] // 2] ^ held[k][:, held[k].shape[1] // 2 :]
+
+        def linked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             both = n[i] + n[j]
             # from this region on, the first that a linked pair shares, enough shingles must be left
-            may = (n[i] * q >= n[j] * p) & (n[j] * q >= n[i] * p) & (np.minimum(n[i] - rank[i], n[j] - rank[j]) * (p + q) >= both * p)
-            i, j, both = i[may], j[may], both[may]
-            for at in range(0, len(i), 1 << 15):
-                x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-                apart = np.abs(vector[x] - vector[y]).sum(axis=1, dtype=np.int64)
-                # similarity >= p/q leaves at most (q - p) / (q + p) of both sizes apart
-                fine = apart * (p + q) <= both[at : at + (1 << 15)] * (q - p)
-                edges.append((x[fine], y[fine]))
-        names, node = np.unique(cid, return_inverse=True)
-        a, b = (node[np.concatenate([e[s] for e in edges] or [np.zeros(0, np.int64)])] for s in (0, 1))
-        root = _roots(a, b, len(names))
-        moved = root != np.arange(len(names))
-        return pa.table({"a": pa.array(names[moved]), "b": pa.array(names[root[moved]])})
+            may = (n[i] * q >= n[j] * p) & (n[j] * q >= n[i] * p) & (np.minimum(n[i] - rank[i], n[j] - rank[j]) * (p + q) >= both * p) & (node[i] != node[j])
+            i, j, most = i[may], j[may], both[may] * (q - p)
+            fine = np.ones(len(i), bool)
+            x, y = node[i], node[j]
+            for k in held:
+                for a, b, at in ((x, y, (bits[x] == k) & (bits[y] == k)), (x, y, (bits[x] == k) & (bits[y] == k + 1)), (y, x, (bits[y] == k) & (bits[x] == k + 1))):
+                    at = np.flatnonzero(at)
+                    for lo in range(0, len(at), step := max(1, (1 << 22) >> int(k))):
+                        u, v = a[at[lo : lo + step]], b[at[lo : lo + step]]
+                        other = held[k][spot[v]] if bits[v[0]] == k else folded[k + 1][spot[v]]
+                        apart = np.bitwise_count(held[k][spot[u]] ^ other).sum(axis=1, dtype=np.int64)
+                        # similarity >= p/q leaves at most (q - p) / (q + p) of both sizes apart
+                        fine[at[lo : lo + step]] = apart * (p + q) <= most[at[lo : lo + step]]
+            return i[fine], j[fine]
+
+        def joined(edges: list) -> tuple[np.ndarray, np.ndarray]:
+            root = _roots(*(np.concatenate([e[s] for e in edges]) for s in (0, 1)), len(names))
+            moved = np.flatnonzero(root != np.arange(len(names)))
+            return moved, root[moved]
+
+        begin = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+        end = np.r_[begin[1:], len(region)]
+        of = np.repeat(np.arange(len(begin)), end - begin)
+        # all that may link with the middle one of their region are connected by it: no pair of them is looked at
+        middle = ((begin + end) // 2)[of]
+        met, by = linked(np.arange(len(region)), middle)
+        here = middle == np.arange(len(region))
+        here[met] = True
+        stars = [(node[met], node[by])]
+        # of the other pairs those of like size, which are neighbours
+        last = np.searchsorted((of << 40) + n, (of << 40) + n * q // p, "right")
+        for some, others in ((np.arange(len(region)), np.flatnonzero(~here)), (np.flatnonzero(~here), np.flatnonzero(here))):
+            lo = np.searchsorted(others, some, "right")
+            times = np.maximum(np.searchsorted(others, last[some]) - lo, 0)
+            for x, y in _steps(times, 1 << 20):
+                i, nth = _ranges(times, x, y)
+                stars.append(tuple(node[e] for e in linked(some[i], others[lo[i] + nth])))
+                if sum(len(e[0]) for e in stars) > 1 << 21:
+                    stars = [joined(stars)]
+        a, b = joined(stars)
+        return pa.table({"a": pa.array(names[a]), "b": pa.array(names[b])})
 
     return of
 
@@ -202,22 +266,28 @@ def jaccard_join(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: i
     # a row is named by its id and a hash of its text, so that rows without an id, or with one id, are not taken for each other
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *held).withColumn("text_key", F.xxhash64("text"))
     cells = spark.sparkContext.broadcast(_sketch(docs, k))
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["n long", "h1 long", "h2 long", "prefix array<long>", "pivots binary"]
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["n long", "h1 long", "h2 long", "prefix array<long>", "odd binary"]
     whole = cut(docs.mapInArrow(_windows(k, cells, numerator, denominator, [x.split(" ", 1)[0] for x in kinds]), ", ".join(kinds)))
-    rows = cut(whole.drop("prefix", "pivots", "text_key"))
+    rows = cut(whole.drop("prefix", "odd", "text_key"))
     named_first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("row")
-    classes = whole.where("n > 0").groupBy("h1", "h2").agg(named_first, *(F.first(c).alias(c) for c in ("n", "prefix", "pivots")))
+    classes = whole.where("n > 0").groupBy("h1", "h2").agg(named_first, *(F.first(c).alias(c) for c in ("n", "prefix", "odd")))
     classes = classes.withColumns({"rep": F.col("row.doc_id"), "rep_key": F.col("row.text_key")}).drop("row")
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     release(whole)
 
     cell = _cells(classes, numerator, denominator)
-    # a member's set comes from the text of the class's first document; where Spark finds it worth while it
-    # filters the texts by the members' ids before they are shuffled
-    reps = classes.join(cell, "cid").select("cid", "h1", "h2", F.col("rep").alias("rep_id"), "rep_key")
-    texts = docs.select("doc_id", "text", "text_key").join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")))
-    sets = texts.select("text", "cid", "h1", "h2").mapInArrow(_whole(k), "cid long, n long, shingles array<long>").dropDuplicates(["cid"])
-    members = cut(sets.join(cell, "cid").select(F.col("comp").alias("region"), "cid", "n", "shingles", F.lit(True).alias("native")))
+    # a member's set comes from the text of the class's first document; texts that no bit asks for are left out before they are
+    # shuffled, as sets and not as texts
+    named_by = lambda doc_id, text_key: {"id_key": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "bit": F.pmod(F.xxhash64(doc_id, text_key), F.lit(1 << FILTER_BITS))}
+    reps = classes.join(cell, "cid").withColumns(named_by("rep", "rep_key")).select("cid", "comp", "id_key", F.col("rep_key").alias("text_key"), "h1", "h2", "bit")
+    reps = cut(reps)
+    wanted = spark.sparkContext.broadcast(_bitmap(reps.select("bit")))
+    texts = docs.withColumns(named_by("doc_id", "text_key")).select("text", "id_key", "text_key", "bit")
+    same = ["id_key", "text_key", "h1", "h2"]
+    whole_sets = _whole(k)
+    sets = texts.mapInArrow(lambda batches: whole_sets(_asked(batches, wanted)), "id_key string, text_key long, h1 long, h2 long, n long, shingles array<long>").dropDuplicates(same)
+    members = cut(sets.join(reps.drop("bit"), same).select(F.col("comp").alias("region"), "cid", "n", "shingles", F.lit(True).alias("native")))
+    release(reps)
     counted = _count(members, numerator, denominator)
     labels = connected(counted.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     degree = counted.groupBy("cid").agg(F.sum("n_links").alias("n_links"))
@@ -237,9 +307,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: i
 def _cells(classes: DataFrame, p: int, q: int) -> DataFrame:
     """(cid, comp) of the classes that may link with another: cells that no link crosses."""
     placed = classes.select("cid", "n", F.posexplode("prefix").alias("rank", "region"))
-    # most regions hold one document: only counts are shuffled to find the others
-    several = placed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
-    shared = cut(placed.join(several, "region"))
+    # most regions hold one document; without a neighbour of like size a document has no link in its region
+    beside = Window.partitionBy("region").orderBy("n")
+    like = (F.lag("n").over(beside) * q >= F.col("n") * p) | (F.col("n") * q >= F.lead("n").over(beside) * p)
+    shared = cut(placed.withColumn("like", like).where("like").drop("like"))
     # regions with the same documents are looked at once: in the first of them by the global order, where all ranks are least
     alike = shared.groupBy("region").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("bit_xor(xxhash64(cid, 1))").alias("y"), F.sum("rank").alias("ranks"), F.min("cid").alias("lead"))
     alike = alike.groupBy("size", "x", "y").agg(F.min_by("region", "ranks").alias("region"), F.min("lead").alias("lead"))
@@ -248,7 +319,7 @@ def _cells(classes: DataFrame, p: int, q: int) -> DataFrame:
     large = rest.where(F.col("size") > REGION_ROWS).select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
     small = rest.where(F.col("size") <= REGION_ROWS).select("region", F.col("rank").cast("long").alias("rank"), "cid", "n")
     packs = max(1, small.count() // (4 * PACK_ROWS))
-    small = small.join(classes.select("cid", "pivots"), "cid").withColumn("pack", F.pmod(F.xxhash64("region"), F.lit(packs)))
+    small = small.join(classes.select("cid", "odd"), "cid").withColumn("pack", F.pmod(F.xxhash64("region"), F.lit(packs)))
     links = cut(large.unionByName(small.groupBy("pack").applyInArrow(_near(p, q), "a long, b long")))
     release(rest)
     cell = connected(links)
