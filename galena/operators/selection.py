@@ -43,7 +43,8 @@ def sliding_edges(calls: DataFrame, width_us: int, step_us: int) -> DataFrame:
 
 def template(line: Column) -> Column:
     """A line with its numbers, and words that hold any, masked."""
-    return F.regexp_replace(line, r"\S*[0-9]\S*", "<*>")
+    # most lines hold no number; a run without numbers is not gone through again from each of its characters
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(line)
 
 
 def template_frequency(lines: DataFrame, key: list[str]) -> DataFrame:

@@ -7,9 +7,11 @@ Lines with their numbers masked are counted, so that everything below works on d
 * **Leaves.** In order of (n falling, text) a line joins the template of its leaf that agrees in most words (then with most
   wildcards, then the earliest), if these are at least ``similarity`` of all; words that differ become ``<*>``, which agrees with nothing.
   Else the line is a new template.  A leaf with more than ``part_lines`` distinct lines is learned in parts, dealt by content; the
-  templates of the parts are then learned once more as lines, so that no task sees a whole hot leaf.
+  templates of the parts are then learned once more as lines, so that no task sees a whole hot leaf.  Leaves of one part are
+  learned twice where their lines are.
 * **Matching.** Every line gets, of the templates of its length that fit it word by word, the one with fewest
-  wildcards, then most lines, then first by name.  Candidates come by an equal first word or by ``<*>``, as two equi-joins.
+  wildcards, then most lines, then first by name.  A line that is a template itself is its own, as no other fits with as few
+  wildcards; that is told in the leaf.  The others meet the templates with wildcards whose first own word they have at its place.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.shared import fresh_path
+from ..plans.shared import fresh_path, freed_shuffles
 from ..plans.sized import small
 from .selection import template
 
@@ -28,9 +30,15 @@ WILD = "<*>"
 LEAF = ["length", "child"]
 
 
+def masked(line: Column) -> Column:
+    """A line with its numbers masked and one space between its words."""
+    line = template(line)
+    return F.when(line.rlike(r"[\t\n\x0B\f\r]|  "), F.regexp_replace(line, r"\s+", " ")).otherwise(line)
+
+
 def masked_lines(lines: DataFrame, key: list[str]) -> DataFrame:
     """(key, template, n) of each distinct masked line of (key, line); blank lines don't count."""
-    rows = lines.withColumn("template", F.regexp_replace(template(F.trim("line")), r"\s+", " ")).where("template <> ''")
+    rows = lines.where(F.trim("line") != "").withColumn("template", masked(F.trim("line")))
     return rows.groupBy(*key, "template").agg(F.count("*").alias("n"))
 
 
@@ -43,53 +51,87 @@ def _placed(rows: DataFrame, line: str = "template") -> DataFrame:
 
 
 def in_tree(rows: DataFrame, key: list[str], children: int = 100, part_lines: int = 4096) -> DataFrame:
-    """``rows`` (key, template, n) with the length and the child of their leaf, and in how many parts that is learned: lines meet one table of first words."""
+    """``rows`` (key, template, n) with the length and the child of their leaf, and in how many parts that is learned.
+
+    Lines are not shuffled: they meet the words of nodes that have more than children, and the leaves of several parts.
+    """
     rows = _placed(rows)
     order = Window.partitionBy(*key, "length").orderBy(F.col("first") == WILD, F.desc("of"), F.asc("first"))
     firsts = rows.groupBy(*key, "length", "first").agg(F.sum("n").alias("of"), F.count("*").alias("lines")).withColumn("place", F.row_number().over(order))
-    firsts = firsts.withColumn("child", F.when((F.col("first") != WILD) & (F.col("place") < children), F.col("first")).otherwise(WILD))
-    parts = F.ceil(F.sum("lines").over(Window.partitionBy(*key, *LEAF)) / part_lines)
-    return rows.join(firsts.select(*key, "length", "first", "child", parts.alias("parts")), [*key, "length", "first"]).drop("first")
+    firsts = stored(firsts.withColumn("child", F.when((F.col("first") != WILD) & (F.col("place") < children), F.col("first")).otherwise(WILD)), "firsts")
+    full = firsts.groupBy(*key, "length").agg(F.max((F.col("first") != WILD) & (F.col("child") == WILD)).alias("full"), F.collect_list(F.when(F.col("child") != WILD, F.col("first"))).alias("own")).where("full").drop("full")
+    parts = firsts.groupBy(*key, *LEAF).agg(F.ceil(F.sum("lines") / part_lines).alias("parts")).where("parts > 1")
+    child = F.when((F.col("first") == WILD) | ~F.coalesce(F.array_contains("own", F.col("first")), F.lit(True)), WILD).otherwise(F.col("first"))
+    rows = rows.join(small(stored(full, "nodes")), [*key, "length"], "left").withColumn("child", child).drop("first", "own")
+    return rows.join(small(stored(parts, "parts")), [*key, *LEAF], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
 def _learn(lines: list[tuple[list[str], int]], similarity: float) -> list[tuple[list[str], int]]:
     """Templates, with how many lines each stands for, of lines of one length in order."""
-    ids: dict[str, int] = {WILD: 0}
-    words = [WILD]
     size, count = len(lines[0][0]), 0
-    held = np.zeros((16, size), np.int64)
-    wild, n = np.zeros(16, np.int64), [0] * 16
+    ids: list[dict[str, int]] = [{} for _ in range(size)]  # of the words that were seen at a place; 0 is a wildcard
+    held = np.zeros((size, 16), np.int32)
+    wild, n, first = np.zeros(16, np.int64), [], []
     for line, of in lines:
-        row = np.array([ids.setdefault(w, len(ids)) for w in line])
-        words.extend(w for w in line if ids[w] == len(words))
-        if count:
-            same = ((held[:count] == row) & (row != 0)).sum(1)
-            best = int(np.lexsort((np.arange(count), -wild[:count], -same))[0])
-            if same[best] >= similarity * size:
-                held[best][held[best] != row] = 0
-                wild[best] = int((held[best] == 0).sum())
+        seen = [(j, i) for j, w in enumerate(line) if w != WILD and (i := ids[j].get(w))]
+        # words that are new at their place agree with nothing
+        if count and len(seen) >= similarity * size:
+            same = np.zeros(count, np.int32)
+            for j, i in seen:
+                same += held[j, :count] == i
+            most = int(same.max())
+            if most >= similarity * size:
+                ties = np.flatnonzero(same == most)
+                best = int(ties[np.argmax(wild[ties])])
+                row = np.zeros(size, np.int32)
+                for j, i in seen:
+                    row[j] = i
+                held[held[:, best] != row, best] = 0
+                wild[best] = int((held[:, best] == 0).sum())
                 n[best] += of
                 continue
-        if count == len(held):
-            held, wild, n = np.concatenate([held, np.zeros_like(held)]), np.concatenate([wild, np.zeros_like(wild)]), n + [0] * count
-        held[count], wild[count], n[count] = row, int((row == 0).sum()), of
+        if count == held.shape[1]:
+            held, wild = np.concatenate([held, np.zeros_like(held)], axis=1), np.concatenate([wild, np.zeros_like(wild)])
+        for j, w in enumerate(line):
+            if w != WILD:
+                held[j, count] = ids[j].setdefault(w, len(ids[j]) + 1)
+        wild[count] = sum(w == WILD for w in line)
+        n.append(of)
+        first.append(line)
         count += 1
-    names = {i: w for w, i in ids.items()}
-    return [([names[int(i)] for i in held[k]], n[k]) for k in range(count)]
+    # a template keeps words of its first line or has wildcards
+    return [([w if i else WILD for w, i in zip(first[k], held[:, k])], n[k]) for k in range(count)]
+
+
+def _again(lines: dict[str, int], similarity: float) -> dict[str, int]:
+    """The templates of ``lines`` (line: n), with how many lines each stands for; equal ones are one."""
+    out: dict[str, int] = {}
+    for t, n in _learn([(line.split(" "), n) for line, n in sorted(lines.items(), key=lambda x: (-x[1], x[0]))], similarity):
+        out[" ".join(t)] = out.get(" ".join(t), 0) + n
+    return out
 
 
-def learned(rows: DataFrame, group: list[str], similarity: float) -> DataFrame:
-    """(group, template, n): the templates of each group of ``rows`` (group, template, n), whose lines have one length; of equal lines the counts are added."""
+def _settled(lines: dict[str, int], similarity: float) -> list[tuple]:
+    """(template, n, of): lines of a leaf of one part, with the count of their own template where they are one, and its other templates without n."""
+    found = lines if len(lines) == 1 else _again(_again(lines, similarity), similarity)
+    return [(line, n, found.get(line)) for line, n in lines.items()] + [(t, None, of) for t, of in found.items() if t not in lines]
+
+
+def _templates(lines: dict[str, int], similarity: float) -> list[tuple]:
+    return [(t, None, of) for t, of in _again(lines, similarity).items()]
+
+
+def learned(rows: DataFrame, group: list[str], similarity: float, told=_templates) -> DataFrame:
+    """(group, template, n, of): what ``told`` says of each group of ``rows`` (group, template, n), whose lines have one length; of equal lines the counts are added."""
     keys = [F.col(c).cast("string") for c in group]
     kinds = rows.select(*group)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, key, lines = None, None, {}
+        now, lines = None, {}
 
         def close() -> None:
-            ordered = sorted(lines.items(), key=lambda x: (-x[1], x[0]))
-            out.extend((key, " ".join(t), n) for t, n in _learn([(line.split(" "), n) for line, n in ordered], similarity))
+            out.extend((now, *r) for r in told(lines, similarity))
 
         def give() -> pa.RecordBatch:
             done = pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(schema)], schema=schema)
@@ -97,13 +139,13 @@ def learned(rows: DataFrame, group: list[str], similarity: float) -> DataFrame:
             return done
 
         for batch in batches:
-            for one, whole, line, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for one, line, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if one != now:
                     if lines:
                         close()
                         if len(out) > 10_000:
                             yield give()
-                    now, key, lines = one, whole, {}
+                    now, lines = one, {}
                 lines[line] = lines.get(line, 0) + n
         if lines:
             close()
@@ -113,42 +155,45 @@ def learned(rows: DataFrame, group: list[str], similarity: float) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     struct = kinds.schema
-    schema = pa.schema([("key", to_arrow_type(struct)), ("template", pa.string()), ("n", pa.int64())])
-    leaf = F.to_json(F.array(*(F.coalesce(k, F.lit("null")) for k in keys)))
-    dealt = rows.select(leaf.alias("leaf_"), F.struct(*group).alias("key"), "template", "n").repartition("leaf_").sortWithinPartitions("leaf_")
-    return dealt.mapInArrow(of, f"key {struct.simpleString()}, template string, n long").select("key.*", "template", "n")
+    schema = pa.schema([("key", to_arrow_type(struct)), ("template", pa.string()), ("n", pa.int64()), ("of", pa.int64())])
+    leaf = F.xxhash64(*(F.coalesce(k, F.lit("null")) for k in keys))
+    dealt = rows.select(F.struct(*group).alias("key"), "template", "n", leaf.alias("leaf_")).repartition("leaf_").sortWithinPartitions("leaf_", "key")
+    return dealt.drop("leaf_").mapInArrow(of, f"key {struct.simpleString()}, template string, n long, of long").select("key.*", "template", "n", "of")
 
 
 def mined(rows: DataFrame, key: list[str], similarity: float = 0.4, children: int = 100, part_lines: int = 4096) -> DataFrame:
-    """(key, length, template, n): the templates of distinct masked ``rows`` (key, template, n)."""
+    """(key, template, n, of): the distinct masked ``rows`` (key, template, n), with the count of the template where a row is one, and the templates that are no row, without n."""
+    dealt = in_tree(rows, key, children, part_lines)
+    settled = learned(dealt.where("parts = 1"), [*key, *LEAF], similarity, _settled).select(*key, "template", "n", "of")
+    large = dealt.where("parts > 1")
     part = F.conv(F.substring(F.md5("template"), 1, 8), 16, 10).cast("long") % F.col("parts")
-    dealt = in_tree(rows, key, children, part_lines).withColumn("part", part)
-    merged = learned(learned(dealt, [*key, *LEAF, "part"], similarity), [*key, *LEAF], similarity)
-    return merged.groupBy(*key, "length", "template").agg(F.sum("n").alias("n"))
-
-
-def matched(rows: DataFrame, templates: DataFrame, key: list[str]) -> DataFrame:
-    """(key, template, n, leader): each of ``rows`` (id, key, template, n) with the best of ``templates`` (key, length, template, n) that fits it; null if none."""
-    asked = _placed(rows.select("id", *key, "template"))
-    offered = _placed(templates.select(*key, F.col("template").alias("leader"), F.col("n").alias("of")), "leader")
+    once = learned(large.withColumn("part", part), [*key, *LEAF, "part"], similarity).withColumn("n", F.col("of"))
+    found = learned(once, [*key, *LEAF], similarity).select(*key, "template", "of")
+    return settled.unionByName(large.select(*key, "template", "n").join(found, [*key, "template"], "full").select(*key, "template", "n", "of"))
+
+
+def matched(rows: DataFrame, offered: DataFrame, key: list[str]) -> DataFrame:
+    """(key, template, n, leader): each of ``rows`` (id, key, template, n) with the best of ``offered`` (key, template, of) that fits it; null if none."""
+    words = _words("template")
+    # the first place that is no wildcard, or none
+    place = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) != WILD), F.lit(0)), F.lit(-1))
+    offered = offered.select(*key, F.size(words).alias("length"), place.alias("place"), "of", F.col("template").alias("leader")).withColumn("word", F.coalesce(F.get(_words("leader"), F.col("place")), F.lit("")))
+    places = offered.groupBy(*key, "length").agg(F.collect_set("place").alias("places"))
+    asked = rows.select("id", *key, "template").withColumn("length", F.size(words)).join(places, [*key, "length"])
+    asked = asked.withColumn("place", F.explode("places")).drop("places").withColumn("word", F.coalesce(F.get(words, F.col("place")), F.lit("")))
     fits = F.forall(F.zip_with(_words("template"), _words("leader"), lambda a, b: (a == b) | (b == WILD)), lambda x: x)
     wilds = F.size(F.filter(_words("leader"), lambda w: w == WILD))
-    # lines that begin with a mask meet the templates that do so once only
-    same = asked.join(small(offered), [*key, "length", "first"])
-    wild = asked.where(F.col("first") != WILD).drop("first").join(small(offered.where(F.col("first") == WILD).drop("first")), [*key, "length"])
-    best = None
-    for met in (same, wild):
-        one = met.where(fits).select("id", F.struct(wilds.alias("w"), (-F.col("of")).alias("o"), "leader").alias("l"))
-        best = one if best is None else best.unionByName(one)
-    best = best.groupBy("id").agg(F.min("l").alias("l"))
+    met = asked.join(offered, [*key, "length", "place", "word"]).where(fits)
+    best = met.groupBy("id").agg(F.min(F.struct(wilds.alias("w"), (-F.col("of")).alias("o"), "leader")).alias("l"))
     return rows.join(best, "id", "left").select(*key, "template", "n", F.col("l.leader").alias("leader"))
 
 
-def _stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once and read again, however often what follows asks for it."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -156,7 +201,10 @@ def line_templates(lines: DataFrame, key: list[str], similarity: float = 0.4, ch
     """(key, template, n, leader): every distinct masked line of (key, line), how often it comes, and its template.
 
     All lines are read, in groups of equal ``key``, whose columns must not be null.  The result does not depend on the order of lines.
-    Distinct lines and templates are written below ``spark.checkpoint.dir``, once each; words are cut from the text where they are used, not shuffled beside it.
+    Distinct lines, and lines with their templates, are written below ``spark.checkpoint.dir``, once each; words are cut from the text where they are used, not shuffled beside it.
     """
-    rows = _stored(masked_lines(lines, key).withColumn("id", F.monotonically_increasing_id()), "lines")
-    return matched(rows, _stored(mined(rows.drop("id"), key, similarity, children, part_lines), "templates"), key)
+    rows = stored(masked_lines(lines, key), "lines")
+    told = stored(mined(rows, key, similarity, children, part_lines), "templates")
+    left = stored(told.where("of IS NULL").withColumn("id", F.monotonically_increasing_id()).drop("of"), "left")
+    own = told.where("n IS NOT NULL AND of IS NOT NULL").select(*key, "template", "n", F.col("template").alias("leader"))
+    return own.unionByName(matched(left, told.where(F.col("of").isNotNull() & F.col("template").contains(WILD)), key))
