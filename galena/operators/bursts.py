@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .selection import template
-from .templates import line_templates
+from ..plans.sized import small
+from .templates import line_templates, masked, stored
 
 
 def log_bursts(
@@ -18,6 +18,7 @@ def log_bursts(
     is its mean rate per second over these, without it 0.  Later windows with fewer lines are INSUFFICIENT, the rest BREACH or CLEAR: a template
     breaches with ``least_count`` lines and a rise over max(baseline, ``floor``) of at least ``trigger``, its score is the rise over ``full``, 1 at most.
     Of several the strongest is given: by score, rise, count, then name.  Rows without service or us are left out.
+    Lines and templates are counted by the MD5 of their text; only the templates that breach are named again.
     """
     rows = lines.where("service IS NOT NULL AND us IS NOT NULL").withColumns({"tick": F.floor(F.col("us") / width_us), "text": F.trim(F.coalesce("line", F.lit("")))})
     good = (F.col("text") != "") & (F.char_length("text") <= most_chars)
@@ -32,17 +33,22 @@ def log_bursts(
     spine = spine.withColumn("status", status)
 
     usable = rows.where(good).withColumn("line", F.col("text"))
-    leaders = line_templates(usable.select("service", "line"), ["service"], **tree).select("service", "template", "leader")
-    masked = F.regexp_replace(template(F.col("text")), r"\s+", " ")
-    counts = usable.withColumn("template", masked).groupBy("service", "tick", "template").agg(F.count("*").alias("n")).join(leaders, ["service", "template"]).groupBy("service", "tick", "leader").agg(F.sum("n").alias("n"))
+    leaders = line_templates(usable.select("service", "line"), ["service"], **tree)
+    named = lambda text: F.unhex(F.md5(text))
+    counts = usable.withColumn("line_key", named(masked(F.col("text")))).groupBy("service", "tick", "line_key").agg(F.count("*").alias("n"))
+    keys = leaders.select("service", named("template").alias("line_key"), named("leader").alias("leader_key"))
+    counts = stored(counts.join(keys, ["service", "line_key"]).groupBy("service", "tick", "leader_key").agg(F.sum("n").alias("n")), "counts")
     rate = F.col("n") / (width_us / 1e6)
     warm = spine.where((F.col("status") == "WARMING") & (F.col("records") >= least_records)).select("service", "tick")
-    base = counts.join(warm, ["service", "tick"]).groupBy("service", "leader").agg((F.sum(rate) / warmup).alias("base"))
-    judged = counts.join(spine.where("status = 'EVALUATED'").select("service", "tick"), ["service", "tick"]).join(base, ["service", "leader"], "left")
+    base = counts.join(warm, ["service", "tick"]).groupBy("service", "leader_key").agg((F.sum(rate) / warmup).alias("base"))
+    judged = counts.join(spine.where("status = 'EVALUATED'").select("service", "tick"), ["service", "tick"]).join(base, ["service", "leader_key"], "left")
     known = F.coalesce("base", F.lit(0.0))
     judged = judged.withColumn("deformation", F.greatest(rate - known, F.lit(0.0)) / F.greatest(known, F.lit(floor)))
     fired = judged.where((F.col("n") >= least_count) & (F.col("deformation") >= trigger)).withColumn("score", F.least(F.col("deformation") / full, F.lit(1.0)))
-    best = fired.groupBy("service", "tick").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("deformation")).alias("d"), (-F.col("n")).alias("k"), "leader")).alias("f"))
+    fired = stored(fired, "fired")
+    breached = small(fired.select("service", "leader_key").distinct())
+    names = leaders.withColumn("leader_key", named("leader")).join(breached, ["service", "leader_key"]).select("service", "leader_key", "leader").distinct()
+    best = fired.join(names, ["service", "leader_key"]).groupBy("service", "tick").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("deformation")).alias("d"), (-F.col("n")).alias("k"), "leader")).alias("f"))
     out = spine.join(best, ["service", "tick"], "left")
     final = F.when(F.col("status") != "EVALUATED", F.col("status")).when(F.col("f").isNotNull(), "BREACH").otherwise("CLEAR")
     return out.select("service", "tick", final.alias("status"), "records", F.col("f.leader").alias("leader"), (-F.col("f.k")).alias("n"), (-F.col("f.d")).alias("deformation"), (-F.col("f.s")).alias("score"))
